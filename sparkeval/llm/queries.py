@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, elias_fano, packing, pieces
+from . import common, elias_fano, fingerprint, packing, pieces
 
 END_ID = 2
 
@@ -19,6 +19,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read(spark, path)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(common.table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
@@ -27,5 +31,5 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_best_fit_packing, op5_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
