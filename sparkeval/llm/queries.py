@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, elias_fano, fingerprint, hyperminhash, packing, pieces
+from . import chunks, common, elias_fano, fingerprint, hyperminhash, packing, pieces
 
 END_ID = 2
 
@@ -31,9 +31,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(common.table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece, op6_substring_dedup, op9_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
