@@ -18,6 +18,7 @@ REMEMBERED = 500_000
 #: Longer parts are not remembered.
 _LONG = 64
 #: Signs that end a token of letters or digits before them, and that no other kind of token holds.
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _FIRST = "\0"  # before a part without a space before it
 _SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -36,55 +37,80 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.blank = blank
+        #: Whether the normaliser makes capitals small.
+        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Ab Z") == "ab z"
+        self.bar = self.tokenizer.encode(" |", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         #: White space next to white space, or at an end: such a text goes to the library whole.
         self.odd = re.compile(r"\s | \s|^ | $")
 
     def _library(self, parts: list[str]) -> list[bytes]:
-        if self.blank == "leads":  # parts are kept without the space before them
-            parts = [x[1:] if x.startswith(_FIRST) else f" {x}" for x in parts]
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        """Many parts go as one text with a bar between, whose id tells them apart again."""
+        lead = self.blank == "leads"
+        alone = {x for x in parts if x[:1] == _FIRST or "|" in x or not x or x.isspace()}
+        joint = [x for x in parts if x not in alone]
+        texts = [" ".join(["|", *[y for x in joint[i : i + 256] for y in (x, "|")]]) for i in range(0, len(joint), 256)]
+        apart = [x for x in parts if x in alone]
+        texts += [x[1:] if x[:1] == _FIRST else f" {x}" if lead else x for x in apart]
+        ids = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = dict(zip(apart, [x.tobytes() for x in ids[len(ids) - len(apart) :]], strict=True))
+        size = self.kind.itemsize
+        for i, x in zip(range(0, len(joint), 256), ids, strict=False):
+            raw, group = x.tobytes(), joint[i : i + 256]
+            at = [0, *(np.flatnonzero(x[1:] == self.bar) + 1).tolist()]  # the first may have another id
+            found.update((w, raw[(p + 1) * size : q * size]) for w, p, q in zip(group, at[:-1], at[1:], strict=True))
+        return [found[x] for x in parts]
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+    def _learn(self, parts: set[str]) -> None:
         """Ids of parts not known yet: a word and the signs after it are looked up apart."""
-        cut: dict[str, tuple[str, str]] = {}
+        known, older = self.known, self.older
+        mark = _FIRST if self.blank == "leads" else ""
+        cut, ask, capital = [], set(), []
         for x in parts:
+            if (ids := older.get(x)) is not None:
+                known[x] = ids
+                continue
+            if self.folds and x.isascii() and (small := x.lower()) != x:
+                capital.append((x, small))
+                x = small
+                if x in known:
+                    continue
             stem = x.rstrip(_SIGNS)
-            if len(stem) < len(x) and not x.startswith(_FIRST) and stem[-1:].isascii() and stem[-1:].isalnum():
-                cut[x] = stem, (_FIRST if self.blank == "leads" else "") + x[len(stem) :]
-        ask = list({*(parts - cut.keys()), *(y for pair in cut.values() for y in pair)} - self.known.keys())
-        found = {}
+            if len(stem) < len(x) and stem[-1:] in _LETTERS and x[0] != _FIRST and stem:
+                sign = mark + x[len(stem) :]
+                cut.append((x, stem, sign))
+                ask.add(stem)
+                ask.add(sign)
+            else:
+                ask.add(x)
+        new = []
         for x in ask:
-            if (ids := self.older.get(x)) is not None:
-                found[x] = ids
-        ask = [x for x in ask if x not in found]
-        found.update(zip(ask, self._library(ask), strict=True))
-        get = lambda y: self.known[y] if y in self.known else found[y]
-        found.update((x, get(a) + get(b)) for x, (a, b) in cut.items())
-        return found
+            if x not in known:
+                if (ids := older.get(x)) is not None:
+                    known[x] = ids
+                else:
+                    new.append(x)
+        known.update(zip(new, self._library(new), strict=True))
+        for x, stem, sign in cut:
+            known[x] = known[stem] + known[sign]
+        for x, small in capital:
+            known[x] = known[small]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split: list[list[str]] = []
-        for t in texts:
-            if self.blank == "dropped":
-                split.append(t.replace("\n", " ").split(" "))
-            elif self.odd.search(t):
-                split.append([_FIRST + t])
-            else:
-                split.append((_FIRST + t).split(" "))
-        seen: set[str] = set()
-        for parts in split:
-            seen.update(parts)
+        if self.blank == "dropped":
+            split = [t.replace("\n", " ").split(" ") for t in texts]
+        else:
+            split = [[_FIRST + t] if self.odd.search(t) else (_FIRST + t).split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        found = self._learn(seen - self.known.keys())
-        long = {k for k in found if len(k) > _LONG}
-        self.known.update(found)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), self.kind) for parts in split]
-        for k in long:
-            del self.known[k]
+        new = set().union(*split) - self.known.keys()
+        self._learn(new)
+        get = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(get, parts)), self.kind) for parts in split]
+        for x in [x for x in new if len(x) > _LONG]:
+            del self.known[x]
         return out
 
 
