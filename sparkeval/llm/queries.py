@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, common, elias_fano, fingerprint, hyperminhash, packing, pieces
+from . import chunks, common, elias_fano, fingerprint, hyperminhash, main_text, packing, pieces, vptree
 
 END_ID = 2
 
@@ -35,9 +35,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_passages(common.table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(common.table(spark, sf_dir, "pages"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vptree.build_index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece, op6_substring_dedup, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece, op6_substring_dedup, op7_main_text, op8_nearest, op9_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
