@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, common, elias_fano, fingerprint, hyperminhash, main_text, packing, pieces, vptree
+from . import chunks, common, elias_fano, fingerprint, hyperminhash, main_text, packing, pieces, toxicity, vptree
 
 END_ID = 2
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     elias_fano.write(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -48,5 +52,5 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece, op6_substring_dedup, op7_main_text, op8_nearest, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece, op6_substring_dedup, op7_main_text, op8_nearest, op9_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}

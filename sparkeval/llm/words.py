@@ -37,11 +37,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the runs of ``[^\\x20\\x09-\\x0D]``; none crosses a document."""
+def bounds(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the runs of bytes that are not ``white``, by default of
+    ``[^\\x20\\x09-\\x0D]``; none crosses a document."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = ~WHITE[data]
+    inside = ~white[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     first = inside.copy()
