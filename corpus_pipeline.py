@@ -1,12 +1,54 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each written to Parquet and read again.
+
+Every stage but the last returns the columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sparkeval.llm import chunks, common, hyperminhash, packing, pii, toxicity
+
+END_ID = 2
+
+
+def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, common.table(spark, sf_dir, "labels"))
+
+
+def one_of_near_duplicates_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return hyperminhash.keep_one(docs)
+
+
+def repeated_passages_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return chunks.without_repeats(docs)
+
+
+def personal_data_is_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.masked(docs)
+
+
+def sequences_are_packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
+STAGES = [
+    ("toxicity", toxic_documents_go),
+    ("near_dedup", one_of_near_duplicates_stays),
+    ("substring_dedup", repeated_passages_go),
+    ("pii", personal_data_is_masked),
+    ("packing", sequences_are_packed),
+]
+
+#: No SQL: the stages learn, hash and search; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = common.table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = step(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = common.stage(docs, name)
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, common, elias_fano, fingerprint, hyperminhash, main_text, packing, pieces, toxicity, vptree
+from . import chunks, common, elias_fano, fingerprint, hyperminhash, main_text, packing, pieces, pii, toxicity, vptree
 
 END_ID = 2
 
@@ -52,5 +52,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece, op6_substring_dedup, op7_main_text, op8_nearest, op9_near_duplicates)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece, op6_substring_dedup, op7_main_text, op8_nearest, op9_near_duplicates, op10_personal_data)}
 ORACLE_SQL: dict[str, str] = {}
