@@ -1,4 +1,491 @@
-"""Registered queries over the driver tables, and their DuckDB equivalents."""
+"""Registered queries over the driver tables, and their DuckDB equivalents.
+
+The fixtures stand for evaluation data: assistant turns with a derived prediction (``pairs``,
+``simp``), documents with their first line as headline (``news``), numbered texts, and responses
+with markers.  Scores are rounded to four places on both sides.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.metrics import first_reference, with_bleu, with_rouge_l, with_rouge_n, with_sari
+from .functions.ngrams import gram_counts
+from .functions.text import WS, extract, is_blank, space_tokens, truncate, usable, without_leading_number, word_tokens
+from .operators import fewshot, prompts
+from .operators.generate import Retry, drop_every, failing, generate, lead, retrying_api
+from .operators.ordinals import head, present, split, tail, with_ordinal, without
+from .operators.summary import summarise
+from .sources.io import read_csv, write_csv
+
+MARKER = "Translation:"
+TEST = 200
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- fixtures ---------------------------------------------------------------------------------
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return rows.select("conv_id", "turn", F.col("text").alias("ref"), drop_every("text").alias("pred"))
+
+
+def simp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = space_tokens("ref")
+    hard = F.array_join(F.transform(tokens, lambda t, i: F.when(i % 7 == 0, "zz").otherwise(t)), " ")
+    shorter = F.array_join(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), " ")
+    return pairs(spark, sf_dir).select(
+        "conv_id", "turn", "ref", "pred", hard.alias("complex"), F.col("ref").alias("s1"),
+        F.when(F.col("conv_id") % 3 != 0, shorter).alias("s2"), F.when(F.col("conv_id") % 2 == 0, "").otherwise(F.col("pred")).alias("s3"),
+    )
+
+
+def news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.get(F.split("text", "\n"), F.lit(0)).alias("headline"), lead("text").alias("pred"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred, kind = F.col("pred"), F.col("doc_id") % 7
+    made = (
+        F.when(kind == 0, F.concat(F.lit(f"{MARKER} "), pred)).when(kind == 1, F.concat(F.lit(f"{MARKER.lower()}\n\n"), pred, F.lit("\n\nnote"))).when(kind == 2, pred).when(kind == 3, "")
+        .when(kind == 4, F.concat(F.lit(f"{MARKER} "), pred, F.lit(f"\n{MARKER} "), pred)).when(kind == 5, F.concat(F.lit(f"{MARKER} "), pred, F.lit("\nnote")))
+    )
+    return news(spark, sf_dir).select("doc_id", made.alias("response"))
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+def test_and_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The last quarter of the documents, at most 200, is the test; the rest is the pool."""
+    docs = news(spark, sf_dir)
+    rows = split(docs, min(TEST, docs.count() // 4), "doc_id")
+    return with_ordinal(rows.where("is_test").drop("is_test", "instance_idx"), "doc_id"), rows.where("not is_test").drop("is_test", "instance_idx")
+
+
+# --- SQL pieces -------------------------------------------------------------------------------
+
+SQL_WS = WS
+
+
+def sql_tokens(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{SQL_WS}+'), lambda t: t <> '')"
+
+
+def sql_words(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def sql_grams(t: str, n: int) -> str:
+    return f"list_transform(range(1, greatest(len({t}) - {n} + 2, 1)), lambda i: array_to_string({t}[i:i + {n} - 1], chr(1)))"
+
+
+def sql_clip(p: str, r: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_distinct({p}), lambda g: least(len(list_filter({p}, lambda y: y = g)), len(list_filter({r}, lambda y: y = g))))), 0)"
+
+
+def sql_blank(x: str) -> str:
+    return f"({x} IS NULL OR regexp_replace({x}, '{SQL_WS}+', '', 'g') = '')"
+
+
+def sql_strip(x: str) -> str:
+    return rf"regexp_replace({x}, '\A{SQL_WS}+|{SQL_WS}+\z', '', 'g')"
+
+
+PAIRS = f"pairs AS (SELECT conv_id, turn, text AS ref, array_to_string(list_filter({sql_tokens('text')}, lambda t, i: (i - 1) % 5 <> 3), ' ') AS pred FROM conversations WHERE role = 'assistant')"
+SIMP = f"""{PAIRS}, simp AS (SELECT conv_id, turn, ref, pred, array_to_string(list_transform({sql_tokens('ref')}, lambda t, i: CASE WHEN (i - 1) % 7 = 0 THEN 'zz' ELSE t END), ' ') AS complex,
+ ref AS s1, CASE WHEN conv_id % 3 <> 0 THEN array_to_string(list_slice({sql_tokens('ref')}, 1, len({sql_tokens('ref')}) - 1), ' ') END AS s2, CASE WHEN conv_id % 2 = 0 THEN '' ELSE pred END AS s3 FROM pairs)"""
+NEWS = f"news AS (SELECT doc_id, text AS content, string_split(text, chr(10))[1] AS headline, array_to_string(list_slice({sql_tokens('text')}, 1, 12), ' ') AS pred FROM documents)"
+RESPONSES = f"""{NEWS}, responses AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '{MARKER} ' || pred WHEN 1 THEN '{MARKER.lower()}' || chr(10) || chr(10) || pred || chr(10) || chr(10) || 'note' WHEN 2 THEN pred WHEN 3 THEN ''
+ WHEN 4 THEN '{MARKER} ' || pred || chr(10) || '{MARKER} ' || pred WHEN 5 THEN '{MARKER} ' || pred || chr(10) || 'note' END AS response FROM news)"""
+SPLIT = f"""{NEWS}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM news), cut AS (SELECT *, r >= n - least({TEST}, n // 4) AS is_test FROM numbered),
+ test AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS instance_idx FROM cut WHERE is_test), pool AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM cut WHERE NOT is_test)"""
+SEED = 42
+
+
+def sql_hash(*parts: str) -> str:
+    return f"(('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 8))::BIGINT)"
+
+
+def sql_draws(pool: str, size: str = "size", k: int = 3) -> str:
+    seed = f"((instance_idx + {SEED})::VARCHAR)"
+    return f"""sizes AS (SELECT count(*) AS size FROM {pool}), slots AS (SELECT unnest(range(0, {k})) AS slot),
+ draws AS (SELECT instance_idx, slot, ({sql_hash(seed, "'start'")} + slot * (1 + {sql_hash(seed, "'step'")} % greatest(1, (size - 1) // {k - 1}))) % size AS position FROM test, sizes, slots WHERE slot < least({k}, size))"""
+
+
+def _round(df: DataFrame, keys: list[str], scores: list[str]) -> DataFrame:
+    return df.select(*keys, *[F.round(F.col(s).cast("double"), 4).alias(s) for s in scores])
+
+
+def _text_digest(c: Column | str) -> Column:
+    return F.md5(F.col(c) if isinstance(c, str) else c)
+
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a query under its function's name with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- projection, filters, slices ----------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(text) AS source, lang AS target FROM documents")
+def src_project_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", _text_digest("text").alias("source"), F.col("lang").alias("target"))
+
+
+@query(f"WITH {SIMP} SELECT conv_id, turn FROM simp WHERE s1 IS NOT NULL AND s2 IS NOT NULL")
+def filter_notnull_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(simp(spark, sf_dir), "s1", "s2").select("conv_id", "turn")
+
+
+@query(f"WITH {SIMP} SELECT conv_id, turn FROM simp WHERE NOT {sql_blank('s1')} AND NOT {sql_blank('s3')}")
+def filter_nonblank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simp(spark, sf_dir).where(~is_blank("s1") & ~is_blank("s3")).select("conv_id", "turn")
+
+
+@query(f"WITH {SIMP} SELECT conv_id, turn, len(list_filter([s1, s2, s3], lambda x: NOT {sql_blank('x')}))::BIGINT AS n_usable FROM simp")
+def usable_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simp(spark, sf_dir).select("conv_id", "turn", F.size(usable("s1", "s2", "s3")).cast("long").alias("n_usable"))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 1000")
+def split_head_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return head(table(spark, sf_dir, "documents"), 1000, "doc_id").select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id DESC LIMIT 200")
+def split_tail_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tail(table(spark, sf_dir, "documents"), 200, "doc_id").select("doc_id", "n_chars")
+
+
+@query(f"WITH {SPLIT} SELECT doc_id FROM pool")
+def split_pool_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return test_and_pool(spark, sf_dir)[1].select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 200)")
+def pool_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return without(docs, tail(docs, 200, "doc_id"), "doc_id")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS instance_idx FROM conversations")
+def instance_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_ordinal(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM conversations) AS n_turns")
+def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = (table(spark, sf_dir, t).agg(F.count("*").alias(n)) for t, n in (("documents", "n_documents"), ("conversations", "n_turns")))
+    return one.join(F.broadcast(two))
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR || ' ' || text ELSE text END AS text FROM documents) SELECT doc_id, md5(regexp_replace(text, '\\A\\p{{Nd}}+{SQL_WS}+', '')) AS cleaned FROM x")
+def clean_leading_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(spark, sf_dir).select("doc_id", _text_digest(without_leading_number("text")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, len({sql_words('text')})::BIGINT AS n_tokens, md5(array_to_string({sql_words('text')}, ' ')) AS tokens FROM documents")
+def tokenize_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", word_tokens("text").alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, len({sql_tokens('text')})::BIGINT AS n_tokens, md5(array_to_string({sql_tokens('text')}, ' ')) AS tokens FROM documents")
+def tokenize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", space_tokens("text").alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
+
+
+def _gram_query(n: int):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", word_tokens("text").alias("t"))
+        return gram_counts(rows, ["conv_id", "turn"], "t", n).select("conv_id", "turn", F.md5("gram").alias("gram"), "n")
+
+    f.__name__ = f"ngram_counts_{n}"
+    sql = f"WITH t AS (SELECT conv_id, turn, {sql_words('text')} AS t FROM conversations), g AS (SELECT conv_id, turn, unnest({sql_grams('t', n)}) AS gram FROM t) SELECT conv_id, turn, md5(gram) AS gram, count(*) AS n FROM g GROUP BY ALL"
+    query(sql)(f)
+
+
+for _n in (1, 2, 3, 4):
+    _gram_query(_n)
+
+
+@query("SELECT doc_id, length(CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END) AS n_chars, md5(CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END) AS short FROM documents")
+def truncate_500(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", truncate("text").alias("t"))
+    return rows.select("doc_id", F.char_length("t").cast("long").alias("n_chars"), F.md5("t").alias("short"))
+
+
+def _extract_query(mode: str):
+    name = {"first_line": "extract_first_line", "to_end": "extract_to_end", "paragraph": "extract_paragraph"}[mode]
+    flags = {"first_line": "", "to_end": "(?s)", "paragraph": "(?is)"}[mode]
+    rest = {"first_line": "(.*)", "to_end": "(.*)", "paragraph": r"(.*?)(?:\n\n|\z)"}[mode]
+    pattern = f"{flags}{MARKER}{SQL_WS}*{rest}"
+    got = f"regexp_extract(response, '{pattern}', 1)"
+    sql = f"WITH {RESPONSES} SELECT doc_id, CASE WHEN response IS NULL THEN '' WHEN regexp_matches(response, '{pattern}') THEN {got if mode == 'first_line' else sql_strip(got)} ELSE {sql_strip('response')} END AS answer FROM responses"
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return responses(spark, sf_dir).select("doc_id", extract("response", MARKER, mode).alias("answer"))
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+for _mode in ("first_line", "to_end", "paragraph"):
+    _extract_query(_mode)
+
+
+# --- few-shot sampling and prompts ----------------------------------------------------------------
+
+
+@query(f"WITH {SPLIT}, {sql_draws('pool')} SELECT instance_idx, slot, p.doc_id FROM draws d JOIN pool p USING (position) WHERE NOT {sql_blank('p.content')} AND NOT {sql_blank('p.headline')}")
+def fewshot_sample3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, pool = test_and_pool(spark, sf_dir)
+    return fewshot.sample_then_filter(test, pool, ["doc_id"], ["content", "headline"], SEED).select("instance_idx", F.col("slot").cast("long").alias("slot"), "doc_id")
+
+
+@query(f"WITH {SPLIT}, good AS (SELECT * EXCLUDE (position), row_number() OVER (ORDER BY doc_id) - 1 AS position FROM pool WHERE doc_id % 3 <> 0 AND NOT {sql_blank('headline')}), {sql_draws('good')} SELECT instance_idx, slot, p.doc_id FROM draws d JOIN good p USING (position)")
+def fewshot_fill3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, pool = test_and_pool(spark, sf_dir)
+    return fewshot.filter_then_sample(test, pool.where("doc_id % 3 <> 0"), ["doc_id"], ["headline"], SEED).select("instance_idx", F.col("slot").cast("long").alias("slot"), "doc_id")
+
+
+@query(f"WITH {SIMP}, u AS (SELECT conv_id, turn, list_filter([s1, s2, s3], lambda x: NOT {sql_blank('x')}) AS refs FROM simp) SELECT conv_id, turn, md5(refs[1 + {sql_hash('conv_id::VARCHAR', chr(39) + 'pick' + chr(39))} % len(refs)]) AS reference FROM u")
+def fewshot_pick_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simp(spark, sf_dir).select("conv_id", "turn", _text_digest(fewshot.pick(usable("s1", "s2", "s3"), F.col("conv_id"))).alias("reference"))
+
+
+def _sql_text(s: str) -> str:
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in s.split("\n"))
+
+
+def _prompt_query(name: str, query_type: str, system: bool = False):
+    t = prompts.template("headline", query_type)
+    few = query_type.startswith("few")
+    if few:
+        given = f"CASE WHEN length(p.content) > {t.cut} THEN left(p.content, {t.cut}) || '...' ELSE p.content END"
+        block = f"chr(10) || 'Example ' || (row_number() OVER (PARTITION BY instance_idx ORDER BY slot))::VARCHAR || {_sql_text(':' + chr(10) + t.label + ': ')} || {given} || {_sql_text(chr(10) + t.marker + ' ')} || p.headline || chr(10)"
+        sql = f"""WITH {SPLIT}, {sql_draws('pool')}, e AS (SELECT instance_idx, slot, {block} AS block FROM draws d JOIN pool p USING (position) WHERE NOT {sql_blank('p.content')} AND NOT {sql_blank('p.headline')}),
+ shown AS (SELECT instance_idx, string_agg(block, '' ORDER BY slot) AS shown FROM e GROUP BY ALL)
+ SELECT t.instance_idx, md5({_sql_text(t.task + chr(10) * 2 + t.action + chr(10) * 2 + t.lead_in)} || coalesce(shown, '') || {_sql_text(chr(10) * 2 + t.closing + chr(10) + t.label + ': ')} || t.content) AS prompt FROM test t LEFT JOIN shown USING (instance_idx)"""
+    else:
+        content = f"{_sql_text(f'{t.task} {t.action} {t.label}: ')} || content"
+        sql = f"WITH {SPLIT} SELECT instance_idx, md5({_sql_text(t.system + '|') + ' || ' if system else ''}{content}) AS prompt FROM test"
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        test, pool = test_and_pool(spark, sf_dir)
+        examples = None
+        if few:
+            shots = fewshot.gathered(fewshot.sample_then_filter(test, pool, ["doc_id"], ["content", "headline"], SEED), "content", "headline")
+            test, examples = test.join(shots, "instance_idx", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<struct<input:string,output:string>>"))), "examples"
+        made = prompts.chat(prompts.prompt("headline", query_type, "content", examples), t.system if system else None)
+        return test.select("instance_idx", F.md5(F.array_join(F.transform(made, lambda m: m["content"]), "|")).alias("prompt"))
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_prompt_query("prompt_zero_shot", "zero-shot")
+_prompt_query("prompt_zero_shot_si", "zero-shot-si")
+_prompt_query("prompt_few_shot", "few-shot")
+_prompt_query("prompt_few_shot_si", "few-shot-si")
+_prompt_query("prompt_with_system", "zero-shot", system=True)
+
+
+# --- generation -----------------------------------------------------------------------------------
+
+
+def _lead_model():
+    return lambda prompts: [f"{MARKER} " + " ".join(str(p).split()[:12]) for p in prompts]
+
+
+@query(f"SELECT doc_id, md5('{MARKER} ' || array_to_string(list_slice({sql_tokens('text')}, 1, 12), ' ')) AS response FROM documents")
+def generate_lead_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chat"))
+    return generate(asked, _lead_model).select("doc_id", F.md5("responses").alias("response"))
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, md5(pred) AS response FROM pairs")
+def generate_drop_every_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.md5(drop_every("text")).alias("response"))
+
+
+def _flaky_model():
+    """Fails twice for a prompt of even length and for ever for an odd one, so three tries tell."""
+    fine, never = failing(2, lambda p: str(p)[:20]), failing(10**9, str)
+    return retrying_api(lambda p, **o: (fine if len(p) % 2 == 0 else never)(p, **o), Retry(3, lambda _: None))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN left(text, 20) ELSE '' END AS response FROM conversations WHERE role = 'user'")
+def generate_retry_then_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # prompts are unique by (conv_id, turn): a repeated text would find its failures used up
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("chat"))
+
+    def fresh():
+        return lambda some: [_flaky_model()([p])[0] for p in some]
+
+    return generate(asked, fresh).select("conv_id", "turn", F.col("responses").alias("response"))
+
+
+# --- row metrics ------------------------------------------------------------------------------------
+
+BLEUS = [*[f"bleu_{n}" for n in (1, 2, 3, 4)], "bleu_overall"]
+_BP = "CASE WHEN len(p) = 0 THEN 0.0 WHEN len(p) > len(r) THEN 1.0 ELSE exp(1 - len(r)::DOUBLE / len(p)) END"
+BLEU = f"""{PAIRS}, tok AS (SELECT conv_id, turn, {sql_tokens('ref')} AS r, {sql_tokens('pred')} AS p FROM pairs),
+ gr AS (SELECT *, {_BP} AS bp, {', '.join(f"{sql_grams(k, n)} AS {k}{n}" for k in 'rp' for n in (1, 2, 3, 4))} FROM tok),
+ sh AS (SELECT conv_id, turn, bp, {', '.join(f"CASE WHEN len(p{n}) = 0 THEN 0.0 ELSE {sql_clip(f'p{n}', f'r{n}')}::DOUBLE / len(p{n}) END AS s{n}" for n in (1, 2, 3, 4))} FROM gr),
+ bleu AS (SELECT conv_id, turn, {', '.join(f"100 * bp * s{n} AS bleu_{n}" for n in (1, 2, 3, 4))}, CASE WHEN least(s1, s2, s3, s4) > 0 THEN 100 * bp * exp((ln(s1) + ln(s2) + ln(s3) + ln(s4)) / 4) ELSE 0.0 END AS bleu_overall FROM sh)"""
+
+
+def bleu_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_bleu(pairs(spark, sf_dir), "ref", "pred")
+
+
+@query(f"WITH {BLEU} SELECT conv_id, turn, {', '.join(f'round({b}, 4) AS {b}' for b in BLEUS)} FROM bleu")
+def bleu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(bleu_table(spark, sf_dir), ["conv_id", "turn"], BLEUS)
+
+
+def _sql_f1(m: str, p: str, w: str) -> str:
+    return f"CASE WHEN {m} > 0 THEN 2.0 * {m} / ({p} + {w}) ELSE 0.0 END"
+
+
+ROUGE = f"""{NEWS}, tok AS (SELECT doc_id, {sql_words('headline')} AS r, {sql_words('pred')} AS p FROM news),
+ gr AS (SELECT doc_id, r, p, {', '.join(f"{sql_grams(k, n)} AS {k}{n}" for k in 'rp' for n in (1, 2))} FROM tok),
+ cl AS (SELECT *, {sql_clip('p1', 'r1')} AS m1, {sql_clip('p2', 'r2')} AS m2 FROM gr),
+ rouge AS (SELECT doc_id, {_sql_f1('m1', 'len(p1)', 'len(r1)')} AS rouge1, {_sql_f1('m2', 'len(p2)', 'len(r2)')} AS rouge2 FROM cl)"""
+
+
+def rouge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_rouge_n(news(spark, sf_dir).select("doc_id", "headline", "pred"), "headline", "pred")
+
+
+@query(f"WITH {ROUGE} SELECT doc_id, round(rouge1, 4) AS rouge1, round(rouge2, 4) AS rouge2 FROM rouge")
+def rouge_n_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(rouge_table(spark, sf_dir), ["doc_id"], ["rouge1", "rouge2"])
+
+
+#: Longest common subsequence by anti-diagonals: cell i of diagonal k is (i, k - i).
+LCS = f"""WITH RECURSIVE {PAIRS}, tok AS (SELECT conv_id, turn, {sql_words('ref')} AS a, {sql_words('pred')} AS b FROM pairs),
+ d AS (SELECT conv_id, turn, 1 AS k, list_transform(range(0, len(a) + 1), lambda i: 0::USMALLINT) AS p2, list_transform(range(0, len(a) + 1), lambda i: 0::USMALLINT) AS p1 FROM tok
+ UNION ALL SELECT d.conv_id, d.turn, k + 1, p1, list_transform(range(0, len(a) + 1), lambda i: (CASE WHEN i = 0 OR k + 1 - i <= 0 OR k + 1 - i > len(b) THEN 0 WHEN a[i] = b[k + 1 - i] THEN p2[i] + 1 ELSE greatest(p1[i], p1[i + 1]) END)::USMALLINT)
+ FROM d JOIN tok t ON d.conv_id = t.conv_id AND d.turn = t.turn WHERE k < len(a) + len(b)),
+ l AS (SELECT d.conv_id, d.turn, len(a) AS m, len(b) AS n, p1[len(a) + 1] AS l FROM d JOIN tok t ON d.conv_id = t.conv_id AND d.turn = t.turn WHERE k = greatest(1, len(a) + len(b)))"""
+
+
+@query(f"{LCS} SELECT conv_id, turn, round(CASE WHEN l > 0 THEN 2.0 * l / (m + n) ELSE 0.0 END, 4)::DOUBLE AS \"rougeL\" FROM l")
+def rouge_l_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(with_rouge_l(pairs(spark, sf_dir), "ref", "pred"), ["conv_id", "turn"], ["rougeL"])
+
+
+def _sql_sari(refs: str) -> str:
+    """Common tables that score simp.pred against the list ``refs``."""
+    grams = ", ".join(f"list_distinct({sql_grams(k, n)}) AS {k}{n}" for k in "sy" for n in (1, 2, 3, 4))
+    union = ", ".join(f"list_distinct(flatten(list_transform(refs, lambda t: {sql_grams('t', n)}))) AS r{n}" for n in (1, 2, 3, 4))
+    inter = lambda a, b: f"list_filter({a}, lambda x: list_contains({b}, x))"
+    less = lambda a, b: f"list_filter({a}, lambda x: NOT list_contains({b}, x))"
+
+    def f1(t: str, p: str) -> str:
+        return f"(CASE WHEN len({inter(t, p)}) > 0 THEN 2.0 * len({inter(t, p)}) / (len({t}) + len({p})) ELSE 0.0 END)"
+
+    terms = []
+    for n in (1, 2, 3, 4):
+        s, y, r = f"s{n}", f"y{n}", f"r{n}"
+        terms += [f1(inter(s, r), inter(s, y)), f1(less(s, r), less(s, y)), f1(less(r, s), less(y, s))]
+    return f"""{SIMP}, u AS (SELECT conv_id, turn, {sql_words('complex')} AS s, {sql_words('pred')} AS y, list_transform(list_filter({refs}, lambda x: NOT {sql_blank('x')}), lambda x: {sql_words('x')}) AS refs FROM simp),
+ gr AS (SELECT conv_id, turn, len(refs) AS n_refs, {grams}, {union} FROM u),
+ sari AS (SELECT conv_id, turn, CASE WHEN n_refs = 0 THEN 0.0 ELSE 100 * ({' + '.join(terms)}) / 12 END AS sari FROM gr)"""
+
+
+def _sari_query(name: str, refs: list[str]):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = simp(spark, sf_dir)
+        given = [first_reference(*refs)] if name == "sari_first_available" else refs
+        return _round(with_sari(rows, "complex", given, "pred"), ["conv_id", "turn"], ["sari"])
+
+    f.__name__ = name
+    usable_list = f"[{', '.join(refs)}]"
+    if name == "sari_first_available":
+        usable_list = f"list_slice(list_filter({usable_list}, lambda x: NOT {sql_blank('x')}), 1, 1)"
+    query(f"WITH {_sql_sari(usable_list)} SELECT conv_id, turn, round(sari, 4) AS sari FROM sari")(f)
+
+
+_sari_query("sari_single_rows", ["s1"])
+_sari_query("sari_multi_rows", ["s1", "s2", "s3"])
+_sari_query("sari_first_available", ["s3", "s2", "s1"])
+
+
+# --- summaries ----------------------------------------------------------------------------------------
+
+STATS = ["mean", "median", "std", "min", "max"]
+
+
+def _sql_summary(source: str, metrics: list[str], groups: str = "") -> str:
+    each = " UNION ALL ".join(f"SELECT {groups + ', ' if groups else ''}'{m}' AS metric, \"{m}\" AS score FROM {source}" for m in metrics)
+    return f"SELECT {groups + ', ' if groups else ''}metric, count(score) AS n, round(avg(score), 4) AS mean, round(median(score), 4) AS median, round(stddev_pop(score), 4) AS std, round(min(score), 4) AS min, round(max(score), 4) AS max FROM ({each}) GROUP BY {groups + ', ' if groups else ''}metric"
+
+
+@query(f"WITH {BLEU} {_sql_summary('bleu', BLEUS)}")
+def bleu_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(summarise(bleu_table(spark, sf_dir), BLEUS), ["metric", "n"], STATS)
+
+
+@query(f"WITH {ROUGE} {_sql_summary('rouge', ['rouge1', 'rouge2'])}")
+def rouge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(summarise(rouge_table(spark, sf_dir), ["rouge1", "rouge2"]), ["metric", "n"], STATS)
+
+
+@query(f"WITH {_sql_sari('[s1, s2, s3]')} {_sql_summary('sari', ['sari'])}")
+def sari_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(summarise(with_sari(simp(spark, sf_dir), "complex", ["s1", "s2", "s3"], "pred"), ["sari"]), ["metric", "n"], STATS)
+
+
+def _run(c: str) -> tuple[Column, Column]:
+    n = F.col(c) % 4
+    return F.concat(F.lit("model_"), (F.col(c) % 2).cast("string")), F.when(n < 2, "zero-shot").otherwise("few-shot")
+
+
+_RUNS = "'model_' || (conv_id % 2)::VARCHAR AS model, CASE WHEN conv_id % 4 < 2 THEN 'zero-shot' ELSE 'few-shot' END AS query_type"
+
+
+@query(f"WITH {BLEU}, runs AS (SELECT 'translation' AS task, {_RUNS}, bleu_overall FROM bleu) {_sql_summary('runs', ['bleu_overall'], 'task, model, query_type')}")
+def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, query_type = _run("conv_id")
+    rows = bleu_table(spark, sf_dir).withColumns({"task": F.lit("translation"), "model": model, "query_type": query_type})
+    return _round(summarise(rows, ["bleu_overall"], "task", "model", "query_type"), ["task", "model", "query_type", "metric", "n"], STATS)
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents")
+def roundtrip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{root}/roundtrip-{uuid.uuid4().hex}"
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    back = read_csv(spark, path, "doc_id long, text string")
+    return back.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text"))
