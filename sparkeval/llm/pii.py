@@ -136,7 +136,7 @@ def form(text: str, start: int, kind: int, end: int, is_base: bool) -> tuple[int
     )
 
 
-SPANS = "spans array<struct<start:int,kind:int,end:int,votes:string,form:string>>"
+SPANS = "__pii array<struct<start:int,kind:int,end:int,votes:string,form:string>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("form", pa.string())]))
 
 
@@ -153,7 +153,7 @@ def _find(batches) -> Iterator[pa.RecordBatch]:
                         found.append({"start": a, "kind": kind, "end": b, "votes": ",".join(map(str, v)), "form": ",".join(map(str, x))})
             out.append(found)
         names = [n for n in batch.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, _SPAN)], names=[*names, "spans"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, _SPAN)], names=[*names, "__pii"])
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -231,7 +231,7 @@ def classifier(counts: list[tuple[tuple[int, ...], tuple[int, ...], int]]) -> di
 
 def learn(found: DataFrame) -> dict[str, float]:
     """The score of every span form in ``found``; forms and votes take few values, so few rows come."""
-    rows = found.select(F.explode("spans").alias("s")).groupBy("s.votes", "s.form").count().collect()
+    rows = found.select(F.explode("__pii").alias("s")).groupBy("s.votes", "s.form").count().collect()
     numbers = lambda s: tuple(map(int, s.split(",")))
     counts = sorted((numbers(r["votes"]), numbers(r["form"]), r["count"]) for r in rows)
     return {",".join(map(str, x)): s for x, s in classifier(counts).items()}
@@ -241,14 +241,14 @@ def _settle(batches, scores: dict[str, float], certain: float) -> Iterator[pa.Re
     """All spans as text, and the base ones' digest and counts, of each row."""
     for batch in batches:
         out = []
-        for spans in batch.column("spans").to_pylist():
+        for spans in batch.column("__pii").to_pylist():
             base = [s for s in spans if s["votes"][0] == "1"]
             both = base + [s for s in spans if s["votes"][0] != "1" and scores.get(s["form"], 0.0) >= certain]
             write = lambda some: ",".join(f"{KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in sorted(some, key=lambda s: (s["start"], s["kind"], s["end"])))
             n = Counter(s["kind"] for s in base)
             out.append((*(n[k] for k in range(len(KINDS))), hashlib.sha256(write(base).encode()).hexdigest(), write(both), len(both) - len(base)))
         columns = list(zip(*out, strict=True)) if out else [[]] * (len(KINDS) + 3)
-        names = [n for n in batch.schema.names if n != "spans"]
+        names = [n for n in batch.schema.names if n != "__pii"]
         arrays = [pa.array(c, pa.string() if i in (4, 5) else pa.int64()) for i, c in enumerate(columns)]
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *arrays], names=[*names, *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
@@ -269,7 +269,7 @@ def personal_data(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
 def _mask(batches, scores: dict[str, float], certain: float, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__pii").to_pylist(), strict=True):
             at, kept = 0, []
             for s in sorted(spans or [], key=lambda s: (s["start"], -s["end"])):
                 if s["votes"][0] != "1" and scores.get(s["form"], 0.0) < certain:
