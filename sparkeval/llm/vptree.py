@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARD, QUERIES, LEAF = 16_384, 512, 64
-FACTOR = 0.25
+FACTOR = 0.6
 
 INDEX = "shard long, dim int, n int, ids binary, vectors binary, order binary, nodes binary"
 _NODE = np.dtype([("start", "<i4"), ("end", "<i4"), ("near", "<i4"), ("far", "<i4"), ("radius", "<f8")])
