@@ -34,8 +34,11 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+#: However many names around speak for an article, they count no more than this, so that one name
+#: against it (an advert within an article) can outweigh them.
+ENOUGH = 3.0
 #: Labelled pages that the weights are learned from: a fixed number, the same at every size.
-PAGES, SEED = 800, 11
+PAGES, SEED = 1500, 11
 
 
 @lru_cache(maxsize=20_000)
@@ -106,18 +109,21 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
 class Weights:
     def __init__(self, bias: float, of: dict[str, float], tags: dict[str, float], unknown: float, minus: float):
         self.bias, self.of, self.tags, self.unknown, self.minus = bias, of, tags, unknown, minus
-        self._sums: dict[tuple[str, ...], float] = {}
+        self._sums: dict[tuple[str, ...], tuple[float, float]] = {}
 
-    def element(self, names: tuple[str, ...]) -> float:
+    def element(self, names: tuple[str, ...]) -> tuple[float, float]:
+        """What an element's names say for and against."""
         if (s := self._sums.get(names)) is None:
-            s = sum(self.of.get(f, 0.0) for f in names)
+            known = [self.of.get(f, 0.0) for f in names]
+            s = sum(x for x in known if x > 0), sum(x for x in known if x < 0)
             if len(self._sums) < 50_000:
                 self._sums[names] = s
         return s
 
     def place(self, around: tuple[tuple[str, ...], ...]) -> float:
         """Score of one word there: below 1 in size, below zero outside articles."""
-        s = math.tanh((self.bias + sum(map(self.element, around))) / 2)
+        each = [self.element(names) for names in around]
+        s = math.tanh((self.bias + min(ENOUGH, sum(x for x, _ in each)) + sum(x for _, x in each)) / 2)
         return s if s > 0 else s * self.minus
 
 
@@ -149,7 +155,7 @@ def learned(seed: int = SEED, n: int = PAGES) -> Weights:
     """Weights from labelled pages: a logistic model of places, log odds of tags, and how much a
     word outside counts against the run, chosen for the most pages that come out exactly."""
     made = labelled_pages.pages(seed, n)
-    rows, labels, counts = [], [], []
+    places: Counter = Counter()  # of (names around with their counts, label)
     inside, outside = Counter(), Counter()
     for pieces in made:
         page, spans = "", []
@@ -168,20 +174,22 @@ def learned(seed: int = SEED, n: int = PAGES) -> Weights:
             if value.strip():
                 label = next((y for a, b, y in edges if a <= at < b), None)
                 if label is not None:
-                    rows.append(Counter(f for names in around for f in names))
-                    labels.append(label)
-                    counts.append(1.0)
-    names = sorted({f for r in rows for f in r})
+                    places[tuple(sorted(Counter(f for names in around for f in names).items())), label] += 1
+    names = sorted({f for r, _ in places for f, _ in r})
     column = {f: k for k, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names) + 1))
+    x = np.zeros((len(places), len(names) + 1))
     x[:, -1] = 1
-    for i, r in enumerate(rows):
-        for f, v in r.items():
+    for i, (r, _) in enumerate(places):
+        for f, v in r:
             x[i, column[f]] = v
-    y, theta = np.array(labels, float), np.zeros(len(names) + 1)
+    y, n_of, theta = np.array([label for _, label in places], float), np.array(list(places.values()), float), np.zeros(len(names) + 1)
     mean_square = np.zeros_like(theta)
     for _ in range(400):
-        slope = x.T @ (1 / (1 + np.exp(-(x @ theta))) - y) / len(y) + 1e-4 * theta
+        speak = x[:, :-1] @ theta[:-1].clip(0)
+        raw = theta[-1] + np.minimum(speak, ENOUGH) + x[:, :-1] @ theta[:-1].clip(None, 0)
+        error = n_of * (1 / (1 + np.exp(-raw)) - y) / n_of.sum()
+        # names that speak for the article learn from places where they are not too many already
+        slope = np.append(np.where(theta[:-1] > 0, x[:, :-1].T @ (error * (speak < ENOUGH)), x[:, :-1].T @ error), error.sum()) + 1e-4 * theta
         mean_square = 0.9 * mean_square + 0.1 * slope**2
         theta -= 0.1 * slope / (np.sqrt(mean_square) + 1e-8)
     of = dict(zip(names, theta[:-1].tolist(), strict=True))
@@ -190,7 +198,7 @@ def learned(seed: int = SEED, n: int = PAGES) -> Weights:
     for minus in (1.0, 0.3, 0.1, 0.03):
         for scale in (1.0, 0.3):
             w = Weights(float(theta[-1]), of, {t: v * scale for t, v in tags.items()}, -0.05, minus)
-            right = sum(extract("".join(m for m, _, _ in p), w) == " ".join(" ".join(t for _, t, label in p if label == 1).split()) for p in made[: n // 3])
+            right = sum(extract("".join(m for m, _, _ in p), w) == " ".join(" ".join(t for _, t, label in p if label == 1).split()) for p in made[: n // 6])
             if best is None or right > best[0]:
                 best = right, w
     return best[1]
