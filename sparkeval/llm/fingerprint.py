@@ -19,7 +19,7 @@ BITS = 60
 FRACTION = 1 / 8
 FLOOR = 32
 #: Rows of a bucket of neighbouring doc_ids, about, and of quantiles that place the buckets.
-BUCKET = 20_000
+BUCKET = 5_000
 QUANTILES = 64
 
 
@@ -92,13 +92,14 @@ def _bucket(df: DataFrame, rows_each: int) -> Column:
         return F.lit(0).cast("long")
     bounds = sorted(set(bounds))
     parts = max(1, len(bounds) - 1)
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
     each = max(1, math.ceil(max(n / rows_each, least) / parts))
     known = F.lit(bounds)
     part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.size(F.filter(known, lambda b: b <= F.col("doc_id"))) - 1))
     low, high = F.get(known, part).cast("double"), F.coalesce(F.get(known, part + 1), F.get(known, part)).cast("double")
     inner = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1.0)) * each)
-    return F.coalesce(part * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), inner)), F.lit(0)).cast("long")
+    number = part * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), inner))
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(0)).cast("long")
 
 
 def next_documents(docs: DataFrame, rows_each: int = BUCKET) -> DataFrame:
@@ -125,7 +126,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     count as empty; rows that share a doc_id, or have none, are documents of their own; one row is
     its own next; an empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if dict(docs.dtypes)["doc_id"] != "bigint":  # a cast without effect would keep Spark from reusing the exchange
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_sketch(docs, "text", "sketch").select("doc_id", F.struct("text", "sketch").alias("own"))
     rows = next_documents(rows).select("doc_id", "own.*", "next").withColumn("n_chars", F.char_length("text").cast("long")).withColumn("quarter", F.floor(F.col("n_chars") / 4).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("quarter")).cast("int")), F.substring("next.text", F.lit(1), F.col("quarter"))))
