@@ -57,4 +57,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_best_fit_packing, op5_sentencepiece, op6_substring_dedup, op7_main_text, op8_nearest, op9_near_duplicates, op10_personal_data)}
-ORACLE_SQL: dict[str, str] = {}
+#: Whole tables, all pairs that share a shingle: exact, for any two documents.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+ s AS (SELECT doc_id, unnest(g) AS s FROM g),
+ shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+ links AS (SELECT x, y FROM shared JOIN g a ON a.doc_id = x JOIN g b ON b.doc_id = y WHERE 100 * n >= 85 * (len(a.g) + len(b.g) - n)),
+ ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+ reach AS (SELECT doc_id AS node, doc_id AS seen FROM g UNION SELECT ways.y, reach.seen FROM reach JOIN ways ON ways.x = reach.node),
+ least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM g JOIN least ON node = doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL}
