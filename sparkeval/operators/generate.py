@@ -6,10 +6,12 @@ responses.  Model clients are injected, so the adapters work with any service or
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +72,17 @@ def seq2seq(encode: Callable, model: Callable, decode: Callable, max_new_tokens:
     return lambda prompts: [Retry(1).call(lambda p=p: decode(model(encode(p), max_new_tokens))) for p in prompts]
 
 
+def seeded(make: Callable[[], Generator], seed: int = 777) -> Callable[[], Generator]:
+    """``make`` after seeding the worker's generators of random numbers."""
+
+    def seeded_make() -> Generator:
+        random.seed(seed)
+        np.random.seed(seed)
+        return make()
+
+    return seeded_make
+
+
 def failing(n: int, answer: Callable[[object], str]) -> Callable[..., str]:
     """A client whose first ``n`` calls for each prompt fail."""
     seen: dict[str, int] = {}

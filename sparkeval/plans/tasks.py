@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +117,15 @@ def run_task(spec: TaskSpec, query_type: str, table: DataFrame, pool: DataFrame
     return summary
 
 
+def run_all(tables: dict[str, tuple[DataFrame, DataFrame | None, str]], make: Callable[[str, str], Callable[[], Generator]], model: str, out: str, query_types: tuple[str, ...] = prompts.QUERY_TYPES) -> DataFrame:
+    """Every task in ``tables`` (table, pool, key) with every query type; all their summaries.
+
+    ``make(task, query_type)`` gives the maker of the generator to use.
+    """
+    summaries = [run_task(TASKS[name], q, table, pool, key, make(name, q), model, out) for name, (table, pool, key) in tables.items() for q in query_types]
+    return reduce(DataFrame.unionByName, summaries)
+
+
 def blank_answers(df: DataFrame) -> DataFrame:
     """Rows whose generation failed or gave nothing."""
     return df.where(is_blank("preds"))

@@ -87,6 +87,16 @@ def test_run_task(spark, tmp_path, task, query_type):
         assert {r.n for r in summary.collect()} == {n} and all(r["max"] > 0 for r in summary.collect())
 
 
+def test_run_all(spark, tmp_path):
+    from sparkeval.operators.generate import seeded
+    from sparkeval.plans.tasks import run_all
+
+    tables = {"en_si": (spark.createDataFrame([(i, f"a{i} b c d", f"w{i} x y z") for i in range(8)], ["k", "english", "sinhala"]), spark.createDataFrame([(i, f"a{i}", f"w{i}") for i in range(20, 25)], ["k", "english", "sinhala"]), "k")}
+    got = run_all(tables, lambda task, q: seeded(lambda: lambda prompts: ["Translation: w1 x y z"] * len(prompts)), "m", str(tmp_path), ("zero-shot", "few-shot-si")).collect()
+    assert {(r.query_type, r.metric) for r in got} == {(q, m) for q in ("zero-shot", "few-shot-si") for m in ("bleu_1", "bleu_2", "bleu_3", "bleu_4", "bleu_overall")}
+    assert all(r["max"] == 100 for r in got)
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:01:00", "a b c d", "a b c d"), ("2024-01-01 00:12:00", "a", "b")], "t string, r string, p string")
     rows.select(F.col("t").cast("timestamp").alias("t"), "r", "p").write.parquet(str(tmp_path / "in"))
