@@ -99,7 +99,7 @@ def _shards(batches, tokenizer: str, blank: str, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("n_null", pa.int64()), ("least", pa.int64()), ("doc_ids", pa.binary())])
     for batch in batches:
         texts, numbers = batch.column("text"), batch.column("doc_id").to_pylist()
-        for a, b in common.slices(texts):
+        for a, b in common.slices(texts, common.BATCH_BYTES):
             for doc_id, x in zip(numbers[a:b], tokens.encode(common.texts_of(texts.slice(a, b - a))), strict=True):
                 if ids and held + len(x) + 1 > SHARD_IDS:
                     yield pa.RecordBatch.from_pylist([row()], schema)

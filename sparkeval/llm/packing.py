@@ -34,7 +34,7 @@ def _pieces(batches, tokenizer: str, blank: str, end_id: int, capacity: int):
     tokens, row = encoder(tokenizer, blank), TaskContext.get().partitionId() << 33
     for batch in batches:
         texts, numbers = batch.column("text"), batch.column("doc_id").to_pylist()
-        for a, b in common.slices(texts):
+        for a, b in common.slices(texts, common.BATCH_BYTES):
             out = []
             for doc_id, x in zip(numbers[a:b], tokens.encode(common.texts_of(texts.slice(a, b - a))), strict=True):
                 ids = np.append(x, end_id).astype("<u4")

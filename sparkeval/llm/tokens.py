@@ -7,7 +7,6 @@ and look the rest up.  Ids are 16-bit where the vocabulary allows, else 32-bit.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +20,16 @@ _LONG = 64
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _FIRST = "\0"  # before a part without a space before it
 _SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_SIGN = frozenset(_SIGNS)
+
+
+#: White space that texts rarely hold, and what else may join two parts.
+_RARE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)] + ["  ", " \n", "\n ", _FIRST]
+
+
+def _odd(text: str) -> bool:
+    """Whether white space may meet white space, or an end: such a text goes to the library whole."""
+    return text[:1] == " " or text[-1:] == " " or any(c in text for c in _RARE)
 
 
 class Encoder:
@@ -31,28 +40,28 @@ class Encoder:
     Special tokens' own strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, blank: str):
+    def __init__(self, path: str, blank: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.blank = blank
+        self.space = np.array(self.tokenizer.encode(" ", add_special_tokens=False).ids, self.kind).tobytes()
         #: Whether the normaliser makes capitals small.
         self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Ab Z") == "ab z"
         self.bar = self.tokenizer.encode(" |", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        #: White space next to white space, or at an end: such a text goes to the library whole.
-        self.odd = re.compile(r"\s | \s|^ | $")
 
     def _library(self, parts: list[str]) -> list[bytes]:
         """Many parts go as one text with a bar between, whose id tells them apart again."""
         lead = self.blank == "leads"
-        alone = {x for x in parts if x[:1] == _FIRST or "|" in x or not x or x.isspace()}
+        alone = {x for x in parts if lead and x[:1] == _FIRST or "|" in x or not x or x.isspace()}
         joint = [x for x in parts if x not in alone]
         texts = [" ".join(["|", *[y for x in joint[i : i + 256] for y in (x, "|")]]) for i in range(0, len(joint), 256)]
         apart = [x for x in parts if x in alone]
-        texts += [x[1:] if x[:1] == _FIRST else f" {x}" if lead else x for x in apart]
+        texts += [x[1:] if lead and x[:1] == _FIRST else f" {x}" if lead else x for x in apart]
         ids = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         found = dict(zip(apart, [x.tobytes() for x in ids[len(ids) - len(apart) :]], strict=True))
         size = self.kind.itemsize
@@ -64,20 +73,20 @@ class Encoder:
 
     def _learn(self, parts: set[str]) -> None:
         """Ids of parts not known yet: a word and the signs after it are looked up apart."""
-        known, older = self.known, self.older
+        known, before, folds = self.known, self.older.get, self.folds
         mark = _FIRST if self.blank == "leads" else ""
         cut, ask, capital = [], set(), []
+        parts.discard("")
         for x in parts:
-            if (ids := older.get(x)) is not None:
+            if (ids := before(x)) is not None:
                 known[x] = ids
                 continue
-            if self.folds and x.isascii() and (small := x.lower()) != x:
+            if folds and x.isascii() and (small := x.lower()) != x:
                 capital.append((x, small))
                 x = small
                 if x in known:
                     continue
-            stem = x.rstrip(_SIGNS)
-            if len(stem) < len(x) and stem[-1:] in _LETTERS and x[0] != _FIRST and stem:
+            if x[-1] in _SIGN and (stem := x.rstrip(_SIGNS)) and stem[-1] in _LETTERS and x[0] != _FIRST:
                 sign = mark + x[len(stem) :]
                 cut.append((x, stem, sign))
                 ask.add(stem)
@@ -87,7 +96,7 @@ class Encoder:
         new = []
         for x in ask:
             if x not in known:
-                if (ids := older.get(x)) is not None:
+                if (ids := before(x)) is not None:
                     known[x] = ids
                 else:
                     new.append(x)
@@ -102,9 +111,12 @@ class Encoder:
         if self.blank == "dropped":
             split = [t.replace("\n", " ").split(" ") for t in texts]
         else:
-            split = [[_FIRST + t] if self.odd.search(t) else (_FIRST + t).split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
+            split = [[_FIRST + t] if _odd(t) else (_FIRST + t).split(" ") for t in texts]
+        if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
+        self.known[""] = b""
+        if self.blank == "leads":
+            self.known.update({"": self.space, _FIRST: b""})
         new = set().union(*split) - self.known.keys()
         self._learn(new)
         get = self.known.__getitem__
@@ -115,6 +127,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, blank: str) -> Encoder:
+def encoder(path: str, blank: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder for each file and worker process."""
-    return Encoder(path, blank)
+    return Encoder(path, blank, remembered)
