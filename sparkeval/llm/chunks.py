@@ -112,7 +112,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: in
     occurrences are no repeats.  Null and empty texts, and rows without doc_id, have none; rows
     that share a doc_id are one document for this purpose.  Other columns are ignored.
     """
-    chunks = common.stage(chunk_table(docs), "chunks")
+    chunks = chunk_table(docs)  # cut twice, which costs less than a table of all chunks
     length = F.shiftright("size", 32)
     # copies meet map-side first, so a chunk that every document has sends one row a task
     first = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
