@@ -203,8 +203,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     cut = _loosened(percent)
     signed = common.stage(signatures(docs), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = common.stage(usable.join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "n_shingles", "bands"), "members")
+    # copies meet map-side first; only sets met again are kept, in a table, so that the join back is
+    # of two plain exchanges, of which Spark can split a hot one
+    classes = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = common.stage(classes, "copies")
+    member = usable.join(classes, ["d1", "d2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    member = common.stage(member.select("doc_id", "rep", "n_shingles", "bands"), "members")
     reps = common.stage(member.where("doc_id = rep").select("rep", "n_shingles", "bands").distinct(), "classes")
 
     keys = reps.select("rep", F.posexplode("bands").alias("pos", "key"))

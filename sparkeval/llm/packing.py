@@ -45,6 +45,7 @@ def _pieces(batches, tokenizer: str, blank: str, end_id: int, capacity: int):
                     row += 1
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
+    tokens.rest()
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -106,6 +106,10 @@ class Encoder:
         for x, small in capital:
             known[x] = known[small]
 
+    def rest(self) -> None:
+        """Forget the older half; for a worker that waits, perhaps for other work."""
+        self.older = {}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if self.blank == "dropped":
