@@ -128,8 +128,8 @@ def build_index(df: DataFrame, shard: int = SHARD) -> DataFrame:
     common.small_batches(df.sparkSession)
     rows = usable(df)
     shards = max(1, -(-rows.count() // shard))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)) * 65536 + F.size("embedding"))
-    return common.stage(rows.groupBy("shard").applyInArrow(_build, INDEX), "vptree")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards))).withColumn("dim", F.size("embedding"))
+    return common.stage(rows.groupBy("shard", "dim").applyInArrow(_build, INDEX), "vptree")
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = FACTOR, block: int = QUERIES) -> DataFrame:
@@ -144,8 +144,11 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = F
     blocks = max(1, -(-rows.count() // block))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("dim", F.size("embedding"))
     held = common.stage(rows.groupBy("block", "dim").applyInArrow(_gather, "block long, dim int, own binary, queries binary"), "queries")
-    # a row for each query block and shard of like length: blobs, not single rows
-    todo = held.join(index.select("shard", "dim"), "dim").join(index.drop("dim"), "shard").repartition("shard", "block")
+    # a row for each query block and shard: blobs, not single rows, dealt by shard
+    last = index.agg(F.max("shard")).first()[0]
+    shards = F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array()
+    todo = held.withColumn("shard", F.explode(shards.cast("array<long>")))
+    todo = todo.join(index, ["shard", "dim"]).repartition("shard", "block")
     each = todo.mapInArrow(lambda b: _search(b, k, factor), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
