@@ -19,9 +19,10 @@ from . import common, words
 
 U = np.uint64
 #: Labelled rows that are learned from, at most, and terms that are kept, at most.
-LABELLED, TERMS = 15_000, 1024
-#: A term is kept if in so many sampled texts, with so large a z-score of its share of label 1.
-LEAST_TEXTS, LEAST_Z = 5, 4.0
+LABELLED, TERMS = 40_000, 1024
+#: A term is kept if in so many sampled texts, and one in so many of them, with so large a z-score
+#: of its share of label 1.
+LEAST_TEXTS, ONE_IN, LEAST_Z = 5, 4000, 4.0
 FACTORS, EPOCHS, RATE, DECAY = 8, 400, 0.05, 1e-4
 #: Share of a row's inputs that an epoch leaves out, so that each learns to tell by itself.
 DROPPED = 0.5
@@ -153,12 +154,13 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     # the sample's ids are bounded by ``labelled``, so they may be sent to every task
     sample = common.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text"), "labelled")
-    counts = sample.select("y", "text").mapInArrow(_count, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_TEXTS)
+    counts = sample.select("y", "text").mapInArrow(_count, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < toxic < total:
         share = (toxic + 0.5) / (total + 1)
         return Model(np.zeros(0, U), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
     share = toxic / total
+    counts = counts.where(F.col("n") >= max(LEAST_TEXTS, total / ONE_IN))
     z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) * (1 - F.col("n") / (total + 1)))
     kept = counts.withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).collect()
     keys = np.sort(np.array([r["term"] for r in kept], np.int64).view(U))
