@@ -99,9 +99,8 @@ def _trailing(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 def chunk_table(docs: DataFrame) -> DataFrame:
     """A row for each chunk: doc_id, digest, at = index << 32 | start, size = signs << 32 | words."""
-    common.small_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_chunks, CHUNK)
+    return common.map_batches(rows, _chunks, CHUNK)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -156,4 +155,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spans = repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     both = docs.join(spans, "doc_id", "left").select(*docs.columns, "__spans")
     names = docs.columns
-    return both.mapInArrow(lambda b: _cut(b, names), docs.schema)
+    return common.map_batches(both, lambda b: _cut(b, names), docs.schema)

@@ -109,6 +109,7 @@ def _shards(batches, tokenizer: str, blank: str, end_id: int):
                 held += len(x) + 1
     if ids:
         yield pa.RecordBatch.from_pylist([row()], schema)
+    tokens.rest()
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, blank: str = "dropped") -> None:
@@ -118,11 +119,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, blank: str =
     of their own in the order of their texts' hashes; other columns are ignored.  An empty table
     writes no shard.
     """
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.mapInArrow(lambda b: _shards(b, tokenizer, blank, end_id), SHARD).write.parquet(path)
+    common.map_batches(rows, lambda b: _shards(b, tokenizer, blank, end_id), SHARD).write.parquet(path)
 
 
 def _documents(batches, with_ids: bool):
@@ -152,5 +152,5 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n_ids").over(of_part), F.lit(0)).alias("base"))
     bases = counts.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(parts, "part").select("part", "shard", (F.col("base") + F.col("before")).alias("base"))
     schema = "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    docs = shards.mapInArrow(lambda b: _documents(b, with_ids), schema)
+    docs = common.map_batches(shards, lambda b: _documents(b, with_ids), schema)
     return docs.join(bases, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

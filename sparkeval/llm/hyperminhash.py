@@ -98,8 +98,7 @@ def _sign(batches) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, number of shingles, a digest of the set (d1, d2), and the signature, of each row."""
-    common.small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, SIGNED)
+    return common.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _sign, SIGNED)
 
 
 def _groups(batches, keys: list[str]) -> Iterator[pa.Table]:
@@ -217,7 +216,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     groups = _blocks(groups, "blocks", "rep").join(reps, "rep")
     task = ["pos", "key", "i", "j"]
     groups = groups.repartition(*task).sortWithinPartitions(*task, "rep")
-    loose = groups.mapInArrow(lambda b: _compare(b, cut), "a long, b long")
+    loose = common.map_batches(groups, lambda b: _compare(b, cut), "a long, b long")
 
     family = common.connected_components(loose).withColumnRenamed("component", "family")
     held = common.stage(family.join(reps, family["node"] == reps["rep"]).select("rep", "family", "n_shingles", "bands"), "families")
@@ -226,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(held, "doc_id")
     task = ["family", "i", "j"]
     texts = _blocks(texts, "blocks", "doc_id").repartition(*task).sortWithinPartitions(*task, "doc_id")
-    links = texts.mapInArrow(lambda b: _confirm(b, percent, cut), "a long, b long")
+    links = common.map_batches(texts, lambda b: _confirm(b, percent, cut), "a long, b long")
 
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     component = common.connected_components(links.union(copies))

@@ -216,8 +216,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     Null and empty html, and pages without a main text, give an empty text; repeated rows and null
     ids or urls stay; other columns are ignored.  The weights are a few hundred numbers.
     """
-    common.small_batches(pages.sparkSession)
     w = learned()
     w._sums.clear()
     rows = pages.selectExpr("cast(page_id as long) as page_id", "url", "html")
-    return rows.mapInArrow(lambda b: _extract(b, w), "page_id long, url string, text string, n_chars long")
+    return common.map_batches(rows, lambda b: _extract(b, w), "page_id long, url string, text string, n_chars long")

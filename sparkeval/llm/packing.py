@@ -171,9 +171,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     end id alone); rows that share a doc_id, or have none, are documents of their own; an empty
     table gives no rows; other columns are ignored.
     """
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = common.stage(rows.mapInArrow(lambda b: _pieces(b, tokenizer, blank, end_id, capacity), PIECE), "pieces")
+    pieces = common.stage(common.map_batches(rows, lambda b: _pieces(b, tokenizer, blank, end_id, capacity), PIECE), "pieces")
     whole, part = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     blocks = max(1, round(part.count() / block))
     placed = part.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block").applyInArrow(_pack(capacity), PLACED)

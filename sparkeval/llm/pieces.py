@@ -165,6 +165,7 @@ def _encode(batches, model: str, full: bool):
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([numbers.slice(a, b - a), *[pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)]], ["doc_id", *names[: len(rows[0])]])
+    p.older = {}  # a worker that waits may get other work
 
 
 def encode(docs: DataFrame, model: str, full: bool = False) -> DataFrame:
@@ -174,6 +175,5 @@ def encode(docs: DataFrame, model: str, full: bool = False) -> DataFrame:
     sentencepiece library as they are first met; a difference fails the job.  Null texts count as empty
     (the end id alone); repeated rows and null doc_ids stay; other columns are ignored.
     """
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda b: _encode(b, model, full), SCHEMA_FULL if full else SCHEMA)
+    return common.map_batches(rows, lambda b: _encode(b, model, full), SCHEMA_FULL if full else SCHEMA)

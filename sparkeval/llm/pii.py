@@ -158,11 +158,10 @@ def _find(batches) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of each row of ``docs``, and the base spans and candidates of its text."""
-    common.small_batches(docs.sparkSession)
     schema = docs.select(*keep).schema
     rows = docs.select(*keep, F.col("text").alias("__text"))
     span = docs.sparkSession.createDataFrame([], SPANS).schema.fields[0]
-    return rows.mapInArrow(_find, schema.add(span))
+    return common.map_batches(rows, _find, schema.add(span))
 
 
 def reliabilities(counts: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +262,7 @@ def personal_data(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
     """
     found = common.stage(find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "spans")
     scores = learn(found)
-    return found.mapInArrow(lambda b: _settle(b, scores, certain), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return common.map_batches(found, lambda b: _settle(b, scores, certain), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def _mask(batches, scores: dict[str, float], certain: float, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -289,4 +288,4 @@ def masked(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
     names = docs.columns
     found = common.stage(find(docs, names), "spans")
     scores = learn(found)
-    return found.mapInArrow(lambda b: _mask(b, scores, certain, names), docs.schema)
+    return common.map_batches(found, lambda b: _mask(b, scores, certain, names), docs.schema)

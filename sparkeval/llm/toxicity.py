@@ -148,13 +148,12 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     of doc_id; several labels of a document count by their mean.  Without labels, or with one kind
     only, every text scores alike.
     """
-    common.small_batches(docs.sparkSession)
     chosen = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     chosen = chosen.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     # the sample's ids are bounded by ``labelled``, so they may be sent to every task
     sample = common.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text"), "labelled")
-    counts = sample.select("y", "text").mapInArrow(_count, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counts = common.map_batches(sample.select("y", "text"), _count, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < toxic < total:
         share = (toxic + 0.5) / (total + 1)
@@ -164,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) * (1 - F.col("n") / (total + 1)))
     kept = counts.withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).collect()
     keys = np.sort(np.array([r["term"] for r in kept], np.int64).view(U))
-    rows = sample.select("y", "text").mapInArrow(lambda b: _inputs(b, keys), "y int, inputs array<int>").collect()  # at most ``labelled``
+    rows = common.map_batches(sample.select("y", "text"), lambda b: _inputs(b, keys), "y int, inputs array<int>").collect()  # at most ``labelled``
     row = np.repeat(np.arange(len(rows)), [len(r["inputs"]) for r in rows])
     at = np.array([i for r in rows for i in r["inputs"]], np.int64)
     return fit(row, at, np.array([r["y"] for r in rows], float), keys)
@@ -178,10 +177,9 @@ def _score(batches, model: Model) -> Iterator[pa.RecordBatch]:
 
 def with_scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of each row of ``docs``, and ``__score`` of its whole text."""
-    common.small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col("text").alias("__text"))
     schema = docs.select(*keep).schema.add("__score", "double")
-    return rows.mapInArrow(lambda b: _score(b, model), schema)
+    return common.map_batches(rows, lambda b: _score(b, model), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -125,7 +125,6 @@ def _search(batches, k: int, factor: float) -> Iterator[pa.RecordBatch]:
 
 def build_index(df: DataFrame, shard: int = SHARD) -> DataFrame:
     """A row for each shard: its vectors and their tree, written to the shared folder."""
-    common.small_batches(df.sparkSession)
     rows = usable(df)
     shards = max(1, -(-rows.count() // shard))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards))).withColumn("dim", F.size("embedding"))
@@ -149,6 +148,6 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = F
     shards = F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array()
     todo = held.withColumn("shard", F.explode(shards.cast("array<long>")))
     todo = todo.join(index, ["shard", "dim"]).repartition("shard", "block")
-    each = todo.mapInArrow(lambda b: _search(b, k, factor), "query_id long, vec_id long, score double")
+    each = common.map_batches(todo, lambda b: _search(b, k, factor), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
