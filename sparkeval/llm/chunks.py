@@ -5,7 +5,7 @@ bits opens a chunk, so chunks (about ``2**CUT_BITS`` words) depend on nearby tex
 insertion moves no boundary but its neighbours.  Chunks are told apart by digest and length.  A
 chunk whose first occurrence (by doc_id, then place) lies in another document is a repeat; repeats
 in a row of at least ``MIN_WORDS`` words or ``MIN_CHARS`` signs (chunks met again within a document
-not counted) are a repeated passage.
+not counted) are a repeated passage, if half of that lies in one document at the same distances.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: in
     """Passages of ``docs`` (doc_id, text) that an earlier document has too.
 
     A row for each: doc_id, start and end (code points, end exclusive), n_words, n_chunks and
-    source_doc_id, the earliest document that holds the first of its chunks.  A document's first
+    source_doc_id, the document that holds most of it first.  A document's first
     occurrences are no repeats.  Null and empty texts, and rows without doc_id, have none; rows
     that share a doc_id are one document for this purpose.  Other columns are ignored.
     """
@@ -115,17 +115,24 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: in
     length = F.shiftright("size", 32)
     # copies meet map-side first, so a chunk that every document has sends one row a task
     first = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
-    first = first.select("digest", F.col("first.doc_id").alias("source_doc_id"))
+    first = first.select("digest", F.col("first.doc_id").alias("source_doc_id"), F.shiftright("first.at", 32).alias("source_k"))
     again = chunks.join(first, "digest").where("doc_id > source_doc_id")
-    again = again.select("doc_id", F.shiftright("at", 32).alias("k"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("start"), length.alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("w"), "digest", "source_doc_id")
+    k = F.shiftright("at", 32)
+    again = again.select("doc_id", k.alias("k"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("start"), length.alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("w"), "digest", "source_doc_id", (k - F.col("source_k")).alias("shift"))
     again = again.repartition("doc_id").distinct()
     # what a document says over and over counts once: a word that fills a page is no passage
     again = again.withColumn("new", (F.col("k") == F.min("k").over(Window.partitionBy("doc_id", "digest"))).cast("long"))
     runs = again.withColumn("run", F.col("k") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("k")))
-    runs = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum("w").alias("n_words"), F.count("*").alias("n_chunks"), F.min_by("source_doc_id", "k").alias("source_doc_id"), F.sum(F.col("new") * F.col("w")).alias("new_words"), F.sum(F.col("new") * F.col("n")).alias("new_chars")
+    # chunks that one document has at the same distance from each other: chance puts few words there
+    same = runs.groupBy("doc_id", "run", "source_doc_id", "shift").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum("w").alias("w"), F.count("*").alias("n"), F.sum(F.col("new") * F.col("w")).alias("new_w"), F.sum(F.col("new") * F.col("n")).alias("new_n")
+    )
+    runs = same.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("w").alias("n_words"), F.sum("n").alias("n_chunks"), F.sum("new_w").alias("new_words"), F.sum("new_n").alias("new_chars"),
+        F.max("new_w").alias("same_words"), F.max("new_n").alias("same_chars"), F.max(F.struct("new_n", -F.col("source_doc_id"))).alias("most"),
     )
     kept = runs.where((F.col("new_words") >= min_words) | (F.col("new_chars") >= min_chars))
+    kept = kept.where((F.col("same_words") >= min_words / 2) | (F.col("same_chars") >= min_chars / 2)).withColumn("source_doc_id", -F.col("most.col2"))
     return kept.select("doc_id", "start", "end", "n_words", "n_chunks", "source_doc_id")
 
 
