@@ -37,7 +37,8 @@ def _pieces(batches, tokenizer: str, blank: str, end_id: int, capacity: int):
         for a, b in common.slices(texts, common.BATCH_BYTES):
             out = []
             for doc_id, x in zip(numbers[a:b], tokens.encode(common.texts_of(texts.slice(a, b - a))), strict=True):
-                ids = np.append(x, end_id).astype("<u4")
+                ids = np.empty(len(x) + 1, "<u4")
+                ids[:-1], ids[-1] = x, end_id
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -21,15 +21,17 @@ _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012345
 _FIRST = "\0"  # before a part without a space before it
 _SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _SIGN = frozenset(_SIGNS)
+_SMALL = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isupper())
 
 
 #: White space that texts rarely hold, and what else may join two parts.
 _RARE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)] + ["  ", " \n", "\n ", _FIRST]
+_RARE_ASCII = [c for c in _RARE if c.isascii()]
 
 
 def _odd(text: str) -> bool:
     """Whether white space may meet white space, or an end: such a text goes to the library whole."""
-    return text[:1] == " " or text[-1:] == " " or any(c in text for c in _RARE)
+    return text[:1] == " " or text[-1:] == " " or any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE))
 
 
 class Encoder:
@@ -51,6 +53,12 @@ class Encoder:
         #: Whether the normaliser makes capitals small.
         self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Ab Z") == "ab z"
         self.bar = self.tokenizer.encode(" |", add_special_tokens=False).ids[0]
+        #: Without the normaliser, for parts that it leaves as they are: small ASCII signs.
+        self.plain = None
+        if self.folds and self.tokenizer.normalizer.normalize_str(_SMALL) == _SMALL:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.encode_special_tokens = True
+            self.plain.normalizer = None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -59,17 +67,27 @@ class Encoder:
         lead = self.blank == "leads"
         alone = {x for x in parts if lead and x[:1] == _FIRST or "|" in x or not x or x.isspace()}
         joint = [x for x in parts if x not in alone]
-        texts = [" ".join(["|", *[y for x in joint[i : i + 256] for y in (x, "|")]]) for i in range(0, len(joint), 256)]
         apart = [x for x in parts if x in alone]
-        texts += [x[1:] if lead and x[:1] == _FIRST else f" {x}" if lead else x for x in apart]
-        ids = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        found = dict(zip(apart, [x.tobytes() for x in ids[len(ids) - len(apart) :]], strict=True))
+        ids = self.tokenizer.encode_batch_fast([x[1:] if lead and x[:1] == _FIRST else f" {x}" if lead else x for x in apart], add_special_tokens=False)
+        found = {x: np.array(e.ids, self.kind).tobytes() for x, e in zip(apart, ids, strict=True)}
+        if self.plain is None:
+            self._joint(self.tokenizer, joint, found)
+        else:
+            small = [x for x in joint if x.isascii() and x == x.lower()]
+            self._joint(self.plain, small, found)
+            self._joint(self.tokenizer, [x for x in joint if x not in found], found)
+        return [found[x] for x in parts]
+
+    def _joint(self, tokenizer: Tokenizer, parts: list[str], found: dict[str, bytes]) -> None:
+        """Put the ids of parts that hold no bar into ``found``."""
         size = self.kind.itemsize
-        for i, x in zip(range(0, len(joint), 256), ids, strict=False):
-            raw, group = x.tobytes(), joint[i : i + 256]
+        groups = [parts[i : i + 256] for i in range(0, len(parts), 256)]
+        texts = [" ".join(["|", *[y for x in group for y in (x, "|")]]) for group in groups]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            x = np.array(e.ids, self.kind)
+            raw = x.tobytes()
             at = [0, *(np.flatnonzero(x[1:] == self.bar) + 1).tolist()]  # the first may have another id
             found.update((w, raw[(p + 1) * size : q * size]) for w, p, q in zip(group, at[:-1], at[1:], strict=True))
-        return [found[x] for x in parts]
 
     def _learn(self, parts: set[str]) -> None:
         """Ids of parts not known yet: a word and the signs after it are looked up apart."""
