@@ -4,7 +4,7 @@ A gear hash rolls over the last ``WINDOW`` bytes; a word that follows a hash wit
 bits opens a chunk, so chunks (about ``2**CUT_BITS`` words) depend on nearby text alone and an
 insertion moves no boundary but its neighbours.  Chunks are told apart by digest and length.  A
 chunk whose first occurrence (by doc_id, then place) lies in another document is a repeat; repeats
-in a row of at least ``MIN_WORDS`` words or ``MIN_CHARS`` signs (chunks met again within a document
+in a row of at least ``MIN_WORDS`` words or ``MIN_CHARS`` signs (chunks met again within the row
 not counted) are a repeated passage, if half of that lies in one document at the same distances.
 """
 
@@ -120,16 +120,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: in
     k = F.shiftright("at", 32)
     again = again.select("doc_id", k.alias("k"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("start"), length.alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("w"), "digest", "source_doc_id", (k - F.col("source_k")).alias("shift"))
     again = again.repartition("doc_id").distinct()
-    # what a document says over and over counts once: a word that fills a page is no passage
-    again = again.withColumn("new", (F.col("k") == F.min("k").over(Window.partitionBy("doc_id", "digest"))).cast("long"))
     runs = again.withColumn("run", F.col("k") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("k")))
-    # chunks that one document has at the same distance from each other: chance puts few words there
+    # what a run says over and over counts once: a word that fills a page is no passage, a passage met again is
+    runs = runs.withColumn("new", (F.col("k") == F.min("k").over(Window.partitionBy("doc_id", "run", "digest"))).cast("long"))
+    # chunks that one document has at the same distance from each other, each digest once: chance puts few words there
     same = runs.groupBy("doc_id", "run", "source_doc_id", "shift").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum("w").alias("w"), F.count("*").alias("n"), F.sum(F.col("new") * F.col("w")).alias("new_w"), F.sum(F.col("new") * F.col("n")).alias("new_n")
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum("w").alias("w"), F.sum("n").alias("chars"), F.count("*").alias("n"), F.sum(F.col("new") * F.col("w")).alias("new_w"), F.sum(F.col("new") * F.col("n")).alias("new_n")
     )
     runs = same.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("w").alias("n_words"), F.sum("n").alias("n_chunks"), F.sum("new_w").alias("new_words"), F.sum("new_n").alias("new_chars"),
-        F.max("new_w").alias("same_words"), F.max("new_n").alias("same_chars"), F.max(F.struct("new_n", -F.col("source_doc_id"))).alias("most"),
+        F.max("w").alias("same_words"), F.max("chars").alias("same_chars"), F.max(F.struct("chars", -F.col("source_doc_id"))).alias("most"),
     )
     kept = runs.where((F.col("new_words") >= min_words) | (F.col("new_chars") >= min_chars))
     kept = kept.where((F.col("same_words") >= min_words / 2) | (F.col("same_chars") >= min_chars / 2)).withColumn("source_doc_id", -F.col("most.col2"))

@@ -252,6 +252,19 @@ def test_repeated_passages(spark, hard, empty):
     assert chunks.repeated_passages(empty).count() == 0 and chunks.without_repeats(empty).count() == 0
 
 
+def test_every_copy_in_a_document_goes(spark):
+    passage, a, b, c = words(7000, 60), words(7001, 80), words(7002, 80), words(7003, 80)
+    texts = {1: f"{a} {passage}", 2: f"{passage} {b} {passage} {c} {passage}", 3: f"{words(7004, 40)} word", 4: "word " * 400 + b + " word" * 400}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = sorted((s for s in chunks.repeated_passages(df).collect() if s.doc_id == 2), key=lambda s: s.start)
+    assert [s.source_doc_id for s in spans] == [1, 1, 1] and all(len(texts[2][s.start : s.end].split()) >= 50 for s in spans)
+    out = {x.doc_id: x.text for x in chunks.without_repeats(df).collect()}
+    p = passage.split()
+    middle = " ".join(p[15:-15])
+    assert middle in out[1] and middle not in out[2] and " ".join(b.split()[10:-10]) in out[2] and " ".join(c.split()[10:-10]) in out[2]
+    assert out[1] == texts[1] and out[4].count("word") == 800  # a word that fills a page is no passage
+
+
 def test_chunks_cover_texts_and_resist_insertions(spark):
     text = words(9, 500)
     rows = chunks.chunk_table(spark.createDataFrame([(1, text), (2, "in front of it " + text), (3, "é" * 3000)], "doc_id long, text string")).collect()
