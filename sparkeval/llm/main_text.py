@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 
 from . import common, labelled_pages
 
-#: Fixed values of HTML: elements without an end, elements that do not break a line, and elements
-#: whose content is no text.
+#: Fixed values of HTML: elements without an end, elements that do not break a line, elements whose
+#: content is no text, those of them whose content holds no tags, and what a head may hold.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-SILENT = frozenset("script style noscript template svg math head iframe object canvas audio video select textarea title".split())
+SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title".split())
+RAW = frozenset("script style iframe textarea title".split())
+FOREIGN = frozenset("svg math".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title noframes style noscript script template".split())
 #: Starts of these end an open paragraph; items end an open item of their kind.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ITEMS = frozenset("li dt dd tr td th option".split())
@@ -59,22 +62,56 @@ def features(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Raw text ends at its own end tag alone, whatever looks like a tag before it, else with the page."""
+    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    return len(page) if end is None else end.end()
+
+
+def _silent_ends(page: str) -> dict[int, int]:
+    """Of each silent element that is not raw and has an end tag of its own: after its start tag, after its end tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in SILENT - RAW}
+    at = 0
+    while m := TOKEN.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in opened:
+            if tag == "select" and opened[tag] and not m[1]:
+                opened[tag].clear()  # a select within a select ends it
+            if not m[1]:
+                if not (tag in FOREIGN and m[0].endswith("/>")):
+                    opened[tag].append(at)
+            elif opened[tag]:
+                ends[opened[tag].pop()] = at
+        elif tag in RAW and not m[1] and not (opened["svg"] or opened["math"]):
+            at = _raw_end(page, tag, at)
+    return ends
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
-    """(kind, value, elements around): kind is "text", "inline" or "block"; value is text or a tag."""
+    """(kind, value, elements around): kind is "text", "inline" or "block"; value is text or a tag.
+
+    A head ends at its end tag, or at the first text or tag that a head may not hold.
+    """
     stack: list[tuple[str, tuple[str, ...]]] = []
-    at, silent = 0, ""
-    for m in TOKEN.finditer(page):
+    at, head, ends = 0, False, None
+    while m := TOKEN.search(page, at):
         tag = (m[2] or "").lower()
-        if silent:
-            if not (m[1] and tag == silent):
-                continue
-            silent, at = "", m.end()
-            continue
-        if m.start() > at:
+        if m.start() > at and not (head and page[at : m.start()].isspace()):
+            head = False
             yield "text", page[at : m.start()], tuple(f for _, f in stack)
         at = m.end()
         if not tag:
             continue
+        if tag == "head":
+            head = not m[1]
+            continue
+        if head:
+            if m[1] and tag not in ("body", "html", "br") or tag in IN_HEAD - SILENT:
+                if tag == "noframes" and not m[1]:
+                    at = _raw_end(page, tag, at)
+                continue
+            head = tag in IN_HEAD
         kind = "inline" if tag in INLINE else "block"
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
@@ -83,13 +120,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
                     break
             yield kind, f"/{tag}", ()
             continue
+        if tag in RAW:
+            at = _raw_end(page, tag, at)
+            continue
         if tag in SILENT:
-            silent = tag
-            # raw text ends at its own end tag alone, whatever looks like a tag before it
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if end is None:
-                at = len(page)
-                break
+            if not (tag in FOREIGN and m[0].endswith("/>")):
+                ends = _silent_ends(page) if ends is None else ends
+                at = ends.get(at, at)  # without an end tag, only its start goes
             continue
         if tag in ENDS_P or tag in ITEMS:
             close = {"p"} if tag in ENDS_P else {tag, "td", "th"} if tag == "tr" else {tag}
@@ -102,7 +139,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
         yield kind, tag, ()
         if tag not in VOID:
             stack.append((tag, features(tag, m[3].strip())))
-    if at < len(page) and not silent:
+    if at < len(page) and not (head and page[at:].isspace()):
         yield "text", page[at:], tuple(f for _, f in stack)
 
 

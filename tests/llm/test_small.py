@@ -288,6 +288,23 @@ def test_main_text():
     assert right >= 170  # held-out pages that come out exactly
 
 
+def test_main_text_drops_only_what_is_silent():
+    w = main_text.learned()
+    body = "<article><h1>Title here</h1><p>One two three four five</p>{}<p>Six seven eight nine ten</p></article>"
+    whole = "Title here One two three four five Six seven eight nine ten"
+    for start in ("<html><head><title>T</title><meta charset=utf-8><body>", "<html><head><title>T</title><style>p > a {}</style>", "<head><script>if (a<b) x = '</script></p><link rel=x>", "<head><noframes><p>no</p></noframes></head><body>", "<html><head>"):
+        assert main_text.extract(start + body.format(""), w) == whole
+    text = [v for kind, v, _ in main_text.tokens("<head> <title>T</title> Words <p>more</p>") if kind == "text"]
+    assert text == [" Words ", "more"]
+    for inner in (
+        "<svg width='1' />", "<math/>", "<svg><svg/><path d='M0'/></svg>", "<svg><title>no</svg>", "<canvas id=x>", "<video src=x>", "<object><object>no</object>no</object>", "<svg/><svg><text>no</text></svg>",
+        "<template><p>no</p></template>", "<noscript><img src=x>no</noscript>", "<select><option>no<select><option>no</select>", "<script>document.write('<svg>')</script>", "<iframe src=x>no</iframe >", "<svg viewBox='0'>", "<canvas>",
+    ):
+        got = main_text.extract(body.format(inner), w)
+        assert got == whole if "select" not in inner else whole.split("Six")[0] in got and "Six" in got, inner
+    assert main_text.extract(body.format("<canvas>" * 20_000), w) == whole
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", "<article><p>Hello there</p></article>"), (1, "u", "<article><p>Hello there</p></article>"), (None, None, None)]
     got = main_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
