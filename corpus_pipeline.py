@@ -30,7 +30,7 @@ def personal_data_is_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def sequences_are_packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, special=True)
 
 
 STAGES = [

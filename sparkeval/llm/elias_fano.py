@@ -79,9 +79,9 @@ class EliasFano:
         return (ones - np.arange(self.n)) << self.low_bits | (low << np.arange(self.low_bits)).sum(1)
 
 
-def _shards(batches, tokenizer: str, blank: str, end_id: int):
+def _shards(batches, tokenizer: str, blank: str, end_id: int, special: bool):
     """Shard rows of one partition, whose documents come in order."""
-    tokens, part, number = encoder(tokenizer, blank), TaskContext.get().partitionId(), 0
+    tokens, part, number = encoder(tokenizer, blank, special), TaskContext.get().partitionId(), 0
     kind = tokens.kind if end_id <= np.iinfo(tokens.kind).max else np.dtype("<u4")
     end = np.array([end_id], kind)
     ids, doc_ids, held = [], [], 0
@@ -112,17 +112,17 @@ def _shards(batches, tokenizer: str, blank: str, end_id: int):
     tokens.rest()
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, blank: str = "dropped") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, blank: str = "dropped", special: bool = False) -> None:
     """Write the ids of ``docs`` (doc_id, text) with ``end_id`` after each document, by doc_id.
 
     Null texts count as empty, a null doc_id comes first, rows that share a doc_id are documents
     of their own in the order of their texts' hashes; other columns are ignored.  An empty table
-    writes no shard.
+    writes no shard.  ``special``: special tokens' strings in a text get their ids.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    common.map_batches(rows, lambda b: _shards(b, tokenizer, blank, end_id), SHARD).write.parquet(path)
+    common.map_batches(rows, lambda b: _shards(b, tokenizer, blank, end_id, special), SHARD).write.parquet(path)
 
 
 def _documents(batches, with_ids: bool):

@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    elias_fano.write(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    elias_fano.write(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID, special=True)
     return elias_fano.read(spark, path)
 
 
@@ -28,7 +28,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, special=True)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

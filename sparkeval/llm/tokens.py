@@ -39,10 +39,11 @@ class Encoder:
 
     ``blank`` says how its tokens treat a single space: "dropped" (the normaliser and the
     splitter leave no token that holds or crosses one) or "leads" (it opens the next token).
-    Special tokens' own strings in a text are ordinary text.
+    Where ``special``, special tokens' own strings in a text get their ids, as the library has it
+    by default (a text that holds one goes to it whole); else they are ordinary text.
     """
 
-    def __init__(self, path: str, blank: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, blank: str, special: bool = False, remembered: int = REMEMBERED):
         self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,6 +60,14 @@ class Encoder:
             self.plain = Tokenizer.from_file(path)
             self.plain.encode_special_tokens = True
             self.plain.normalizer = None
+        #: With the library's default setting, and the strings that it finds in texts, as written or normalised.
+        self.whole, self.written, self.normalised = None, [], []
+        if special:
+            self.whole = Tokenizer.from_file(path)
+            for token in self.whole.get_added_tokens_decoder().values():
+                (self.normalised if token.normalized and self.whole.normalizer is not None else self.written).append(token.content)
+            if self.normalised:
+                self.normalised = list({*self.normalised, *map(self.whole.normalizer.normalize_str, self.normalised)})
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -128,8 +137,23 @@ class Encoder:
         """Forget the older half; for a worker that waits, perhaps for other work."""
         self.older = {}
 
+    def _marked(self, text: str) -> bool:
+        """Whether a text holds an added token's string."""
+        if any(s in text for s in self.written):
+            return True
+        return bool(self.normalised) and any(s in x for x in (text, self.whole.normalizer.normalize_str(text)) for s in self.normalised)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if self.whole is None or not (marked := [k for k, t in enumerate(texts) if self._marked(t)]):
+            return self._encode(texts)
+        apart = set(marked)
+        out = self._encode(["" if k in apart else t for k, t in enumerate(texts)])
+        for k, e in zip(marked, self.whole.encode_batch_fast([texts[k] for k in marked], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, self.kind)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.blank == "dropped":
             split = [t.replace("\n", " ").split(" ") for t in texts]
         else:
@@ -149,6 +173,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, blank: str, remembered: int = REMEMBERED) -> Encoder:
-    """One encoder for each file and worker process."""
-    return Encoder(path, blank, remembered)
+def encoder(path: str, blank: str, special: bool = False, remembered: int = REMEMBERED) -> Encoder:
+    """One encoder for each file, setting and worker process."""
+    return Encoder(path, blank, special, remembered)

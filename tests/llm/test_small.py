@@ -13,7 +13,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkeval.llm import chunks, elias_fano, fingerprint, hyperminhash, labelled_pages, main_text, packing, pieces, pii, toxicity, vptree
+import corpus_pipeline
+from sparkeval.llm import chunks, elias_fano, fingerprint, hyperminhash, labelled_pages, main_text, packing, pieces, pii, queries, toxicity, vptree
 from sparkeval.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, spans string"
@@ -81,6 +82,25 @@ def test_sentencepiece(hard, empty):
     assert pieces.encode(empty, path).count() == 0
 
 
+SPECIAL = ["one <|endoftext|> two", "<|endoftext|>", "A<|startoftext|>b <|endoftext|><|endoftext|>\n", " x <|ENDOFTEXT|> y", "plain words, as ever <|endoftext", words(4, 300) + "<|endoftext|> " + words(5, 1500)]
+
+
+def test_special_tokens_in_texts(spark, tmp_path):
+    texts = HARD + SPECIAL
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, rows in (("word_bpe_49k.json", queries.op2_token_files(spark, str(tmp_path))), ("byte_bpe_50k.json", queries.op4_best_fit_packing(spark, str(tmp_path))), ("byte_bpe_50k.json", corpus_pipeline.sequences_are_packed(spark, docs, ""))):
+        t = Tokenizer.from_file(public_tokenizers.path(name))  # with its default setting
+        ids = [np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for x in texts]
+        got = rows.collect()
+        if "piece" in rows.columns:
+            assert {r.doc_id for r in got} == set(range(len(texts))) and sum(r.length for r in got) == sum(map(len, ids))
+            assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in got)
+        else:
+            starts = np.cumsum([0, *map(len, ids)])
+            assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == [(k, starts[k], len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids)]
+
+
 def test_local_search_empties_bins():
     lengths = [5, 4, 4, 3, 2, 2]
     first = packing.best_fit(lengths, 10)
