@@ -11,7 +11,7 @@ from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,7 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``df.mapInArrow`` with batches bounded by bytes, as ten thousand long documents do not fit a
-    Python worker; a worker gives back the memory that a finished partition leaves unused."""
+    Python worker; a worker gives back the memory that a finished partition leaves unused.
+
+    The bound is a setting of the session, read when the query runs, so it stays set.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +70,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(names: list[str]) -> list[Column]:
+    """Columns of these very names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def with_texts(batch: pa.RecordBatch, names: list[str], texts: list[str | None]) -> pa.RecordBatch:
+    """The columns ``names`` of a batch with other texts; ``n_chars``, if there, is counted anew."""
+    columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+    if "n_chars" in names:
+        k = names.index("n_chars")
+        columns[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[k].type)
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null counts as empty."""
     return ["" if t is None else t for t in column.to_pylist()]
