@@ -9,8 +9,11 @@
 3. Within each family the full sets decide.  The search walks from linked documents to those not
    reached yet, so a family of copies costs one comparison a document, and only links that join
    something new are written, never all pairs.
+4. A family too large for one block first compares every member with ``HUBS`` of its members, which
+   takes each text to one block.  Those that the hubs join are one component; only the rest of the
+   family meets the rest and that component, block by block.
 
-Large groups and families are cut into blocks, and every pair of blocks is a task of its own.
+Large band groups are cut into blocks too, and every pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -30,6 +33,8 @@ BANDS, ROWS, MANTISSA = 20, 4, 10
 REGISTERS = BANDS * ROWS
 #: Members of a band group, members of a family, and shingles of a family that one block takes.
 GROUP_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 512, 1 << 20
+#: Members that a large family is compared with first.
+HUBS = 4
 DEVIATIONS = 4.5
 
 _FACTOR = words.mix(np.arange(1, REGISTERS + 1, dtype=U)) | U(1)
@@ -73,12 +78,12 @@ def _loosened(percent: int) -> float:
     return t - DEVIATIONS * math.sqrt(t * (1 - t) / REGISTERS)
 
 
-SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SIGNED = "node long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def _sign(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column, numbers = batch.column("text"), batch.column("doc_id")
+        column, numbers = batch.column("text"), batch.column("node")
         for a, b in common.slices(column):
             data, offsets = common.text_bytes(column.slice(a, b - a))
             hashes, _, _, of = words.word_hashes(data, offsets)
@@ -92,13 +97,13 @@ def _sign(batches) -> Iterator[pa.RecordBatch]:
             bands = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(rows).ravel()), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [numbers.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), bands],
-                ["doc_id", "n_shingles", "d1", "d2", "bands"],
+                ["node", "n_shingles", "d1", "d2", "bands"],
             )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, number of shingles, a digest of the set (d1, d2), and the signature, of each row."""
-    return common.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _sign, SIGNED)
+def signatures(rows: DataFrame) -> DataFrame:
+    """node, number of shingles, a digest of the set (d1, d2), and the signature, of each row of ``rows`` (node, text)."""
+    return common.map_batches(rows.select("node", "text"), _sign, SIGNED)
 
 
 def _groups(batches, keys: list[str]) -> Iterator[pa.Table]:
@@ -122,11 +127,14 @@ def _groups(batches, keys: list[str]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _walk(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links (from, to) of a spanning forest; ``linked`` says which candidates a node links to."""
-    rest = np.arange(n)
-    while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
+def _walk(n: int, linked: Callable[[int, np.ndarray], np.ndarray], reached: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links (from, to) of a spanning forest; ``linked`` says which candidates a node links to.  Where
+    some nodes are ``reached`` already, only links from them."""
+    begun, rest = np.flatnonzero(reached).tolist(), np.flatnonzero(~reached)
+    once = bool(begun)
+    while len(rest) and (begun or not once):
+        queue, rest = (begun, rest) if begun else ([int(rest[0])], rest[1:])
+        begun = []
         while queue and len(rest):
             i = queue.pop()
             found = linked(i, rest)
@@ -151,7 +159,7 @@ def _compare(batches, cut: float) -> Iterator[pa.RecordBatch]:
     for t in _groups(batches, ["pos", "key", "i", "j"]):
         ids, n, sig = t["rep"].to_numpy(), t["n_shingles"].to_numpy(), _list_matrix(t["bands"])
         linked = lambda i, rest: estimate((sig[rest] == sig[i]).sum(1), n[rest], n[i]) >= cut  # noqa: B023, E731
-        out.extend((int(ids[i]), int(ids[j])) for i, j in _walk(len(ids), linked))
+        out.extend((int(ids[i]), int(ids[j])) for i, j in _walk(len(ids), linked, np.zeros(len(ids), bool)))
         if len(out) > 10_000:
             yield _links(out)
             out = []
@@ -159,31 +167,59 @@ def _compare(batches, cut: float) -> Iterator[pa.RecordBatch]:
         yield _links(out)
 
 
-def _confirm(batches, percent: int, cut: float) -> Iterator[pa.RecordBatch]:
-    """Links of each family, by full shingle sets."""
-    for t in _groups(batches, ["family", "i", "j"]):
-        ids, sig = t["doc_id"].to_numpy(), _list_matrix(t["bands"])
-        sets: list[np.ndarray] = []
+class Members:
+    """Members of a family, with the full sets that decide on links."""
+
+    def __init__(self, t: pa.Table, percent: int, cut: float):
+        self.ids, self.bands, self.percent, self.cut = t["node"].to_numpy(), _list_matrix(t["bands"]), percent, cut
+        self.sets: list[np.ndarray] = []
         for batch in t.select(["text"]).to_batches():
             for a, b in common.slices(batch.column(0)):
                 data, offsets = common.text_bytes(batch.column(0).slice(a, b - a))
                 hashes, _, _, of = words.word_hashes(data, offsets)
-                sets += words.shingles(hashes, of)
-        n = np.array([len(s) for s in sets])
-
-        def linked(i: int, rest: np.ndarray) -> np.ndarray:
-            low, high = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])  # noqa: B023
-            maybe = (100 * low >= percent * high) & (low > 0)
-            maybe &= estimate((sig[rest] == sig[i]).sum(1), n[rest].clip(1), max(n[i], 1)) >= cut  # noqa: B023
-            for k in np.flatnonzero(maybe):
-                both = len(np.intersect1d(sets[i], sets[rest[k]], assume_unique=True))  # noqa: B023
-                maybe[k] = 100 * both >= percent * (n[i] + n[rest[k]] - both)  # noqa: B023
-            return maybe
-
-        if out := [(int(ids[i]), int(ids[j])) for i, j in _walk(len(ids), linked)]:
+                self.sets += words.shingles(hashes, of)
+        self.n = np.array([len(s) for s in self.sets])
+
+    def linked(self, i: int, rest: np.ndarray) -> np.ndarray:
+        """Which of ``rest`` the member ``i`` is linked with."""
+        n, percent = self.n, self.percent
+        low, high = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
+        maybe = (100 * low >= percent * high) & (low > 0)
+        maybe &= estimate((self.bands[rest] == self.bands[i]).sum(1), n[rest].clip(1), max(n[i], 1)) >= self.cut
+        for k in np.flatnonzero(maybe):
+            both = len(np.intersect1d(self.sets[i], self.sets[rest[k]], assume_unique=True))
+            maybe[k] = 100 * both >= percent * (n[i] + n[rest[k]] - both)
+        return maybe
+
+
+def _confirm(batches, percent: int, cut: float) -> Iterator[pa.RecordBatch]:
+    """Links of each pair of blocks; members that are ``joined`` already are not compared with each other."""
+    for t in _groups(batches, ["family", "i", "j"]):
+        m = Members(t, percent, cut)
+        if out := [(int(m.ids[i]), int(m.ids[j])) for i, j in _walk(len(m.ids), m.linked, t["joined"].to_numpy())]:
             yield _links(out)
 
 
+STARRED = "family long, node long, mask int, hubs array<long>"
+
+
+def _star(batches, percent: int, cut: float) -> Iterator[pa.RecordBatch]:
+    """Of each member, the hubs that it is linked with: as bits, and by node.  A hub is linked with itself."""
+    for t in _groups(batches, ["family", "block"]):
+        m, hub = Members(t, percent, cut), t["hub"].to_numpy()
+        own = np.flatnonzero(hub < 0)
+        if not len(own):
+            continue
+        mask, linked = np.zeros(len(own), np.int32), [[] for _ in own]
+        for h in np.flatnonzero(hub >= 0).tolist():
+            same = m.ids[own] == m.ids[h]
+            for k in np.flatnonzero(m.linked(h, own) | same).tolist():
+                mask[k] |= 1 << int(hub[h])
+                if not same[k]:
+                    linked[k].append(int(m.ids[h]))
+        yield pa.RecordBatch.from_arrays([t["family"].take(pa.array(own)).combine_chunks(), pa.array(m.ids[own]), pa.array(mask), pa.array(linked, pa.list_(pa.int64()))], ["family", "node", "mask", "hubs"])
+
+
 def _blocks(df: DataFrame, blocks: str, member: str) -> DataFrame:
     """Deal members to ``blocks`` blocks, and give each row to every pair (i, j) with its block."""
     df = df.withColumn("own", F.pmod(F.xxhash64(member), F.col(blocks)).cast("int"))
@@ -191,24 +227,68 @@ def _blocks(df: DataFrame, blocks: str, member: str) -> DataFrame:
     return df.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", blocks)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
-
-    Two documents are linked if 100 * intersection >= percent * union of their shingle sets; a
-    component's id is its smallest doc_id, and that document is kept.  A text without words (or
-    null) links with nothing.  Rows that share a doc_id are one document; a row without doc_id
-    links with nothing, has no component and is kept.  Other columns are ignored.
-    """
+def _size(members: DataFrame, name: str) -> DataFrame:
+    """Blocks that each family's members fill."""
+    return members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES)).alias(name))
+
+
+def _dealt(df: DataFrame, task: list[str]) -> DataFrame:
+    return df.repartition(*task).sortWithinPartitions(*task, "node")
+
+
+def _confirmed(rows: DataFrame, held: DataFrame, percent: int, cut: float) -> DataFrame:
+    """Links (a, b) that connect what is connected by links within each family of ``held``."""
+    held = common.stage(rows.join(held.join(_size(held, "blocks"), "family"), "node"), "family-texts")
+    schema, task = "a long, b long", ["family", "i", "j"]
+    small = held.where("blocks = 1").select("node", "text", "family", "bands", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("joined"))
+    found = common.map_batches(_dealt(small, task), lambda b: _confirm(b, percent, cut), schema)
+
+    # large families: every member, in one block, meets the hubs
+    large = held.where("blocks > 1")
+    turn = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("node"), "node"))
+    hubs = large.withColumn("hub", turn - 1).where(F.col("hub") < HUBS)
+    hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    own = large.withColumn("hub", F.lit(-1)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    columns = ["node", "text", "family", "bands", "block", "hub"]
+    meet = own.select(columns).union(hubs.select(columns))
+    star = common.stage(common.map_batches(_dealt(meet, ["family", "block"]), lambda b: _star(b, percent, cut), STARRED), "stars")
+    found = found.union(star.select(F.col("node").alias("a"), F.explode("hubs").alias("b")))
+
+    # what hubs join, from the hub with the most members on: hubs that share a member are joined too
+    counts = [F.sum(F.getbit("mask", F.lit(i)).cast("long")).alias(f"n{i}") for i in range(HUBS)]
+    most = F.greatest(*[f"n{i}" for i in range(HUBS)])
+    first = F.coalesce(*[F.when(F.col(f"n{i}") == most, F.lit(1 << i)) for i in range(HUBS)])
+    joined = first
+    for _ in range(HUBS):
+        joined = F.aggregate("masks", joined, lambda a, m: F.when(a.bitwiseAND(m) != 0, a.bitwiseOR(m)).otherwise(a))
+    hub_sets = star.groupBy("family").agg(F.collect_set("mask").alias("masks"), *counts).select("family", joined.alias("of_hubs"))
+    star = star.join(hub_sets, "family").select("node", (F.col("mask").bitwiseAND(F.col("of_hubs")) != 0).alias("joined"))
+    star = common.stage(large.select("node", "family", "n_shingles").join(star, "node"), "starred")
+    open_ = star.join(_size(star.where("not joined"), "rest_blocks"), "family").join(_size(star.where("joined"), "joined_blocks"), "family")
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("joined"), F.col("joined_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
+    rests, joins = (F.sequence(F.lit(0), F.col(c).cast("int") - 1) for c in ("rest_blocks", "joined_blocks"))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    at = F.col("block")
+    of_rest = F.concat(F.transform(rests, lambda o: pair(F.least(at, o), F.greatest(at, o))), F.transform(joins, lambda o: pair(at, F.col("rest_blocks") + o)))
+    of_joined = F.transform(rests, lambda o: pair(o, F.col("rest_blocks") + at))
+    open_ = open_.withColumn("block", block).select("node", "joined", F.explode(F.when(F.col("joined"), of_joined).otherwise(of_rest)).alias("pair")).select("node", "joined", "pair.*")
+    open_ = large.select("node", "text", "family", "bands").join(open_, "node")
+    return found.union(common.map_batches(_dealt(open_, task), lambda b: _confirm(b, percent, cut), schema))
+
+
+def components(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n_shingles) of ``rows`` (node, text), and (node, component) of the linked ones; a
+    component is its smallest node.  Nodes are distinct, but for null ones, which link with nothing."""
     cut = _loosened(percent)
-    signed = common.stage(signatures(docs), "signed")
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
+    signed = common.stage(signatures(rows), "signed")
+    usable = signed.where("n_shingles > 0 and node is not null")
     # copies meet map-side first; only sets met again are kept, in a table, so that the join back is
     # of two plain exchanges, of which Spark can split a hot one
-    classes = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     classes = common.stage(classes, "copies")
-    member = usable.join(classes, ["d1", "d2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    member = common.stage(member.select("doc_id", "rep", "n_shingles", "bands"), "members")
-    reps = common.stage(member.where("doc_id = rep").select("rep", "n_shingles", "bands").distinct(), "classes")
+    member = usable.join(classes, ["d1", "d2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "node"))
+    member = common.stage(member.select("node", "rep", "n_shingles", "bands"), "members")
+    reps = common.stage(member.where("node = rep").select("rep", "n_shingles", "bands"), "classes")
 
     keys = reps.select("rep", F.posexplode("bands").alias("pos", "key"))
     shared = keys.groupBy("pos", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -219,22 +299,68 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     loose = common.map_batches(groups, lambda b: _compare(b, cut), "a long, b long")
 
     family = common.connected_components(loose).withColumnRenamed("component", "family")
-    held = common.stage(family.join(reps, family["node"] == reps["rep"]).select("rep", "family", "n_shingles", "bands"), "families")
-    size = held.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES)).alias("blocks"))
-    held = held.join(size, "family").drop("n_shingles").withColumnRenamed("rep", "doc_id")
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(held, "doc_id")
-    task = ["family", "i", "j"]
-    texts = _blocks(texts, "blocks", "doc_id").repartition(*task).sortWithinPartitions(*task, "doc_id")
-    links = common.map_batches(texts, lambda b: _confirm(b, percent, cut), "a long, b long")
+    held = common.stage(family.join(reps, family["node"] == reps["rep"]).select("node", "family", "n_shingles", "bands"), "families")
+    links = _confirmed(rows.where("text is not null and node is not null"), held, percent, cut)
+    copies = member.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return signed.select("node", "n_shingles"), common.connected_components(links.union(copies))
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id."""
+    return docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """node, doc_id, tie (a hash of the text) and text of each distinct row (doc_id, text) with an id."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    rows = rows.groupBy("doc_id", "tie").agg(F.min("text").alias("text"))
+    return common.stage(rows.select(F.monotonically_increasing_id().alias("node"), "doc_id", "tie", "text"), "nodes")
+
 
-    copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    component = common.connected_components(links.union(copies))
-    out = signed.select("doc_id", "n_shingles").join(component, signed["doc_id"] == component["node"], "left")
-    of = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", of.alias("component_id"), F.coalesce(of == F.col("doc_id"), F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
+
+    Two documents are linked if 100 * intersection >= percent * union of their shingle sets; a
+    component's id is its smallest doc_id, and that document is kept.  A text without words (or
+    null) links with nothing.  Rows that share a doc_id but not a text are linked as documents of
+    their own; a row without doc_id links with nothing, has no component and is kept.  An empty
+    table gives no rows; other columns are ignored.
+    """
+    if _repeats(docs):
+        nodes = _nodes(docs)
+        signed, of = components(nodes.select("node", "text"), percent)
+        known = nodes.select("node", "doc_id", "tie").join(signed, "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        known = known.join(least, "component").select("doc_id", "tie", "n_shingles", "component_id")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"))
+        out = rows.where("doc_id is not null").join(known, ["doc_id", "tie"]).drop("tie")
+        alone = signatures(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text"))
+        out = out.unionByName(alone.select(F.col("node").alias("doc_id"), "n_shingles", F.col("node").alias("component_id")))
+    else:
+        signed, of = components(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), percent)
+        out = signed.join(of, "node", "left").select(F.col("node").alias("doc_id"), "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, one for each doc_id."""
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` of each component, with all its columns: that of the smallest doc_id.
+
+    Of rows that share it, the one with the smallest hash of its text stays; of rows equal in both,
+    the one with the smallest hash of all columns.  Rows without doc_id all stay.
+    """
+    names = docs.columns
+    if not _repeats(docs):
+        signed, of = components(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), percent)
+        gone = of.where("node <> component").select(F.col("node").alias("doc_id"))
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    nodes = _nodes(docs)
+    _, of = components(nodes.select("node", "text"), percent)
+    known = nodes.select("node", "doc_id", "tie").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = known.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("least")).select("least.*")
+    of_id, of_tie, tie, turn = common.unused(docs, "of_id", "of_tie", "tie", "turn")
+    least = least.toDF(of_id, of_tie)
+    rows = docs.withColumn(tie, F.xxhash64("text"))
+    rows = rows.join(least, (F.col("doc_id").cast("long") == F.col(of_id)) & (F.col(tie) == F.col(of_tie)), "left_semi")
+    one = Window.partitionBy("doc_id", tie).orderBy(F.xxhash64(*common.columns(names)))
+    rows = rows.withColumn(turn, F.row_number().over(one)).where(F.col(turn) == 1).select(common.columns(names))
+    return rows.unionByName(docs.where("doc_id is null"))

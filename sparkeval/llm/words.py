@@ -91,7 +91,7 @@ def shingles(hashes: np.ndarray, of: np.ndarray, n: int = 5) -> list[np.ndarray]
     odd = mix(np.arange(1, n + 1, dtype=U) * _STEP) | U(1)
     total = np.zeros(max(0, len(hashes) - n + 1), U)
     for k in range(n):
-        total += hashes[k : len(hashes) - n + 1 + k] * odd[k]
+        total += hashes[k : k + len(total)] * odd[k]
     total = mix(total)
     out = []
     for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
