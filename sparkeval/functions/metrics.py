@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .ngrams import clipped_matches, ngrams
+from .ngrams import clipped_matches, ngrams, shared_grams
 from .text import as_text, column, is_blank, space_tokens, usable, word_tokens
 
 ORDERS = (1, 2, 3, 4)
@@ -24,20 +24,48 @@ def with_bleu(df: DataFrame, reference: str, prediction: str) -> DataFrame:
     """Add bleu_1 to bleu_4 and bleu_overall; 0 where either side is null or blank."""
     own = ["__r", "__p", *[f"__{k}{n}" for k in "rp" for n in ORDERS]]
     df = df.withColumn("__r", space_tokens(reference)).withColumn("__p", space_tokens(prediction))
-    df = df.withColumns({f"__{k}{n}": ngrams(F.col(f"__{k}"), n) for k in "rp" for n in ORDERS})
+    df = df.withColumns({f"__{k}{n}": F.sort_array(ngrams(F.col(f"__{k}"), n)) for k in "rp" for n in ORDERS})
     ref, pred = F.size("__r").cast("double"), F.size("__p").cast("double")
-    brevity = F.when(pred == 0, 0.0).when(pred > ref, 1.0).otherwise(F.exp(1 - ref / F.when(pred > 0, pred)))
     none = is_blank(reference) | is_blank(prediction)
     shares = {}
     for n in ORDERS:
         size = F.size(f"__p{n}")
         shares[f"__s{n}"] = F.when(size > 0, clipped_matches(F.col(f"__p{n}"), F.col(f"__r{n}")) / F.when(size > 0, size)).otherwise(0.0)
-    df = df.withColumns(shares).withColumn("__b", F.when(none, 0.0).otherwise(brevity))
-    least = F.least(*[F.col(f"__s{n}") for n in ORDERS])
-    logs = sum((F.ln(F.when(F.col(f"__s{n}") > 0, F.col(f"__s{n}"))) for n in ORDERS), F.lit(0.0))
-    out = {f"bleu_{n}": 100 * F.col("__b") * F.col(f"__s{n}") for n in ORDERS}
-    out["bleu_overall"] = F.when(least > 0, 100 * F.col("__b") * F.exp(logs / len(ORDERS))).otherwise(0.0)
-    return df.withColumns(out).drop(*own, "__b", *shares)
+    df = df.withColumns(shares).withColumn("__b", F.when(none, 0.0).otherwise(_brevity(ref, pred)))
+    return df.withColumns(_bleu(F.col("__b"), [F.col(f"__s{n}") for n in ORDERS])).drop(*own, "__b", *shares)
+
+
+def _brevity(reference: Column, prediction: Column) -> Column:
+    return F.when(prediction == 0, 0.0).when(prediction > reference, 1.0).otherwise(F.exp(1 - reference / F.when(prediction > 0, prediction)))
+
+
+def _bleu(brevity: Column, shares: list[Column]) -> dict[str, Column]:
+    logs = sum((F.ln(F.when(s > 0, s)) for s in shares), F.lit(0.0))
+    out = {f"bleu_{n}": 100 * brevity * s for n, s in zip(ORDERS, shares, strict=True)}
+    return out | {"bleu_overall": F.when(F.least(*shares) > 0, 100 * brevity * F.exp(logs / len(ORDERS))).otherwise(0.0)}
+
+
+def _matched(df: DataFrame, keys: list[str], reference: Column, prediction: Column, orders: tuple[int, ...]) -> DataFrame:
+    """keys and, for each order n, m{n}, r{n} and p{n}: shared grams, and those of either side."""
+    each = shared_grams(df, keys, reference, prediction, orders).groupBy(*keys)
+    of = lambda c, n: F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0))
+    return each.agg(*[of(c, n).alias(f"{k}{n}") for n in orders for k, c in (("m", "matches"), ("r", "n_one"), ("p", "n_two"))])
+
+
+def bleu_of_long(df: DataFrame, keys: list[str], reference: str, prediction: str) -> DataFrame:
+    """keys and the scores of :func:`with_bleu`, for texts of any length; ``keys`` tell rows apart."""
+    found = _matched(df, keys, space_tokens(reference), space_tokens(prediction), ORDERS)
+    rows = df.select(*keys, (is_blank(reference) | is_blank(prediction)).alias("__none")).join(found, keys, "left").fillna(0, [f"{k}{n}" for n in ORDERS for k in "mrp"])
+    shares = [F.when(F.col(f"p{n}") > 0, F.col(f"m{n}") / F.when(F.col(f"p{n}") > 0, F.col(f"p{n}"))).otherwise(0.0) for n in ORDERS]
+    brevity = F.when(F.col("__none"), 0.0).otherwise(_brevity(F.col("r1").cast("double"), F.col("p1").cast("double")))
+    return rows.select(*keys, *[c.alias(n) for n, c in _bleu(brevity, shares).items()])
+
+
+def rouge_n_of_long(df: DataFrame, keys: list[str], reference: str, prediction: str, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """keys and the scores of :func:`with_rouge_n`, for texts of any length; ``keys`` tell rows apart."""
+    found = _matched(df, keys, word_tokens(as_text(reference)), word_tokens(as_text(prediction)), orders)
+    rows = df.select(*keys).join(found, keys, "left").fillna(0, [f"{k}{n}" for n in orders for k in "mrp"])
+    return rows.select(*keys, *[_f1(F.col(f"m{n}"), F.col(f"p{n}"), F.col(f"r{n}")).alias(f"rouge{n}") for n in orders])
 
 
 def _f1(matches: Column, predicted: Column, wanted: Column) -> Column:
@@ -49,7 +77,7 @@ def _f1(matches: Column, predicted: Column, wanted: Column) -> Column:
 def with_rouge_n(df: DataFrame, reference: str, prediction: str, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
     """Add rouge1, rouge2 (F1).  Null counts as the word None."""
     df = df.withColumn("__r", word_tokens(as_text(reference))).withColumn("__p", word_tokens(as_text(prediction)))
-    grams = {f"__{k}{n}": ngrams(F.col(f"__{k}"), n) for k in "rp" for n in orders}
+    grams = {f"__{k}{n}": F.sort_array(ngrams(F.col(f"__{k}"), n)) for k in "rp" for n in orders}
     df = df.withColumns(grams)
     scores = {f"rouge{n}": _f1(clipped_matches(F.col(f"__p{n}"), F.col(f"__r{n}")), F.size(f"__p{n}"), F.size(f"__r{n}")) for n in orders}
     return df.withColumns(scores).drop("__r", "__p", *grams)

@@ -1,8 +1,8 @@
-"""N-grams as arrays of strings, and counts of what two arrays share."""
+"""N-grams as arrays of strings or as rows, and counts of what two texts share."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Between the tokens of a gram.
@@ -19,17 +19,40 @@ def count_in(array: Column, value: Column) -> Column:
     return F.size(array) - F.size(F.array_remove(array, value))
 
 
+def repeated(grams: Column) -> Column:
+    """Distinct grams that an ascending array has more than once."""
+    return F.array_distinct(F.filter(grams, lambda g, i: (i > 0) & (F.get(grams, i - 1) == g)))
+
+
 def clipped_matches(prediction: Column, reference: Column) -> Column:
-    """Sum over distinct grams of the lesser of their counts.
+    """Sum over distinct grams of the lesser of their counts, of two ascending arrays (columns, not
+    expressions, so that nothing is computed anew for each gram).
 
-    For short arrays: the time grows with the product of their sizes.  Long texts go through
-    :func:`gram_counts` and a join.
+    Shared grams count once; only those that both repeat are counted one by one.  Texts that repeat
+    thousands of grams go through :func:`shared_grams`.
     """
-    each = F.transform(F.array_distinct(F.array_intersect(prediction, reference)), lambda g: F.least(count_in(prediction, g), count_in(reference, g)))
-    return F.aggregate(each, F.lit(0), lambda a, x: a + x)
+    more = F.transform(F.array_intersect(repeated(prediction), repeated(reference)), lambda g: F.least(count_in(prediction, g), count_in(reference, g)) - 1)
+    return F.size(F.array_intersect(prediction, reference)) + F.aggregate(more, F.lit(0), lambda a, x: a + x)
 
 
 def gram_counts(df: DataFrame, keys: list[str], tokens: str, n: int) -> DataFrame:
     """A row for each key and distinct gram with its count: linear in the text, whatever its length."""
     grams = df.select(*keys, F.explode(ngrams(F.col(tokens), n)).alias("gram"))
     return grams.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+
+
+def shared_grams(df: DataFrame, keys: list[str], one: Column, two: Column, orders: tuple[int, ...]) -> DataFrame:
+    """keys, n, matches, n_one and n_two: clipped matches of two token arrays, and their grams.
+
+    Tokens and grams are rows, so the work is linear in the texts, whatever their length.  Rows are
+    dealt by key once; every step after works where they are.
+    """
+    dealt = df.select(*keys, one.alias("__one"), two.alias("__two")).repartition(*keys)
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("tokens")) for k, c in enumerate(("__one", "__two"))]))
+    tokens = dealt.select(*keys, sides.alias("s")).select(*keys, "s.side", F.posexplode("s.tokens").alias("pos", "token"))
+    next_ones = Window.partitionBy(*keys, "side").orderBy("pos")
+    tokens = tokens.select(*keys, "side", *[F.lead("token", k).over(next_ones).alias(f"__t{k}") for k in range(max(orders))])
+    grams = [F.when(F.col(f"__t{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(JOINT, *[f"__t{k}" for k in range(n)]).alias("gram"))) for n in orders]
+    grams = tokens.select(*keys, "side", F.explode(F.array_compact(F.array(*grams))).alias("g")).select(*keys, "side", "g.*")
+    counts = grams.groupBy(*keys, "n", "gram").agg(*[F.sum((F.col("side") == k).cast("long")).alias(c) for k, c in enumerate(("one", "two"))])
+    return counts.groupBy(*keys, "n").agg(F.sum(F.least("one", "two")).alias("matches"), F.sum("one").alias("n_one"), F.sum("two").alias("n_two"))

@@ -1,19 +1,28 @@
 """Repeatable few-shot examples for each test row.
 
-Row ``i`` draws positions of the pool from a hash of ``base_seed + i``: a start and a step of less
-than half the pool, so that three positions differ.  An equi-join fetches them: the work is
-the number of draws and one scan of the pool, never test rows times pool rows.
+Row ``i`` draws positions of the pool from hashes of ``base_seed + i``, by Floyd's method: each set
+of ``k`` positions may occur, and none occurs twice in a row's draw.  With ``exact`` the positions
+are those that the standard library's generator draws, worked out in tasks.  Only the pool's keys
+are numbered; draws find keys by position and then texts by key, so the work is the number of draws
+and one scan of the pool, never test rows times pool rows.
 """
 
 from __future__ import annotations
 
 import random
+from array import array
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .ordinals import with_ordinal
 from ..functions.text import is_blank
+from ..sources.staging import spread, staged
 
 
 def hashed(*parts: Column) -> Column:
@@ -24,25 +33,55 @@ def hashed(*parts: Column) -> Column:
 def draws(test: DataFrame, size: Column, base_seed: int, k: int = 3) -> DataFrame:
     """(instance_idx, slot, position) with ``size`` the pool's row count, at most ``k`` and ``size`` each."""
     seed = F.col("instance_idx") + base_seed
-    step = 1 + F.pmod(hashed(seed, F.lit("step")), F.greatest(F.lit(1), F.floor((size - 1) / (k - 1))))
-    slot = F.explode(F.when(size > 0, F.sequence(F.lit(0), F.least(F.lit(k), size).cast("int") - 1)))
-    rows = test.select("instance_idx", size.alias("__n"), hashed(seed, F.lit("start")).alias("__a"), step.alias("__s"), slot.alias("slot"))
-    return rows.select("instance_idx", "slot", F.pmod(F.col("__a") + F.col("slot") * F.col("__s"), F.col("__n")).alias("position"))
+    rows = test.select("instance_idx", size.alias("__n"), F.least(F.lit(k), size).cast("int").alias("__k"), seed.alias("__seed"))
 
+    def next_one(found: Column, i: Column) -> Column:
+        last = F.col("__n") - F.col("__k") + i
+        drawn = F.pmod(hashed(F.col("__seed"), i), last + 1)
+        return F.concat(found, F.array(F.when(F.array_contains(found, drawn), last).otherwise(drawn)))
 
-def sample(test: DataFrame, pool: DataFrame, keys: list[str], base_seed: int = 42, k: int = 3) -> DataFrame:
-    """The pool's rows drawn for each row of ``test`` (instance_idx): instance_idx, slot, pool columns."""
-    numbered = with_ordinal(pool.drop("instance_idx", "is_test"), *keys, name="position")
+    found = F.aggregate(F.sequence(F.lit(0), F.col("__k") - 1), F.array().cast("array<long>"), next_one)
+    rows = rows.where(F.col("__k") > 0).select("instance_idx", F.posexplode(found).alias("slot", "position"))
+    return rows
+
+
+def exact_draws(test: DataFrame, size: Column, base_seed: int, k: int = 3) -> DataFrame:
+    """As :func:`draws`, but the positions that ``random.Random(base_seed + instance_idx).sample`` gives."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, s, p) for i, n in zip(b["instance_idx"], b["n"], strict=True) for s, p in enumerate(exact_positions(int(n), int(i), base_seed, k))]
+            yield pd.DataFrame(rows, columns=["instance_idx", "slot", "position"])
+
+    return test.select(F.col("instance_idx").cast("long").alias("instance_idx"), size.cast("long").alias("n")).mapInPandas(draw, "instance_idx long, slot int, position long")
+
+
+def exact_positions(size: int, instance: int, base_seed: int = 42, k: int = 3) -> list[int]:
+    return random.Random(base_seed + instance).sample(range(size), min(k, size))
+
+
+def _fetched(drawn: DataFrame, pool: DataFrame, keys: list[str], numbered: DataFrame | None = None) -> DataFrame:
+    """The pool's columns of drawn positions."""
+    numbered = with_ordinal(pool.select(*keys), *keys, name="position") if numbered is None else numbered
+    own = {key: f"__{key}" for key in keys}
+    found = drawn.join(numbered.withColumnsRenamed(own), "position")
+    same = reduce(and_, (F.col(mine).eqNullSafe(F.col(key)) for key, mine in own.items()))
+    return found.join(pool, same).drop(*own.values())
+
+
+def sample(test: DataFrame, pool: DataFrame, keys: list[str], base_seed: int = 42, k: int = 3, exact: bool = False) -> DataFrame:
+    """The pool's rows drawn for each row of ``test`` (instance_idx): instance_idx, slot, position and
+    the pool's columns.  ``keys`` tell the pool's rows apart, and order them."""
+    pool = pool.drop("instance_idx", "is_test")
     counted = test.select("instance_idx").join(F.broadcast(pool.agg(F.count("*").alias("__size"))))
-    return draws(counted, F.col("__size"), base_seed, k).join(numbered, "position")
+    return _fetched((exact_draws if exact else draws)(counted, F.col("__size"), base_seed, k), pool, keys)
 
 
-def sample_then_filter(test: DataFrame, pool: DataFrame, keys: list[str], columns: list[str], base_seed: int = 42, k: int = 3) -> DataFrame:
+def sample_then_filter(test: DataFrame, pool: DataFrame, keys: list[str], columns: list[str], base_seed: int = 42, k: int = 3, exact: bool = False) -> DataFrame:
     """Draw ``k``, then drop examples with a blank column: fewer may remain."""
-    blank = [is_blank(c) for c in columns]
-    drawn = sample(test, pool, keys, base_seed, k)
-    for b in blank:
-        drawn = drawn.where(~b)
+    drawn = sample(test, pool, keys, base_seed, k, exact)
+    for c in columns:
+        drawn = drawn.where(~is_blank(c))
     return drawn
 
 
@@ -53,19 +92,62 @@ def filter_then_sample(test: DataFrame, pool: DataFrame, keys: list[str], column
     return sample(test, pool, keys, base_seed, k)
 
 
+def shuffled_then_filled(test: DataFrame, pool: DataFrame, keys: list[str], columns: list[str], base_seed: int = 42, k: int = 3) -> DataFrame:
+    """The first ``k`` usable rows of the pool in the order in which the standard library's generator
+    shuffles it, for each row of ``test``: the exact form of :func:`filter_then_sample`.
+
+    A task shuffles the pool's positions for each test row, eight bytes each, and gives the first
+    few; rows that too few usable ones are among ask for four times as many, until all are filled.
+    """
+    pool = pool.drop("instance_idx", "is_test")
+    usable = reduce(and_, (~is_blank(c) for c in columns))
+    numbered = staged(with_ordinal(pool.select(*keys, usable.alias("__usable")), *keys, name="position"), "numbered")
+    size, fill = numbered.agg(F.count("*"), F.coalesce(F.sum(F.col("__usable").cast("long")), F.lit(0))).first()
+    todo, most, found = test.select(F.col("instance_idx").cast("long").alias("instance_idx")), 4 * k, None
+    while True:
+        drawn = spread(todo).mapInPandas(_shuffled(size, base_seed, most), "instance_idx long, slot int, position long")
+        good = drawn.join(numbered.where("__usable").select("position"), "position")
+        turn = F.row_number().over(Window.partitionBy("instance_idx").orderBy("slot"))
+        good = staged(good.withColumn("slot", turn - 1).where(F.col("slot") < k).select("instance_idx", "slot", "position"), "drawn")
+        full = good.groupBy("instance_idx").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, fill))
+        found = good if found is None else found.union(good)
+        if most >= size or fill == 0:
+            break
+        found = found.join(full, "instance_idx", "left_semi")
+        todo = todo.join(full, "instance_idx", "left_anti")
+        if not todo.limit(1).count():
+            break
+        most *= 4
+    return _fetched(found, pool, keys, numbered.drop("__usable"))
+
+
+def _shuffled(size: int, base_seed: int, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i in b["instance_idx"].tolist():
+                order = array("q", range(size))
+                random.Random(base_seed + i).shuffle(order)
+                rows += [(i, s, p) for s, p in enumerate(order[:most])]
+            yield pd.DataFrame(rows, columns=["instance_idx", "slot", "position"])
+
+    return draw
+
+
 def pick(references: Column, seed: Column) -> Column:
     """One of an array's items, by hash; null of none."""
     n = F.size(references)
     return F.when(n > 0, F.get(references, F.pmod(hashed(seed, F.lit("pick")), F.greatest(n, F.lit(1))).cast("int")))
 
 
-def exact_positions(size: int, instances: int, base_seed: int = 42, k: int = 3) -> list[tuple[int, int, int]]:
-    """(instance_idx, slot, position) as the standard library's generator draws them."""
-    out = []
-    for i in range(instances):
-        found = random.Random(base_seed + i).sample(range(size), min(k, size))
-        out += [(i, s, p) for s, p in enumerate(found)]
-    return out
+def exact_pick(references: Column, seed: Column) -> Column:
+    """One of an array's items as ``random.Random(seed).choice`` picks it; null of none."""
+    return F.get(references, _choice(F.size(references), seed.cast("long")))
+
+
+@F.pandas_udf(IntegerType())
+def _choice(sizes: pd.Series, seeds: pd.Series) -> pd.Series:
+    return pd.Series([random.Random(int(s)).choice(range(int(n))) if n > 0 else 0 for n, s in zip(sizes, seeds, strict=True)], dtype="int32")
 
 
 def gathered(drawn: DataFrame, source: str, target: str) -> DataFrame:

@@ -18,19 +18,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import column, first_tokens, space_tokens
+from ..sources.staging import spread
 
 Generator = Callable[[list], list]
 
 
-def generate(df: DataFrame, make: Callable[[], Generator], prompt: str = "chat", name: str = "responses") -> DataFrame:
-    """Add ``name``: the response to each row's ``prompt``.  Rows keep all their columns."""
+def generate(df: DataFrame, make: Callable[[], Generator], prompt: str = "chat", name: str = "responses", partitions: int | None = None, batch: int = 64) -> DataFrame:
+    """Add ``name``: the response to each row's ``prompt``.  Rows keep all their columns.
+
+    Calls to a service wait rather than compute: ``partitions`` says how many go at the same time
+    (by default as many as the session has cores), however few partitions the prompts come in.  A
+    generator is given ``batch`` prompts at once.
+    """
     schema = StructType([*df.schema.fields, StructField(name, StringType())])
+    df = spread(df) if partitions is None else df.repartition(partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for b in batches:
-            b[name] = model(b[prompt].tolist())
-            yield b
+            for at in range(0, len(b), batch):
+                some = b.iloc[at : at + batch].copy()
+                some[name] = model(some[prompt].tolist())
+                yield some
 
     return df.mapInPandas(run, schema)
 

@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a table is dealt to for numbering.
-RANGES = 64
+from ..sources.staging import staged, unused
 
-
-def _range(df: DataFrame, key: str) -> Column:
-    """The number of a row's range of ``key``, ascending with it; bounds come from one aggregate."""
-    bounds = df.agg(F.percentile_approx(F.col(key).cast("double"), [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0]
-    if not bounds:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b <= F.col(key))), F.lit(0))
+#: Bits of a row's number within its partition.
+WITHIN = 33
 
 
 def with_ordinal(df: DataFrame, *keys: str, name: str = "instance_idx") -> DataFrame:
-    """Number rows from 0 in the order of ``keys``, the first of which is a number.
+    """Number rows from 0 in the order of ``keys``, of any kind that sorts; nulls come first.
 
-    Rows are dealt by ranges of the first key and numbered within; each range then adds the rows
-    of those before it.  Nothing is sorted in one task.
+    Rows are dealt by ranges of all keys, so that later keys split a frequent first one, as many as
+    the session shuffles to; they are sorted within, and written once to the shared folder.  Each
+    range then adds the rows of those before it.  Nothing is sorted in one task.
     """
-    df = df.withColumn("__range", _range(df, keys[0]))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
-    sizes = df.groupBy("__range").agg(F.count("*").alias("n")).select(F.col("__range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__range").orderBy(*keys)
-    numbered = df.withColumn("__at", F.row_number().over(within) - 1).join(F.broadcast(sizes), "__range")
-    return numbered.withColumn(name, F.col("__base") + F.col("__at")).drop("__range", "__base", "__at")
+    part, at, base = unused(df, "part", "at", "base")
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = staged(rows.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << WITHIN) - 1)), "ordinals")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    return rows.join(F.broadcast(sizes), part).withColumn(name, F.col(base) + F.col(at)).drop(part, base, at)
 
 
 def head(df: DataFrame, n: int, *keys: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -13,10 +14,13 @@ from ..functions.metrics import with_bleu, with_rouge_l, with_rouge_n, with_sari
 from ..functions.text import extract, is_blank, usable
 from ..operators import fewshot, prompts
 from ..operators.generate import Generator, generate
+from ..sources.staging import staged
 from ..operators.ordinals import head, present, split, with_ordinal, without
 from ..operators.summary import render, summarise
 from ..sources.io import run_path, write_csv, write_text
 
+log = logging.getLogger(__name__)
+
 METRICS = {"bleu": [*[f"bleu_{n}" for n in (1, 2, 3, 4)], "bleu_overall"], "rouge": ["rouge1", "rouge2", "rougeL"], "sari": ["sari"]}
 
 
@@ -87,12 +91,14 @@ def with_scores(spec: TaskSpec, df: DataFrame) -> DataFrame:
     return df.drop("__ref")
 
 
-def run_task(spec: TaskSpec, query_type: str, table: DataFrame, pool: DataFrame | None, key: str, make: Callable[[], Generator], model: str, out: str, base_seed: int = 42, system: bool = False) -> DataFrame:
+def run_task(spec: TaskSpec, query_type: str, table: DataFrame, pool: DataFrame | None, key: str, make: Callable[[], Generator], model: str, out: str, base_seed: int = 42, system: bool = False, parts: int = 4, partitions: int | None = None, batch: int = 64) -> DataFrame:
     """Prompt, generate, extract, score, write and summarise one run; returns the summary.
 
-    Predictions are written before scoring and read back: generation is costly and may differ
-    between calls, so nothing asks a model twice.  A rerun generates only rows that a former run
-    of the same path has not written.
+    Predictions are written before scoring, and again as CSV: generation is costly and may differ
+    between calls, so nothing asks a model twice.  The test rows are asked in ``parts`` ranges of
+    their ordinals, and each range is committed before the next begins, so that a run that dies
+    loses one range at most: a rerun generates only rows that are not written.  ``partitions`` and
+    ``batch`` are those of :func:`generate`.
     """
     spark, path = table.sparkSession, run_path(out, spec.name, model, query_type)
     test, pool = test_and_pool(spec, key, table, pool)
@@ -106,14 +112,24 @@ def run_task(spec: TaskSpec, query_type: str, table: DataFrame, pool: DataFrame
         before = None
     if before is not None:
         asked = without(asked, before, key)
-    got = generate(asked, make)
-    got.withColumn("preds", extract("responses", spec.marker, spec.mode)).write.mode("append").parquet(done)
-    scored = with_scores(spec, spark.read.parquet(done))
+    asked = staged(asked, "asked")
+    least, most, n = asked.agg(F.min("instance_idx"), F.max("instance_idx"), F.count("*")).first()
+    for part in range(parts if n else 1):  # without rows one part, so that there is a table
+        low, high = ((least or 0) + (part + i) * ((most or 0) - (least or 0) + 1) // parts for i in (0, 1))
+        rows = asked.where((F.col("instance_idx") >= low) & (F.col("instance_idx") < high))
+        got = generate(rows, make, partitions=partitions, batch=batch)
+        got.withColumn("preds", extract("responses", spec.marker, spec.mode)).write.mode("append").parquet(done)
+        log.info("%s: part %d of %d generated, %d rows in all", path, part + 1, parts, n)
+    predictions = spark.read.parquet(done)
+    write_csv(predictions, f"{path}/predictions_csv")
+    scored = with_scores(spec, predictions)
     scored.write.mode("overwrite").parquet(f"{path}/scored")
     scored = spark.read.parquet(f"{path}/scored")
     write_csv(scored, f"{path}/scored_csv")
     summary = summarise(scored.withColumns({"task": F.lit(spec.name), "model": F.lit(model), "query_type": F.lit(query_type)}), METRICS[spec.metric], "task", "model", "query_type")
-    write_text(render(summary), spark, f"{path}/summary")
+    report = render(summary)
+    write_text(report, spark, f"{path}/summary")
+    log.info("%s: %d without an answer\n%s", path, blank_answers(scored).count(), report)
     return summary
 
 

@@ -7,21 +7,19 @@ with markers.  Scores are rounded to four places on both sides.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.metrics import first_reference, with_bleu, with_rouge_l, with_rouge_n, with_sari
+from .functions.metrics import bleu_of_long, first_reference, rouge_n_of_long, with_bleu, with_rouge_l, with_rouge_n, with_sari
 from .functions.ngrams import gram_counts
 from .functions.text import WS, extract, is_blank, space_tokens, truncate, usable, without_leading_number, word_tokens
 from .operators import fewshot, prompts
 from .operators.generate import Retry, drop_every, failing, generate, lead, retrying_api
 from .operators.ordinals import head, present, split, tail, with_ordinal, without
 from .operators.summary import summarise
-from .sources.io import read_csv, write_csv
+from .plans.tasks import METRICS, run_all
+from .sources.io import read_csv, read_numbered_pairs, read_pairs, read_splits, read_tsv, write_csv
+from .sources.staging import new_path, spread
 
 MARKER = "Translation:"
 TEST = 200
@@ -35,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    rows = spread(table(spark, sf_dir, "conversations").where("role = 'assistant'"))
     return rows.select("conv_id", "turn", F.col("text").alias("ref"), drop_every("text").alias("pred"))
 
 
@@ -118,10 +116,14 @@ def sql_hash(*parts: str) -> str:
     return f"(('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 8))::BIGINT)"
 
 
-def sql_draws(pool: str, size: str = "size", k: int = 3) -> str:
-    seed = f"((instance_idx + {SEED})::VARCHAR)"
-    return f"""sizes AS (SELECT count(*) AS size FROM {pool}), slots AS (SELECT unnest(range(0, {k})) AS slot),
- draws AS (SELECT instance_idx, slot, ({sql_hash(seed, "'start'")} + slot * (1 + {sql_hash(seed, "'step'")} % greatest(1, (size - 1) // {k - 1}))) % size AS position FROM test, sizes, slots WHERE slot < least({k}, size))"""
+def sql_draws(pool: str, k: int = 3, base_seed: int = SEED) -> str:
+    """Floyd's method for up to three draws: draw i of n rows takes a number up to n - k + i, or that one if taken."""
+    seed = f"((instance_idx + {base_seed})::VARCHAR)"
+    drawn = lambda i: f"({sql_hash(seed, f"'{i}'")} % (size - k + {i} + 1))"
+    return f"""sizes AS (SELECT count(*) AS size, least({k}, count(*)) AS k FROM {pool}), d0 AS (SELECT *, CASE WHEN k > 0 THEN {drawn(0)} END AS p0 FROM test, sizes),
+ d1 AS (SELECT *, CASE WHEN k > 1 THEN CASE WHEN {drawn(1)} = p0 THEN size - k + 1 ELSE {drawn(1)} END END AS p1 FROM d0),
+ d2 AS (SELECT *, CASE WHEN k > 2 THEN CASE WHEN {drawn(2)} IN (p0, p1) THEN size - k + 2 ELSE {drawn(2)} END END AS p2 FROM d1),
+ draws AS (SELECT instance_idx, 0 AS slot, p0 AS position FROM d2 WHERE k > 0 UNION ALL SELECT instance_idx, 1, p1 FROM d2 WHERE k > 1 UNION ALL SELECT instance_idx, 2, p2 FROM d2 WHERE k > 2)"""
 
 
 def _round(df: DataFrame, keys: list[str], scores: list[str]) -> DataFrame:
@@ -271,10 +273,33 @@ def fewshot_sample3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fewshot.sample_then_filter(test, pool, ["doc_id"], ["content", "headline"], SEED).select("instance_idx", F.col("slot").cast("long").alias("slot"), "doc_id")
 
 
+@query(f"WITH {SPLIT}, {sql_draws('pool', 1)} SELECT instance_idx, p.doc_id FROM draws d JOIN pool p USING (position)")
+def fewshot_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, pool = test_and_pool(spark, sf_dir)
+    return fewshot.sample(test, pool, ["doc_id"], SEED, k=1).select("instance_idx", "doc_id")
+
+
+#: A third of the headlines counts as blank, so that the operator has something to leave out.
+def _some_blank() -> Column:
+    return F.when(F.col("doc_id") % 3 != 0, F.col("headline")).otherwise(" ")
+
+
 @query(f"WITH {SPLIT}, good AS (SELECT * EXCLUDE (position), row_number() OVER (ORDER BY doc_id) - 1 AS position FROM pool WHERE doc_id % 3 <> 0 AND NOT {sql_blank('headline')}), {sql_draws('good')} SELECT instance_idx, slot, p.doc_id FROM draws d JOIN good p USING (position)")
 def fewshot_fill3(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, pool = test_and_pool(spark, sf_dir)
-    return fewshot.filter_then_sample(test, pool.where("doc_id % 3 <> 0"), ["doc_id"], ["headline"], SEED).select("instance_idx", F.col("slot").cast("long").alias("slot"), "doc_id")
+    return fewshot.filter_then_sample(test, pool.withColumn("headline", _some_blank()), ["doc_id"], ["headline"], SEED).select("instance_idx", F.col("slot").cast("long").alias("slot"), "doc_id")
+
+
+@query(None)
+def fewshot_exact3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, pool = test_and_pool(spark, sf_dir)
+    return fewshot.sample_then_filter(test, pool, ["doc_id"], ["content", "headline"], SEED, exact=True).select("instance_idx", F.col("slot").cast("long").alias("slot"), "doc_id")
+
+
+@query(None)
+def fewshot_exact_fill3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, pool = test_and_pool(spark, sf_dir)
+    return fewshot.shuffled_then_filled(test, pool.withColumn("headline", _some_blank()), ["doc_id"], ["headline"], SEED).select("instance_idx", F.col("slot").cast("long").alias("slot"), "doc_id")
 
 
 @query(f"WITH {SIMP}, u AS (SELECT conv_id, turn, list_filter([s1, s2, s3], lambda x: NOT {sql_blank('x')}) AS refs FROM simp) SELECT conv_id, turn, md5(refs[1 + {sql_hash('conv_id::VARCHAR', chr(39) + 'pick' + chr(39))} % len(refs)]) AS reference FROM u")
@@ -286,13 +311,13 @@ def _sql_text(s: str) -> str:
     return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in s.split("\n"))
 
 
-def _prompt_query(name: str, query_type: str, system: bool = False):
-    t = prompts.template("headline", query_type)
+def _prompt_query(name: str, query_type: str, system: bool = False, task: str = "headline", base_seed: int = SEED):
+    t = prompts.template(task, query_type)
     few = query_type.startswith("few")
     if few:
-        given = f"CASE WHEN length(p.content) > {t.cut} THEN left(p.content, {t.cut}) || '...' ELSE p.content END"
+        given = f"CASE WHEN length(p.content) > {t.cut} THEN left(p.content, {t.cut}) || '...' ELSE p.content END" if t.cut else "p.content"
         block = f"chr(10) || 'Example ' || (row_number() OVER (PARTITION BY instance_idx ORDER BY slot))::VARCHAR || {_sql_text(':' + chr(10) + t.label + ': ')} || {given} || {_sql_text(chr(10) + t.marker + ' ')} || p.headline || chr(10)"
-        sql = f"""WITH {SPLIT}, {sql_draws('pool')}, e AS (SELECT instance_idx, slot, {block} AS block FROM draws d JOIN pool p USING (position) WHERE NOT {sql_blank('p.content')} AND NOT {sql_blank('p.headline')}),
+        sql = f"""WITH {SPLIT}, {sql_draws('pool', base_seed=base_seed)}, e AS (SELECT instance_idx, slot, {block} AS block FROM draws d JOIN pool p USING (position) WHERE NOT {sql_blank('p.content')} AND NOT {sql_blank('p.headline')}),
  shown AS (SELECT instance_idx, string_agg(block, '' ORDER BY slot) AS shown FROM e GROUP BY ALL)
  SELECT t.instance_idx, md5({_sql_text(t.task + chr(10) * 2 + t.action + chr(10) * 2 + t.lead_in)} || coalesce(shown, '') || {_sql_text(chr(10) * 2 + t.closing + chr(10) + t.label + ': ')} || t.content) AS prompt FROM test t LEFT JOIN shown USING (instance_idx)"""
     else:
@@ -303,9 +328,9 @@ def _prompt_query(name: str, query_type: str, system: bool = False):
         test, pool = test_and_pool(spark, sf_dir)
         examples = None
         if few:
-            shots = fewshot.gathered(fewshot.sample_then_filter(test, pool, ["doc_id"], ["content", "headline"], SEED), "content", "headline")
+            shots = fewshot.gathered(fewshot.sample_then_filter(test, pool, ["doc_id"], ["content", "headline"], base_seed), "content", "headline")
             test, examples = test.join(shots, "instance_idx", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<struct<input:string,output:string>>"))), "examples"
-        made = prompts.chat(prompts.prompt("headline", query_type, "content", examples), t.system if system else None)
+        made = prompts.chat(prompts.prompt(task, query_type, "content", examples), t.system if system else None)
         return test.select("instance_idx", F.md5(F.array_join(F.transform(made, lambda m: m["content"]), "|")).alias("prompt"))
 
     f.__name__ = name
@@ -317,6 +342,10 @@ _prompt_query("prompt_zero_shot_si", "zero-shot-si")
 _prompt_query("prompt_few_shot", "few-shot")
 _prompt_query("prompt_few_shot_si", "few-shot-si")
 _prompt_query("prompt_with_system", "zero-shot", system=True)
+_prompt_query("prompt_few_shot_seed_777", "few-shot", base_seed=777)
+for _task in ("simplification", "summarisation", "en_si", "ta_si", "pi_si"):
+    _prompt_query(f"prompt_{_task}_zero_shot_si", "zero-shot-si", task=_task)
+    _prompt_query(f"prompt_{_task}_few_shot", "few-shot", task=_task)
 
 
 # --- generation -----------------------------------------------------------------------------------
@@ -332,9 +361,14 @@ def generate_lead_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate(asked, _lead_model).select("doc_id", F.md5("responses").alias("response"))
 
 
+def _dropping_model():
+    return lambda prompts: [" ".join(t for i, t in enumerate(str(p).split()) if i % 5 != 3) for p in prompts]
+
+
 @query(f"WITH {PAIRS} SELECT conv_id, turn, md5(pred) AS response FROM pairs")
 def generate_drop_every_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.md5(drop_every("text")).alias("response"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("chat"))
+    return generate(asked, _dropping_model, partitions=8, batch=32).select("conv_id", "turn", F.md5("responses").alias("response"))
 
 
 def _flaky_model():
@@ -351,7 +385,7 @@ def generate_retry_then_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fresh():
         return lambda some: [_flaky_model()([p])[0] for p in some]
 
-    return generate(asked, fresh).select("conv_id", "turn", F.col("responses").alias("response"))
+    return generate(asked, fresh, partitions=4).select("conv_id", "turn", F.col("responses").alias("response"))
 
 
 # --- row metrics ------------------------------------------------------------------------------------
@@ -373,6 +407,36 @@ def bleu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(bleu_table(spark, sf_dir), ["conv_id", "turn"], BLEUS)
 
 
+#: Whole documents against themselves less every fifth word: grams are rows, so long texts take linear time.
+LONG = f"""tok AS (SELECT doc_id, {sql_tokens('text')} AS r FROM documents), both_ AS (SELECT doc_id, r, list_filter(r, lambda t, i: (i - 1) % 5 <> 3) AS p FROM tok),
+ g AS ({' UNION ALL '.join(f"SELECT doc_id, {n} AS n, {k == 'r'} AS ref, unnest({sql_grams(k, n)}) AS gram FROM both_" for k in 'rp' for n in (1, 2, 3, 4))}),
+ c AS (SELECT doc_id, n, gram, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS p FROM g GROUP BY ALL),
+ m AS (SELECT doc_id, {', '.join(f"coalesce(sum({x}) FILTER (n = {n}), 0)::DOUBLE AS {k}{n}" for n in (1, 2, 3, 4) for k, x in (('m', 'least(r, p)'), ('r', 'r'), ('p', 'p')))} FROM c GROUP BY doc_id),
+ sh AS (SELECT doc_id, CASE WHEN p1 = 0 THEN 0.0 WHEN p1 > r1 THEN 1.0 ELSE exp(1 - r1 / p1) END AS bp, {', '.join(f"CASE WHEN p{n} > 0 THEN m{n} / p{n} ELSE 0.0 END AS s{n}" for n in (1, 2, 3, 4))} FROM m)"""
+
+
+def long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("ref"))).withColumn("pred", drop_every("ref"))
+
+
+@query(f"WITH {LONG} SELECT documents.doc_id, {', '.join(f'round(coalesce(100 * bp * s{n}, 0), 4) AS bleu_{n}' for n in (1, 2, 3, 4))}, round(CASE WHEN least(s1, s2, s3, s4) > 0 THEN 100 * bp * exp((ln(s1) + ln(s2) + ln(s3) + ln(s4)) / 4) ELSE 0.0 END, 4) AS bleu_overall FROM documents LEFT JOIN sh USING (doc_id)")
+def bleu_long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(bleu_of_long(long_pairs(spark, sf_dir), ["doc_id"], "ref", "pred"), ["doc_id"], BLEUS)
+
+
+@query(f"WITH {LONG.replace(sql_tokens('text'), sql_words('text'))} SELECT documents.doc_id, {', '.join(f'round(coalesce(CASE WHEN m{n} > 0 THEN 2.0 * m{n} / (p{n} + r{n}) END, 0), 4) AS rouge{n}' for n in (1, 2))} FROM documents LEFT JOIN m USING (doc_id)")
+def rouge_long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_tokens("ref")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("ref"))).withColumn("pred", F.array_join(F.filter(words, lambda _, i: i % 5 != 3), " "))
+    return _round(rouge_n_of_long(rows.withColumn("ref", F.coalesce("ref", F.lit(""))), ["doc_id"], "ref", "pred"), ["doc_id"], ["rouge1", "rouge2"])
+
+
+@query(f"WITH n AS (SELECT doc_id, nullif(CASE WHEN doc_id % 2 = 0 THEN text END, '') AS t FROM documents), k AS (SELECT doc_id, {sql_words(chr(39) + 'None' + chr(39))} AS r, {sql_words('coalesce(t, ' + chr(39) + 'None' + chr(39) + ')')} AS p FROM n) SELECT doc_id, round(CASE WHEN list_contains(p, 'none') THEN 2.0 / (1 + len(p)) ELSE 0.0 END, 4) AS rouge1 FROM k")
+def rouge_null_as_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("ref"), F.when(F.col("doc_id") % 2 == 0, F.nullif("text", F.lit(""))).alias("pred"))
+    return _round(with_rouge_n(rows, "ref", "pred", (1,)), ["doc_id"], ["rouge1"])
+
+
 def _sql_f1(m: str, p: str, w: str) -> str:
     return f"CASE WHEN {m} > 0 THEN 2.0 * {m} / ({p} + {w}) ELSE 0.0 END"
 
@@ -482,10 +546,69 @@ def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(summarise(rows, ["bleu_overall"], "task", "model", "query_type"), ["task", "model", "query_type", "metric", "n"], STATS)
 
 
+def _echo_model():
+    """The source at the prompt's end, less every fifth token, after the marker."""
+    drop = _dropping_model()
+    return lambda chats: [f"{MARKER} {x}\n\nend" for x in drop([c[-1]["content"].rsplit("E: ", 1)[1] for c in chats])]
+
+
+def _task_query(name: str, query_types: tuple[str, ...]):
+    runs = [f"SELECT * FROM ({_sql_summary('r', METRICS['bleu'], 'task, model, query_type')})"]
+    kinds = ", ".join(f"('{q}')" for q in query_types)
+    sql = f"WITH {BLEU}, r AS (SELECT 'en_si' AS task, 'echo' AS model, q.query_type, bleu.* FROM bleu, (VALUES {kinds}) AS q(query_type)) {runs[0]}"
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = pairs(spark, sf_dir).select((F.col("conv_id") * 100_000 + F.col("turn")).alias("k"), F.col("ref").alias("english"), F.col("ref").alias("sinhala"))
+        pool = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("k"), F.col("lang").alias("english"), F.col("lang").alias("sinhala"))
+        got = run_all({"en_si": (rows, pool, "k")}, lambda task, q: _echo_model, "hub/echo", new_path(spark, "runs"), query_types)
+        return _round(got.withColumn("model", F.regexp_replace("model", "^hub/", "")), ["task", "model", "query_type", "metric", "n"], STATS)
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_task_query("task_translation_zero_shot", ("zero-shot",))
+_task_query("task_matrix_all_query_types", prompts.QUERY_TYPES)
+
+
 @query("SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents")
 def roundtrip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{root}/roundtrip-{uuid.uuid4().hex}"
+    path = new_path(spark, "roundtrip")
     write_csv(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     back = read_csv(spark, path, "doc_id long, text string")
     return back.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+# --- sources --------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'train' AS split, doc_id, md5(text) AS text FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'test', doc_id, md5(text) FROM documents WHERE doc_id % 4 = 0")
+def src_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = new_path(spark, "splits"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.where("doc_id % 4 <> 0").write.parquet(f"{path}/train")
+    docs.where("doc_id % 4 = 0").write.parquet(f"{path}/test")
+    train, test = read_splits(spark, path, "train", "test")
+    return train.withColumn("split", F.lit("train")).union(test.withColumn("split", F.lit("test"))).select("split", "doc_id", F.md5("text").alias("text"))
+
+
+@query("SELECT md5(text) AS english, lang AS sinhala FROM documents")
+def src_read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = read_pairs(spark, f"{sf_dir}/documents.parquet", "text", "lang", ("english", "sinhala"))
+    return got.select(F.md5("english").alias("english"), "sinhala")
+
+
+@query(f"WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR || ' ' || text ELSE text END AS text, lang FROM documents) SELECT doc_id, md5(regexp_replace(text, '\\A\\p{{Nd}}+{SQL_WS}+', '')) AS pali_text, lang AS sinhala_text FROM x")
+def src_numbered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "numbered")
+    numbered(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", F.col("text").alias("pali_text"), F.col("lang").alias("sinhala_text")).write.parquet(path)
+    got = read_numbered_pairs(spark, path, "pali_text", "sinhala_text")
+    return got.select("doc_id", F.md5("pali_text").alias("pali_text"), "sinhala_text")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE md5(text) END AS \"Tamil\", CASE WHEN doc_id % 7 <> 0 THEN lang END AS \"Sinhala\" FROM documents")
+def src_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = new_path(spark, "tsv"), table(spark, sf_dir, "documents")
+    missing = F.when(F.col("doc_id") % 2 == 0, "N/A").otherwise("<NA>")
+    docs = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "null").otherwise(F.col("text")).alias("Tamil"), F.when(F.col("doc_id") % 7 == 0, missing).otherwise(F.col("lang")).alias("Sinhala"))
+    write_csv(docs, path, sep="\t")
+    return read_tsv(spark, path, "doc_id long, Tamil string, Sinhala string").select("doc_id", F.md5("Tamil").alias("Tamil"), "Sinhala")

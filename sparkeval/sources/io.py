@@ -34,10 +34,10 @@ def read_numbered_pairs(spark: SparkSession, path: str, source: str, target: str
     return df.withColumns({c: without_leading_number(c) for c in (source, target)})
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """CSV with a header; structs and arrays as JSON."""
     flat = [F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").options(**{k: v for k, v in CSV.items() if k != "multiLine"}).csv(path)
+    df.select(*flat).write.mode("overwrite").options(**{k: v for k, v in CSV.items() if k != "multiLine"}, sep=sep).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

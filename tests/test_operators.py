@@ -1,8 +1,14 @@
 """Splits, sampling, prompts, generation, sources and whole runs."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from sparkeval.functions.metrics import bleu_of_long, rouge_n_of_long, with_bleu, with_rouge_n
+from sparkeval.functions.ngrams import shared_grams
+from sparkeval.functions.text import space_tokens
 from sparkeval.operators import fewshot, prompts
 from sparkeval.operators.generate import Retry, api, failing, pipeline, replay, retrying_api, seq2seq
 from sparkeval.operators.ordinals import split, with_ordinal, without
@@ -28,12 +34,83 @@ def test_few_shot_examples_are_distinct_and_repeatable(spark):
         pool = spark.range(size).select(F.col("id").alias("k"), F.lit("x").alias("a"))
         one, two = (sorted(map(tuple, fewshot.sample(test, pool.repartition(n), ["k"]).select("instance_idx", "slot", "k").collect())) for n in (1, 5))
         assert one == two and len({(i, k) for i, _, k in one}) == len(one) == 40 * min(3, size)
-    assert fewshot.exact_positions(10, 2) == fewshot.exact_positions(10, 2)
+    for k in (1, 2, 5):
+        drawn = fewshot.sample(test, spark.range(4).toDF("k"), ["k"], k=k).collect()
+        assert len({(r.instance_idx, r.k) for r in drawn}) == len(drawn) == 40 * min(k, 4)
+    many = spark.range(3000).withColumnRenamed("id", "instance_idx")
+    sets = {frozenset(r.s) for r in fewshot.sample(many, spark.range(6).toDF("k"), ["k"]).groupBy("instance_idx").agg(F.collect_list("k").alias("s")).collect()}
+    assert len(sets) == 20  # every three of six
     blanks = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(10)], "k long, a string")
     assert fewshot.filter_then_sample(test, blanks, ["k"], ["a"]).count() == 120
     assert fewshot.sample_then_filter(test, blanks, ["k"], ["a"]).count() < 120
 
 
+def test_exact_draws_are_the_standard_librarys(spark):
+    test = spark.range(12).withColumnRenamed("id", "instance_idx")
+    pool = spark.createDataFrame([(f"k{i:02}", "x" if i % 4 == 0 else " ") for i in range(40)] + [(None, "x")], "k string, a string").repartition(3)
+    keys = [None, *[f"k{i:02}" for i in range(40)]]
+    usable = {None, *[f"k{i:02}" for i in range(0, 40, 4)]}
+    got = {(r.instance_idx, r.slot): r.k for r in fewshot.sample(test, pool, ["k"], 42, exact=True).collect()}
+    assert got == {(i, s): keys[p] for i in range(12) for s, p in enumerate(random.Random(42 + i).sample(range(41), 3))}
+    kept = fewshot.sample_then_filter(test, pool, ["k"], ["a"], 42, exact=True)
+    assert sorted((r.instance_idx, r.slot) for r in kept.collect()) == sorted(x for x, k in got.items() if k in usable)
+    want = {}
+    for i in range(12):
+        order = list(range(41))
+        random.Random(42 + i).shuffle(order)
+        want |= {(i, s): keys[p] for s, p in enumerate([p for p in order if keys[p] in usable][:3])}
+    assert {(r.instance_idx, r.slot): r.k for r in fewshot.shuffled_then_filled(test, pool, ["k"], ["a"], 42).collect()} == want
+    assert fewshot.shuffled_then_filled(test, pool.where("a = ' '"), ["k"], ["a"]).count() == 0 == fewshot.shuffled_then_filled(test, pool.limit(0), ["k"], ["a"]).count()
+    picked = test.select("instance_idx", fewshot.exact_pick(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("instance_idx")).alias("p"), fewshot.exact_pick(F.array().cast("array<string>"), F.col("instance_idx")).alias("none")).collect()
+    assert all(r.p == random.Random(r.instance_idx).choice("abc") and r.none is None for r in picked)
+
+
+def test_ordinals_of_any_key(spark):
+    rows = [(None, 2), ("b", 1), ("a", 3), ("a", 1), ("ä", 0), (None, 1)] + [("c", i) for i in range(300)]
+    got = with_ordinal(spark.createDataFrame(rows, "s string, n int").repartition(4), "s", "n").orderBy("instance_idx").collect()
+    assert [(r.s, r.n) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1])) and [r.instance_idx for r in got] == list(range(len(rows)))
+    assert with_ordinal(spark.createDataFrame([], "s string"), "s").count() == 0
+
+
+def test_long_texts_score_as_short_ones_do(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices("abcd", k=r.randint(0, 40))), " ".join(r.choices("abcd", k=r.randint(0, 40)))) for i in range(60)] + [(100, None, "a"), (101, "a b", None), (102, "", ""), (103, "a b c d e", "a b c d e")]
+    df = spark.createDataFrame(rows, "k long, r string, p string")
+    for short, long in ((with_bleu(df, "r", "p"), bleu_of_long(df, ["k"], "r", "p")), (with_rouge_n(df, "r", "p"), rouge_n_of_long(df, ["k"], "r", "p"))):
+        names = [c for c in long.columns if c != "k"]
+        one, two = ({x.k: [x[c] for c in names] for x in d.collect()} for d in (short, long))
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
+    brute = {k: sum((Counter((t or "").split()) & Counter((p or "").split())).values()) for k, t, p in rows}
+    m = {x.k: x.matches for x in shared_grams(df, ["k"], space_tokens("r"), space_tokens("p"), (1,)).collect()}
+    assert all(m.get(k, 0) == n for k, n in brute.items())
+
+
+def test_a_dead_run_goes_on_where_it_stopped(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def make(dies: bool):
+        def model(prompts):
+            for p in prompts:
+                n = int(p[-1]["content"].rsplit("w", 1)[1])
+                (asked / f"{n}-{dies}").touch()
+                if dies and n >= 30:
+                    raise RuntimeError("gone")
+            return ["Translation: x"] * len(prompts)
+
+        return lambda: model
+
+    table = spark.createDataFrame([(i, f"w{i}", "x") for i in range(40)], "k long, english string, sinhala string")
+    with pytest.raises(Exception, match="gone"):
+        run_task(TASKS["en_si"], "zero-shot", table, None, "k", make(True), "m", str(tmp_path / "out"), parts=4)
+    summary = run_task(TASKS["en_si"], "zero-shot", table, None, "k", make(False), "m", str(tmp_path / "out"), parts=4)
+    assert {r.n for r in summary.collect()} == {40}
+    again = {int(p.name.split("-")[0]) for p in asked.iterdir() if p.name.endswith("False")}
+    assert again == set(range(30, 40))  # ranges that were committed are not asked again
+    head = next((tmp_path / "out/en_si/m/zero-shot/predictions_csv").glob("part*.csv")).read_text(encoding="utf-8").splitlines()[0]
+    assert head.startswith("k,english,sinhala")
+
+
 def test_prompts(spark):
     with pytest.raises(ValueError):
         prompts.template("headline", "other")
