@@ -10,6 +10,7 @@ the size of the corpus.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,6 @@ from .tokens import encoder
 CAPACITY = 1024
 #: Pieces packed together, about.
 BLOCK = 20_000
-#: Donor bins that one bin looks through for a trade of two pieces.
-DONORS = 24
 
 PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -70,82 +69,99 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class Sums:
+    """Which bins hold a piece, or two, of so many ids together."""
+
+    def __init__(self) -> None:
+        self.bins: dict[int, set[int]] = {}
+        self.bits = 0  # bit n: some bin has n
+
+    def put(self, n: int, k: int) -> None:
+        self.bins.setdefault(n, set()).add(k)
+        self.bits |= 1 << n
+
+    def drop(self, n: int, k: int) -> None:
+        self.bins[n].discard(k)
+        if not self.bins[n]:
+            self.bits &= ~(1 << n)
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Trade pieces between underfull bins, each trade raising the sum of squared fills.
 
     The fuller of the two bins always gains, so the sum rises with every trade and the search ends.
+    Every bin is looked for in all others, by sums: a trade that fills it, else the one that fills
+    it most.
     """
     fill = {k: sum(lengths[i] for i in b) for k, b in enumerate(bins)}
     done = [b for k, b in enumerate(bins) if fill[k] == capacity]
-    under = {k: list(b) for k, b in enumerate(bins) if fill[k] < capacity}
-    holders: dict[int, set[int]] = {}  # of each length, the underfull bins that hold such a piece
-    for k, b in under.items():
-        for i in b:
-            holders.setdefault(lengths[i], set()).add(k)
-
-    def change(k: int, drop: list[int], add: list[int]) -> None:
-        for i in drop:
-            under[k].remove(i)
-            if all(lengths[j] != lengths[i] for j in under[k]):
-                holders[lengths[i]].discard(k)
-        for i in add:
-            under[k].append(i)
-            holders.setdefault(lengths[i], set()).add(k)
-        fill[k] += sum(lengths[i] for i in add) - sum(lengths[i] for i in drop)
-
-    def close(k: int) -> None:
-        """A full or empty bin leaves the search."""
-        if fill[k] in (0, capacity):
-            for i in under[k]:
-                holders[lengths[i]].discard(k)
-            if b := under.pop(k):
-                done.append(b)
-
-    def trade(k: int, give: list[int], c: int, take: list[int]) -> bool:
-        change(k, give, take)
-        change(c, take, give)
-        close(c)
-        close(k)
+    under: dict[int, list[int]] = {}
+    one, two = Sums(), Sums()
+
+    def sums(k: int) -> Iterator[tuple[Sums, int]]:
+        n = [lengths[i] for i in under[k]]
+        yield from ((one, x) for x in set(n))
+        yield from ((two, x) for x in {x + y for a, x in enumerate(n) for y in n[a + 1 :]})
+
+    def enter(k: int, b: list[int]) -> None:
+        """A full or empty bin stays out of the search."""
+        if fill[k] == capacity:
+            done.append(b)
+        elif b:
+            under[k] = b
+            for index, n in sums(k):
+                index.put(n, k)
+
+    def leave(k: int) -> list[int]:
+        for index, n in sums(k):
+            index.drop(n, k)
+        return under.pop(k)
+
+    for k, b in enumerate(bins):
+        if fill[k] < capacity:
+            enter(k, list(b))
+
+    def trade(k: int, give: list[int], c: int, n: int, index: Sums) -> bool:
+        """Bin ``k`` gives its pieces ``give`` for one or two of bin ``c`` with ``n`` ids."""
+        mine, theirs = leave(k), leave(c)
+        if index is one:
+            take = [next(i for i in theirs if lengths[i] == n)]
+        else:
+            take = next([i, j] for x, i in enumerate(theirs) for j in theirs[x + 1 :] if lengths[i] + lengths[j] == n)
+        gain = n - sum(lengths[i] for i in give)
+        fill[k], fill[c] = fill[k] + gain, fill[c] - gain
+        enter(c, [i for i in theirs if i not in take] + give)
+        enter(k, [i for i in mine if i not in give] + take)
         return True
 
-    def piece(k: int, n: int) -> int:
-        return next(i for i in under[k] if lengths[i] == n)
+    def donor(k: int, n: int, index: Sums) -> int | None:
+        return next((c for c in index.bins.get(n, ()) if c != k and (fill[c], c) < (fill[k], k)), None)
 
-    def improve(k: int, donors: list[int]) -> bool:
+    def improve(k: int) -> bool:
         room, own = capacity - fill[k], under[k]
-        sums = {0: [], **{lengths[i]: [i] for i in own}}
+        gives = {0: [], **{lengths[i]: [i] for i in own}}
         for x, i in enumerate(own):
             for j in own[x + 1 :]:
-                sums.setdefault(lengths[i] + lengths[j], [i, j])
-        # whole fits: a move (from 0), one for one (from one), one for two (from two)
-        for n, give in sums.items():
-            for c in holders.get(n + room, ()):
-                if c != k and (fill[c], c) < (fill[k], k):
-                    return trade(k, give, c, [piece(c, n + room)])
-        # two pieces of a donor, for none or one
-        best = None
-        for c in donors:
-            if c == k or c not in under or (fill[c], c) >= (fill[k], k):
-                continue
-            theirs = under[c]
-            for x, i in enumerate(theirs):
-                for j in [None, *theirs[x + 1 :]]:
-                    n = lengths[i] + (lengths[j] if j is not None else 0)
-                    if (give := sums.get(n - room)) is not None and len(give) < 2:
-                        return trade(k, give, c, [i] if j is None else [i, j])
-                    for m, give in sums.items():
-                        if len(give) + (j is not None) < 3 and 0 < n - m <= room and (best is None or n - m > best[0]):
-                            best = n - m, give, c, [i] if j is None else [i, j]
-        return bool(best) and trade(k, *best[1:])  # otherwise what fits best
+                gives.setdefault(lengths[i] + lengths[j], [i, j])
+        best: tuple = (0,)
+        for n, give in gives.items():
+            for index in (one, two) if len(give) < 2 else (one,):
+                gains = index.bits >> n + 1 & (1 << room) - 1  # bit g - 1: some bin has n + g
+                while (gain := gains.bit_length()) > best[0]:
+                    if (c := donor(k, n + gain, index)) is not None:
+                        best = gain, give, c, n + gain, index
+                        if gain == room:
+                            return trade(k, *best[1:])
+                    gains &= ~(1 << gain - 1)
+        return best[0] > 0 and trade(k, *best[1:])
 
     changed = True
     while changed:
         changed = False
-        donors = sorted(under, key=lambda k: (fill[k], k))[:DONORS]
         for k in sorted(under, key=lambda k: (-fill[k], k)):
-            while k in under and improve(k, donors):
+            while k in under and improve(k):
                 changed = True
-    return done + [b for b in under.values() if b]
+    return done + list(under.values())
 
 
 def _pack(capacity: int):
@@ -164,14 +180,14 @@ def _pack(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, block: int = BLOCK, blank: str = "leads", special: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, block: int = BLOCK, blank: str = "leads", special: bool = True) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) and their places in sequences of ``capacity`` ids.
 
     A document (its ids and ``end_id``) is cut only if longer than a sequence; its first piece
     takes the remainder, so all later ones fill a sequence each.  Null texts count as empty (the
     end id alone); rows that share a doc_id, or have none, are documents of their own; an empty
-    table gives no rows; other columns are ignored.  ``special``: special tokens' strings in a
-    text get their ids.
+    table gives no rows; other columns are ignored.  Special tokens' strings in a text get their
+    ids, as the library has it, unless ``special`` is false.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = common.stage(common.map_batches(rows, lambda b: _pieces(b, tokenizer, blank, end_id, capacity, special), PIECE), "pieces")
