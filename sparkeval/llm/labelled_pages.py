@@ -1,12 +1,14 @@
 """Labelled web pages, made from a seed: the training set of the main-text extractor.
 
 A page is a list of (html, text, label): label 1 for blocks of the article, 0 for the rest, None
-for markup alone.  The layouts mix named and anonymous containers, nested and unclosed markup.
+for markup alone.  The layouts mix named and anonymous containers, nested and unclosed markup;
+plain pages have no class names, and ``div`` for every telling element.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 #: Class names of each part of a page.
 NAMES = {
@@ -25,6 +27,9 @@ TAGS = {"menu": ["nav", "ul", "div"], "header": ["header", "div"], "footer": ["f
 ROLES = {"menu": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "form": "search"}
 
 Piece = tuple[str, str, int | None]
+#: What a page without names lacks.
+TELLING = re.compile(r"<(/?)(?:nav|header|footer|aside|article|main|section|form)\b")
+NAMED = re.compile(r' (?:class|id|role)="[^"]*"')
 
 
 class Maker:
@@ -98,7 +103,9 @@ class Maker:
                 out += self.part(r.choice(["advert", "share", "sidebar", "form", "notice"]))
         return out + [("".join(reversed(close)), "", None)]
 
-    def page(self) -> list[Piece]:
+    def page(self, plain: bool = False) -> list[Piece]:
+        if plain:
+            return [(NAMED.sub("", TELLING.sub(r"<\1div", markup)), text, label) for markup, text, label in self.page()]
         r = self.r
         before = [k for k in ("notice", "header", "menu", "advert", "form", "sidebar") if r.random() < 0.5]
         after = [k for k in ("share", "comment", "advert", "sidebar", "form", "menu", "notice", "footer") if r.random() < 0.5]
@@ -114,6 +121,6 @@ class Maker:
         return out + [("</body></html>" if r.random() < 0.9 else "", "", None)]
 
 
-def pages(seed: int, n: int) -> list[list[Piece]]:
+def pages(seed: int, n: int, plain: bool = False) -> list[list[Piece]]:
     maker = Maker(seed)
-    return [maker.page() for _ in range(n)]
+    return [maker.page(plain) for _ in range(n)]

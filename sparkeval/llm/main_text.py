@@ -1,9 +1,11 @@
 """Main text of web pages: the maximum-scoring run of words and tags.
 
-Words score by their place (a logistic model of the elements and class names around them), tags
-score below zero, by how much more often they stand outside articles than inside; all weights come
-from labelled pages.  One scan finds the run of tokens with the greatest sum; words inside it whose
-place scores below zero (an advert within the article, say) are left out.
+A word scores by its place, from 0 to 1 (a logistic model of the elements and class names around
+it), and a tag below zero.  All weights come from labelled pages: tags start at how much more often
+they stand outside articles than inside, and then learn from the runs that come out wrong.  Pages
+without any name that tells an article have weights of their own, from labelled pages of that kind.
+One scan finds the run of tokens with the greatest sum; words inside it that score 0 (an advert
+within the article, say) are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +36,9 @@ IN_HEAD = frozenset("base basefont bgsound link meta title noframes style noscri
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ITEMS = frozenset("li dt dd tr td th option".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*?)/?>""", re.S)
+#: A whole tag: quotes count after "=" only, and only if they close; nothing is given back, so time is linear.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -42,6 +47,10 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ENOUGH = 3.0
 #: Labelled pages that the weights are learned from: a fixed number, the same at every size.
 PAGES, SEED = 1500, 11
+#: What every tag costs at least, and how tags learn: by so much at a wrong run, in so many turns.
+LEAST, RATE, TURNS = 0.02, 0.05, 12
+#: A name (or element) that a page without names does not have tells an article from this weight on.
+TELLING = 1.0
 
 
 @lru_cache(maxsize=20_000)
@@ -62,9 +71,42 @@ def features(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+class Markup:
+    """The tags and comments of a page, one after another."""
+
+    def __init__(self, page: str):
+        self.page, self.tag = page, TAG
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" of an end tag, tag, attributes) of the first from ``at`` on; a comment has no tag.
+
+        A tag that the page does not close goes on to the page's end.
+        """
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            sign = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                return at, len(page) if end < 0 else end + 3, "", "", ""
+            if sign in "!?" and sign or sign == "/" and not page[at + 2 : at + 3].isalpha():
+                end = page.find(">", at)
+                return at, len(page) if end < 0 else end + 1, "", "", ""
+            if not (sign == "/" or sign.isascii() and sign.isalpha()):
+                at += 1
+                continue
+            m = self.tag.match(page, at)
+            if m is None and page.find(">", at) >= 0:
+                self.tag = PLAIN_TAG  # quotes hide every ">" that is left: from here on they count for nothing
+                m = self.tag.match(page, at)
+            if m is None:
+                return at, len(page), "", "", ""
+            return at, m.end(), m[1], m[2].lower(), m[3]
+        return None
+
+
 def _raw_end(page: str, tag: str, at: int) -> int:
     """Raw text ends at its own end tag alone, whatever looks like a tag before it, else with the page."""
-    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I).search(page, at)
     return len(page) if end is None else end.end()
 
 
@@ -72,83 +114,132 @@ def _silent_ends(page: str) -> dict[int, int]:
     """Of each silent element that is not raw and has an end tag of its own: after its start tag, after its end tag."""
     ends: dict[int, int] = {}
     opened: dict[str, list[int]] = {tag: [] for tag in SILENT - RAW}
-    at = 0
-    while m := TOKEN.search(page, at):
-        at, tag = m.end(), (m[2] or "").lower()
+    marks, at = Markup(page), 0
+    while m := marks.after(at):
+        _, at, closes, tag, attributes = m
         if tag in opened:
-            if tag == "select" and opened[tag] and not m[1]:
+            if tag == "select" and opened[tag] and not closes:
                 opened[tag].clear()  # a select within a select ends it
-            if not m[1]:
-                if not (tag in FOREIGN and m[0].endswith("/>")):
+            if not closes:
+                if not (tag in FOREIGN and attributes.endswith("/")):
                     opened[tag].append(at)
             elif opened[tag]:
                 ends[opened[tag].pop()] = at
-        elif tag in RAW and not m[1] and not (opened["svg"] or opened["math"]):
+        elif tag in RAW and not closes and not (opened["svg"] or opened["math"]):
             at = _raw_end(page, tag, at)
     return ends
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
-    """(kind, value, elements around): kind is "text", "inline" or "block"; value is text or a tag.
+class Element:
+    """An open element: its names, what it stands in, and what a model says of it and all around it."""
+
+    __slots__ = ("names", "parent", "sums")
+
+    def __init__(self, names: tuple[str, ...], parent: Element | None):
+        self.names, self.parent, self.sums = names, parent, None
+
+    def around(self) -> Iterator[str]:
+        e = self
+        while e is not None:
+            yield from e.names
+            e = e.parent
+
+
+class Stack:
+    """The open elements; every step takes constant time, over the whole page."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.elements: list[Element] = []
+        self.places: dict[str, list[int]] = {}  # of each tag, where it is open
+        self.walls: list[int] = []  # elements that no start tag but their own kind closes
+
+    def top(self) -> Element | None:
+        return self.elements[-1] if self.elements else None
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE and tag not in ("p", "td", "th"):
+            self.walls.append(len(self.tags))
+        self.elements.append(Element(names, self.top()))
+        self.tags.append(tag)
+
+    def cut(self, k: int) -> None:
+        """Close everything from place ``k`` on."""
+        while len(self.tags) > k:
+            self.places[self.tags.pop()].pop()
+            self.elements.pop()
+        while self.walls and self.walls[-1] >= k:
+            self.walls.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag."""
+        if self.places.get(tag):
+            self.cut(self.places[tag][-1])
+
+    def give_way(self, tag: str) -> None:
+        """A start tag ends an open paragraph, or an open item of its kind."""
+        kinds = ("p",) if tag in ENDS_P else (tag, "td", "th") if tag == "tr" else (tag,)
+        k = max((self.places[x][-1] for x in kinds if self.places.get(x)), default=-1)
+        if k >= 0 and k >= (self.walls[-1] if self.walls else -1):
+            self.cut(k)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, Element | None]]:
+    """(kind, value, element): kind is "text", "inline" or "block"; value is text or a tag; the
+    element is the one around a text, or that a start tag opens.
 
     A head ends at its end tag, or at the first text or tag that a head may not hold.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack, marks = Stack(), Markup(page)
     at, head, ends = 0, False, None
-    while m := TOKEN.search(page, at):
-        tag = (m[2] or "").lower()
-        if m.start() > at and not (head and page[at : m.start()].isspace()):
+    while m := marks.after(at):
+        start, end, closes, tag, attributes = m
+        if start > at and not (head and page[at:start].isspace()):
             head = False
-            yield "text", page[at : m.start()], tuple(f for _, f in stack)
-        at = m.end()
+            yield "text", page[at:start], stack.top()
+        at = end
         if not tag:
             continue
         if tag == "head":
-            head = not m[1]
+            head = not closes
             continue
         if head:
-            if m[1] and tag not in ("body", "html", "br") or tag in IN_HEAD - SILENT:
-                if tag == "noframes" and not m[1]:
+            if closes and tag not in ("body", "html", "br") or tag in IN_HEAD - SILENT:
+                if tag == "noframes" and not closes:
                     at = _raw_end(page, tag, at)
                 continue
             head = tag in IN_HEAD
         kind = "inline" if tag in INLINE else "block"
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            yield kind, f"/{tag}", ()
+        if closes:
+            stack.close(tag)
+            yield kind, f"/{tag}", None
             continue
         if tag in RAW:
             at = _raw_end(page, tag, at)
             continue
         if tag in SILENT:
-            if not (tag in FOREIGN and m[0].endswith("/>")):
+            if not (tag in FOREIGN and attributes.endswith("/")):
                 ends = _silent_ends(page) if ends is None else ends
                 at = ends.get(at, at)  # without an end tag, only its start goes
             continue
         if tag in ENDS_P or tag in ITEMS:
-            close = {"p"} if tag in ENDS_P else {tag, "td", "th"} if tag == "tr" else {tag}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in close:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] not in ("p", "td", "th"):
-                    break
-        yield kind, tag, ()
+            stack.give_way(tag)
         if tag not in VOID:
-            stack.append((tag, features(tag, m[3].strip())))
+            stack.push(tag, features(tag, attributes.strip("/ \t\n\r\f")))
+        yield kind, tag, None if tag in VOID else stack.top()
     if at < len(page) and not (head and page[at:].isspace()):
-        yield "text", page[at:], tuple(f for _, f in stack)
+        yield "text", page[at:], stack.top()
 
 
 class Weights:
-    def __init__(self, bias: float, of: dict[str, float], tags: dict[str, float], unknown: float, minus: float):
-        self.bias, self.of, self.tags, self.unknown, self.minus = bias, of, tags, unknown, minus
+    """``of`` names of elements, of tags; places need ``bias`` besides."""
+
+    def __init__(self, bias: float, of: dict[str, float], tags: dict[str, float], unknown: float):
+        self.bias, self.of, self.tags, self.unknown = bias, of, tags, unknown
         self._sums: dict[tuple[str, ...], tuple[float, float]] = {}
 
-    def element(self, names: tuple[str, ...]) -> tuple[float, float]:
+    def _element(self, names: tuple[str, ...]) -> tuple[float, float]:
         """What an element's names say for and against."""
         if (s := self._sums.get(names)) is None:
             known = [self.of.get(f, 0.0) for f in names]
@@ -157,61 +248,104 @@ class Weights:
                 self._sums[names] = s
         return s
 
-    def place(self, around: tuple[tuple[str, ...], ...]) -> float:
-        """Score of one word there: below 1 in size, below zero outside articles."""
-        each = [self.element(names) for names in around]
-        s = math.tanh((self.bias + min(ENOUGH, sum(x for x, _ in each)) + sum(x for _, x in each)) / 2)
-        return s if s > 0 else s * self.minus
+    def place(self, element: Element | None) -> float:
+        """Score of one word there: 0 outside articles, 1 where all speaks for one."""
+        new, e = [], element
+        while e is not None and e.sums is None:
+            new.append(e)
+            e = e.parent
+        speak, against = (0.0, 0.0) if e is None else e.sums
+        for e in reversed(new):
+            a, b = self._element(e.names)
+            speak, against = speak + a, against + b
+            e.sums = speak, against
+        return max(0.0, math.tanh((self.bias + min(ENOUGH, speak) + against) / 2))
 
 
-def extract(page: str | None, w: Weights) -> str:
-    """The main text; empty if no run of tokens scores above zero."""
-    if not page:
-        return ""
-    sequence: list[tuple[float, float, str]] = []  # what it adds, what its place scores, text
-    for kind, value, around in tokens(page):
-        if kind == "text":
-            text = html.unescape(value) if "&" in value else value
-            n = len(text.split())
-            place = w.place(around) if n else 1.0
-            sequence.append((n * place if n else 0.0, place, text))
-        else:
-            sequence.append((w.tags.get(value, w.unknown), 1.0, "" if kind == "inline" else " "))
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Where the run of the greatest sum starts and ends, in one scan; the first and shortest such
+    run, and an empty one if no score is above zero."""
     best, run, begin, span = 0.0, 0.0, 0, (0, 0)
-    for k, (score, _, _) in enumerate(sequence):
+    for k, score in enumerate(scores):
         if run <= 0:
             run, begin = 0.0, k
         run += score
         if run > best:
             best, span = run, (begin, k + 1)
-    return " ".join("".join(t for _, place, t in sequence[span[0] : span[1]] if place > 0).split())
+    return span
 
 
-@lru_cache(maxsize=4)
-def learned(seed: int = SEED, n: int = PAGES) -> Weights:
-    """Weights from labelled pages: a logistic model of places, log odds of tags, and how much a
-    word outside counts against the run, chosen for the most pages that come out exactly."""
-    made = labelled_pages.pages(seed, n)
+def _sequence(seen: Iterable[tuple[str, str, Element | None]], w: Weights) -> list[tuple[str, str, int, float]]:
+    """(tag or "", text, number of words, score of one word) of each token."""
+    out = []
+    for kind, value, element in seen:
+        if kind == "text":
+            text = html.unescape(value) if "&" in value else value
+            n = len(text.split())
+            out.append(("", text, n, w.place(element) if n else 0.0))
+        else:
+            out.append((value, "" if kind == "inline" else " ", 0, 0.0))
+    return out
+
+
+def _scores(sequence: list[tuple[str, str, int, float]], tags: dict[str, float], unknown: float) -> list[float]:
+    return [tags.get(tag, unknown) if tag else n * place for tag, _, n, place in sequence]
+
+
+def _text(run: list[tuple[str, str, int, float]]) -> str:
+    return " ".join("".join(text for _, text, n, place in run if place > 0 or not n).split())
+
+
+@dataclass
+class Model:
+    """Weights for pages with a name that tells an article, those names, and weights for other pages."""
+
+    named: Weights
+    telling: frozenset[str]
+    plain: Weights
+
+    def of(self, seen: list[tuple[str, str, Element | None]]) -> Weights:
+        tells = any(k != "text" and e is not None and not self.telling.isdisjoint(e.names) for k, _, e in seen)
+        return self.named if tells else self.plain
+
+
+def extract(page: str | None, model: Model, scan: bool = True) -> str:
+    """The main text; empty if no run of tokens scores above zero.  Without ``scan``, the whole page
+    is the run."""
+    if not page:
+        return ""
+    seen = list(tokens(page))
+    w = model.of(seen)
+    sequence = _sequence(seen, w)
+    a, b = best_run(_scores(sequence, w.tags, w.unknown)) if scan else (0, len(sequence))
+    return _text(sequence[a:b])
+
+
+Labelled = list[labelled_pages.Piece]
+
+
+def wanted(pieces: Labelled) -> str:
+    """The article of a labelled page."""
+    return " ".join(" ".join(t for _, t, label in pieces if label == 1).split())
+
+
+def _labels(pieces: Labelled) -> Iterator[tuple[str, str, Element | None, int | None]]:
+    """Tokens of a labelled page, and the label of the piece that each stands in."""
+    page = "".join(m for m, _, _ in pieces)
+    ends = np.cumsum([len(m) for m, _, _ in pieces])
+    at = 0
+    for kind, value, element in tokens(page):
+        at = page.index(value if kind == "text" else f"<{value}", at)
+        yield kind, value, element, pieces[int(np.searchsorted(ends, at, "right"))][2]
+
+
+def _places(made: list[Labelled]) -> tuple[float, dict[str, float]]:
+    """Bias and weights of names: a logistic model of the labels of texts."""
     places: Counter = Counter()  # of (names around with their counts, label)
-    inside, outside = Counter(), Counter()
     for pieces in made:
-        page, spans = "", []
-        for markup, text, label in pieces:
-            spans.append((len(page), len(page) + len(markup), label, text))
-            page += markup
-        first = min(a for a, _, label, _ in spans if label == 1)
-        last = max(b for _, b, label, _ in spans if label == 1)
-        at = 0
-        edges = [(a, b, label) for a, b, label, _ in spans if label is not None]
-        for kind, value, around in tokens(page):
-            at = page.index(value if kind == "text" else f"<{value}", at)
-            if kind != "text":
-                (inside if first <= at < last else outside)[value] += 1
-                continue
-            if value.strip():
-                label = next((y for a, b, y in edges if a <= at < b), None)
-                if label is not None:
-                    places[tuple(sorted(Counter(f for names in around for f in names).items())), label] += 1
+        for kind, value, element, label in _labels(pieces):
+            if kind == "text" and label is not None and value.strip():
+                places[tuple(sorted(Counter(element.around() if element else ()).items())), label] += 1
     names = sorted({f for r, _ in places for f, _ in r})
     column = {f: k for k, f in enumerate(names)}
     x = np.zeros((len(places), len(names) + 1))
@@ -229,19 +363,53 @@ def learned(seed: int = SEED, n: int = PAGES) -> Weights:
         slope = np.append(np.where(theta[:-1] > 0, x[:, :-1].T @ (error * (speak < ENOUGH)), x[:, :-1].T @ error), error.sum()) + 1e-4 * theta
         mean_square = 0.9 * mean_square + 0.1 * slope**2
         theta -= 0.1 * slope / (np.sqrt(mean_square) + 1e-8)
-    of = dict(zip(names, theta[:-1].tolist(), strict=True))
-    tags = {t: -max(0.02, 0.5 * math.log((outside[t] / max(1, outside.total()) + 1e-3) / (inside[t] / max(1, inside.total()) + 1e-3))) for t in {*inside, *outside}}
-    best = None
-    for minus in (1.0, 0.3, 0.1, 0.03):
-        for scale in (1.0, 0.3):
-            w = Weights(float(theta[-1]), of, {t: v * scale for t, v in tags.items()}, -0.05, minus)
-            right = sum(extract("".join(m for m, _, _ in p), w) == " ".join(" ".join(t for _, t, label in p if label == 1).split()) for p in made[: n // 6])
-            if best is None or right > best[0]:
-                best = right, w
-    return best[1]
-
-
-def _extract(batches, w: Weights) -> Iterator[pa.RecordBatch]:
+    return float(theta[-1]), dict(zip(names, theta[:-1].tolist(), strict=True))
+
+
+def _tags(made: list[Labelled], bias: float, of: dict[str, float]) -> dict[str, float]:
+    """Weights of tags, all below zero: log odds, then a structured perceptron over the runs."""
+    inside, outside = Counter(), Counter()
+    pages = []  # sequence, where the article's first and last words are, its text
+    for pieces in made:
+        labels = [label for *_, label in _labels(pieces)]
+        sequence = _sequence(tokens("".join(m for m, _, _ in pieces)), Weights(bias, of, {}, 0.0))
+        article = [k for k, label in enumerate(labels) if label == 1 and sequence[k][2]]
+        first, last = article[0], article[-1] + 1
+        for k, (tag, *_) in enumerate(sequence):
+            if tag:
+                (inside if first <= k < last else outside)[tag] += 1
+        pages.append((sequence, first, last, wanted(pieces)))
+    w = {t: -max(LEAST, 0.5 * math.log((outside[t] / max(1, outside.total()) + 1e-3) / (inside[t] / max(1, inside.total()) + 1e-3))) for t in sorted({*inside, *outside})}
+    total, turns = dict.fromkeys(w, 0.0), 0
+    for turn in range(TURNS):
+        for sequence, first, last, text in pages:
+            a, b = best_run(_scores(sequence, w, -LEAST))
+            if _text(sequence[a:b]) != text:
+                for (x, y), sign in (((first, last), RATE), ((a, b), -RATE)):
+                    for tag, *_ in sequence[x:y]:
+                        if tag:
+                            w[tag] = min(-LEAST, w[tag] + sign)
+        if turn >= TURNS // 2:  # the mean of the later turns is steadier than the last
+            turns += 1
+            for t in w:
+                total[t] += w[t]
+    return {t: v / turns for t, v in total.items()}
+
+
+def _weights(made: list[Labelled]) -> Weights:
+    bias, of = _places(made)
+    return Weights(bias, of, _tags(made, bias, of), -LEAST)
+
+
+@lru_cache(maxsize=4)
+def learned(seed: int = SEED, n: int = PAGES) -> Model:
+    """Weights from ``n`` labelled pages with names, and from a third as many without."""
+    named, plain = _weights(labelled_pages.pages(seed, n)), _weights(labelled_pages.pages(seed + 1, n // 3, plain=True))
+    telling = frozenset(f for f, v in named.of.items() if v > TELLING and f not in plain.of)
+    return Model(named, telling, plain)
+
+
+def _extract(batches, w: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [extract(p, w) for p in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
@@ -254,6 +422,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     ids or urls stay; other columns are ignored.  The weights are a few hundred numbers.
     """
     w = learned()
-    w._sums.clear()
+    w.named._sums.clear()
+    w.plain._sums.clear()
     rows = pages.selectExpr("cast(page_id as long) as page_id", "url", "html")
     return common.map_batches(rows, lambda b: _extract(b, w), "page_id long, url string, text string, n_chars long")
