@@ -7,13 +7,16 @@ Vote patterns are counted over all documents; expectation-maximisation finds eac
 reliability and the chance that a span with such votes is personal data.  A logistic classifier of
 the span's form and surroundings learns those chances, and candidates it scores at least
 ``CERTAIN`` are added where they overlap no base span.
+
+The wider patterns are bounded, as the names they look for are: 64 signs of a local part or of a
+label of a host (longest allowed in mail and DNS), and ``CONTEXT`` signs before a span.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from . import common
 
 #: Kinds as the contract lists them.
 KINDS = ("email", "ip", "card", "phone")
 CERTAIN = 0.9
+#: Signs before a span that labelers and classifier see.
+CONTEXT = 48
 ROUNDS = 60
 
 #: The base patterns (the local part of an email is found from its sign).
@@ -34,6 +40,8 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: IP in linear time: a match starts where a run of digits does, and gives no digit back.
+IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile(r"[0-9]")
 
@@ -84,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, last))
     if DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]
+            out += [(m.start(), 1, m.end()) for m in IP_RUN.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]
         out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -99,17 +107,23 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             out += [(m.start(), kind, m.end()) for m in WIDE[name].finditer(text)]
     if not out:
         return out
-    taken, kept = [(a, b) for a, _, b in base], []
-    taken.sort()
+    starts, ends, kept = [], [], []  # of the base spans, those that overlap as one
+    for a, _, b in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for a, kind, b in sorted(out, key=lambda s: (s[0], s[1])):
-        if all(b <= x or a >= y for x, y in taken) and (not kept or a >= kept[-1][2]):
+        k = bisect_right(ends, a)  # the first that ends after it starts
+        if (k == len(starts) or starts[k] >= b) and (not kept or a >= kept[-1][2]):
             kept.append((a, kind, b))
     return kept
 
 
 def votes(text: str, start: int, kind: int, end: int, is_base: bool) -> tuple[int, ...]:
     """1 for, -1 against, 0 for no opinion, of each labeler."""
-    span, before, name = text[start:end], text[max(0, start - 48) : start], KINDS[kind]
+    span, before, name = text[start:end], text[max(0, start - CONTEXT) : start], KINDS[kind]
     digits = _digits(span)
     if kind == 0:
         last = re.split(r"[^A-Za-z0-9-]+", span)[-1].lower()
@@ -129,21 +143,21 @@ def votes(text: str, start: int, kind: int, end: int, is_base: bool) -> tuple[in
 
 def form(text: str, start: int, kind: int, end: int, is_base: bool) -> tuple[int, ...]:
     """The classifier's inputs, each of few values."""
-    span, before, after = text[start:end], text[start - 1 : start], text[end : end + 1]
+    span, before, after, context = text[start:end], text[max(0, start - 1) : start], text[end : end + 1], text[max(0, start - CONTEXT) : start]
     return (
         kind, min(9, len(_digits(span)) // 2), int(" " in span), int("-" in span), int("." in span), int("(" in span), int("@" in span), int("+" in span),
-        int(before.isalnum() or after.isalnum()), int(bool(BEFORE[KINDS[kind]].search(text[max(0, start - 48) : start]))), int(bool(OTHER.search(text[max(0, start - 48) : start]))),
+        int(before.isalnum() or after.isalnum()), int(bool(BEFORE[KINDS[kind]].search(context))), int(bool(OTHER.search(context))),
     )
 
 
-SPANS = "__pii array<struct<start:int,kind:int,end:int,votes:string,form:string>>"
+SPANS = ArrayType(StructType().add("start", "integer").add("kind", "integer").add("end", "integer").add("votes", "string").add("form", "string"))
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("form", pa.string())]))
 
 
-def _find(batches) -> Iterator[pa.RecordBatch]:
+def _find(batches, text_name: str, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text in batch.column("__text").to_pylist():
+        for text in batch.column(text_name).to_pylist():
             found = []
             if text:
                 base = base_spans(text)
@@ -152,16 +166,19 @@ def _find(batches) -> Iterator[pa.RecordBatch]:
                         v, x = votes(text, a, kind, b, is_base), form(text, a, kind, b, is_base)
                         found.append({"start": a, "kind": kind, "end": b, "votes": ",".join(map(str, v)), "form": ",".join(map(str, x))})
             out.append(found)
-        names = [n for n in batch.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, _SPAN)], names=[*names, "__pii"])
+        names = [n for n in batch.schema.names if n != text_name]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, _SPAN)], names=[*names, name])
+
 
+def find(docs: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """The columns ``keep`` of each row of ``docs``, and as ``name`` the base spans and candidates of its text.
 
-def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each row of ``docs``, and the base spans and candidates of its text."""
-    schema = docs.select(*keep).schema
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    span = docs.sparkSession.createDataFrame([], SPANS).schema.fields[0]
-    return common.map_batches(rows, _find, schema.add(span))
+    Null and empty texts have none; rows all stay, repeated ones too.
+    """
+    (text,) = common.unused(docs, "text")
+    rows = docs.select(*common.columns(keep), F.col("text").alias(text))
+    schema = docs.select(*common.columns(keep)).schema.add(name, SPANS)
+    return common.map_batches(rows, lambda b: _find(b, text, name), schema)
 
 
 def reliabilities(counts: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,9 +245,9 @@ def classifier(counts: list[tuple[tuple[int, ...], tuple[int, ...], int]]) -> di
     return {x: float(s) for (_, x, _), s in zip(counts, scores, strict=True)}
 
 
-def learn(found: DataFrame) -> dict[str, float]:
-    """The score of every span form in ``found``; forms and votes take few values, so few rows come."""
-    rows = found.select(F.explode("__pii").alias("s")).groupBy("s.votes", "s.form").count().collect()
+def learn(found: DataFrame, name: str) -> dict[str, float]:
+    """The score of every span form in the column ``name``; forms and votes take few values, so few rows come."""
+    rows = found.select(F.explode(name).alias("s")).groupBy("s.votes", "s.form").count().collect()
     numbers = lambda s: tuple(map(int, s.split(",")))
     counts = sorted((numbers(r["votes"]), numbers(r["form"]), r["count"]) for r in rows)
     return {",".join(map(str, x)): s for x, s in classifier(counts).items()}
@@ -260,15 +277,15 @@ def personal_data(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
     empty; repeated rows and rows without doc_id stay; an empty table gives no rows; other columns
     are ignored.
     """
-    found = common.stage(find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "spans")
-    scores = learn(found)
+    found = common.stage(find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "__pii"), "spans")
+    scores = learn(found, "__pii")
     return common.map_batches(found, lambda b: _settle(b, scores, certain), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
-def _mask(batches, scores: dict[str, float], certain: float, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _mask(batches, scores: dict[str, float], certain: float, names: list[str], name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__pii").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
             at, kept = 0, []
             for s in sorted(spans or [], key=lambda s: (s["start"], -s["end"])):
                 if s["votes"][0] != "1" and scores.get(s["form"], 0.0) < certain:
@@ -277,15 +294,16 @@ def _mask(batches, scores: dict[str, float], certain: float, names: list[str]) -
                     kept += [text[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
                 at = max(at, s["end"])
             out.append(text if text is None else "".join([*kept, text[at:]]))
-        columns = {n: pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names}
-        if "n_chars" in columns:
-            columns["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(batch.column("n_chars").type)
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+        yield common.with_texts(batch, names, out)
 
 
 def masked(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets; ``n_chars`` is counted anew."""
-    names = docs.columns
-    found = common.stage(find(docs, names), "spans")
-    scores = learn(found)
-    return common.map_batches(found, lambda b: _mask(b, scores, certain, names), docs.schema)
+    """``docs`` with each span replaced by its kind in brackets; ``n_chars`` is counted anew.
+
+    Rows without text or doc_id stay as they are otherwise, repeated rows too; an empty table gives
+    none; other columns are kept, whatever their names.
+    """
+    names, (name,) = docs.columns, common.unused(docs, "pii")
+    found = common.stage(find(docs, names, name), "spans")
+    scores = learn(found, name)
+    return common.map_batches(found, lambda b: _mask(b, scores, certain, names, name), docs.schema)
