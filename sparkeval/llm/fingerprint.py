@@ -1,9 +1,19 @@
 """Threshold-scaled document fingerprints, in DataFrame functions only.
 
 A sketch keeps every hash of a document's five-word shingles below a fixed fraction of the hash
-range, so sketches merge by union and compare at any pair of sizes: below the lower of two limits
-both hold all their hashes.  A document with fewer than ``FLOOR`` such hashes keeps its ``FLOOR``
-smallest, and its limit says so; with no more than that, it keeps all.
+range, whatever the document's size, so sketches merge by union and compare at any pair of sizes.
+Beside them it has a digest of the whole set, which tells equal sets of any size.
+
+Errors grow as texts get short.  Mean absolute error of the likeness of 4,000 documents of sf0.1 to
+their edited texts, by the number of shingles:
+
+    fraction   below 20   20 to 49   50 to 99   100 to 299   300 on   all
+    1/16       0.239      0.203      0.174      0.109        0.058    0.107
+    1/8        0.201      0.124      0.109      0.071        0.039    0.071
+    1/4        0.138      0.078      0.070      0.046        0.026    0.046
+    1/2        0.083      0.045      0.039      0.027        0.015    0.027
+
+A quarter, the default, holds about four bytes of a sketch for each word pair of text.
 """
 
 from __future__ import annotations
@@ -16,103 +26,104 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS = 60
-FRACTION = 1 / 8
-FLOOR = 32
+FRACTION = 1 / 4
 #: Rows of a bucket of neighbouring doc_ids, about, and of quantiles that place the buckets.
 BUCKET = 5_000
 QUANTILES = 64
 
 
-def with_sketch(df: DataFrame, text: str, name: str, words: int = 5, fraction: float = FRACTION, floor: int = FLOOR) -> DataFrame:
-    """Add ``name``: struct(limit, hashes ascending) of a text column; null counts as empty.
+def with_sketch(df: DataFrame, text: str, name: str, words: int = 5, fraction: float = FRACTION) -> DataFrame:
+    """Add ``name``: struct(whole, hashes ascending) of a text column; null counts as empty.
 
     Words are runs without ASCII white space, lower-cased; fewer than ``words`` of them make one
-    shingle, none make none.
+    shingle, none make none (``whole`` is 0 then).
     """
-    own = [f"__{name}_{k}" for k in ("hash", "all", "low")]
-    hashes, each, low = (F.col(c) for c in own)
-    top, whole = int(fraction * (1 << BITS)), 1 << BITS
+    own = [f"__{name}_{k}" for k in ("hash", "all")]
+    hashes, each = (F.col(c) for c in own)
+    top = int(fraction * (1 << BITS))
     split = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
     n = F.size(hashes)
     run = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(hashes, i + k) for k in range(words)]), 64 - BITS))
     one = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(F.transform(hashes, lambda h: h.cast("string")), " ")), 64 - BITS))
     df = df.withColumn(own[0], F.transform(split, lambda w: F.xxhash64(w)))
-    df = df.withColumn(own[1], F.when(n >= words, run).when(n > 0, one).otherwise(F.array().cast("array<long>")))
-    df = df.withColumn(own[2], F.array_distinct(F.filter(each, lambda h: h < top)))
-    few = F.slice(F.array_sort(F.array_distinct(each)), 1, floor)
-    kept = F.when(F.size(low) >= floor, F.array_sort(low)).otherwise(few)
-    limit = F.when(F.size(low) >= floor, F.lit(top)).when(F.size(F.array_distinct(each)) <= floor, F.lit(whole)).otherwise(F.element_at(few, -1) + 1)
-    return df.withColumn(name, F.struct(limit.alias("limit"), kept.alias("hashes"))).drop(*own)
-
-
-def _below(sketch: Column, limit: Column) -> Column:
-    return F.filter(sketch["hashes"], lambda h: h < limit)
+    df = df.withColumn(own[1], F.sort_array(F.array_distinct(F.when(n >= words, run).when(n > 0, one).otherwise(F.array().cast("array<long>")))))
+    whole = F.when(F.size(each) > 0, F.xxhash64(each)).otherwise(F.lit(0).cast("long"))
+    return df.withColumn(name, F.struct(whole.alias("whole"), F.filter(each, lambda h: h < top).alias("hashes"))).drop(*own)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of two sketches, 0 to 1; two documents without words are alike."""
-    limit = F.least(a["limit"], b["limit"])
-    x, y = _below(a, limit), _below(b, limit)
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).when(a["hashes"] == b["hashes"], 1.0).otherwise(0.0)
+    """Estimated Jaccard likeness of two sketches, 0 to 1: 1 for equal sets, 0 where neither keeps a hash."""
+    union = F.size(F.array_union(a["hashes"], b["hashes"]))
+    return F.when(a["whole"] == b["whole"], 1.0).when(union > 0, F.size(F.array_intersect(a["hashes"], b["hashes"])) / union).otherwise(0.0)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 if a has none."""
-    limit = F.least(a["limit"], b["limit"])
-    x, y = _below(a, limit), _below(b, limit)
-    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)).when(F.size(a["hashes"]) == 0, 1.0).otherwise(0.0)
+    """Estimated share of a's shingles that b has: 1 if the sets are equal or a has none, 0 where a keeps no hash."""
+    some = F.size(a["hashes"])
+    return F.when((a["whole"] == b["whole"]) | (a["whole"] == 0), 1.0).when(some > 0, F.size(F.array_intersect(a["hashes"], b["hashes"])) / some).otherwise(0.0)
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two documents' shingles together."""
-    limit = F.least(a["limit"], b["limit"])
-    return F.struct(limit.alias("limit"), F.array_sort(F.array_union(_below(a, limit), _below(b, limit))).alias("hashes"))
+    """The sketch of two documents' shingles together; its digest is of the two digests, as the sets are gone."""
+    both = F.xxhash64(F.least(a["whole"], b["whole"]), F.greatest(a["whole"], b["whole"]))
+    whole = F.when((a["whole"] == b["whole"]) | (b["whole"] == 0), a["whole"]).when(a["whole"] == 0, b["whole"]).otherwise(both)
+    return F.struct(whole.alias("whole"), F.sort_array(F.array_union(a["hashes"], b["hashes"])).alias("hashes"))
 
 
 def to_string(sketch: Column) -> Column:
-    """Limit and hashes, 16 hexadecimal digits each."""
-    return F.lower(F.concat(F.lpad(F.hex(sketch["limit"]), 16, "0"), F.array_join(F.transform(sketch["hashes"], lambda h: F.lpad(F.hex(h), 16, "0")), "")))
+    """Digest and hashes, 16 hexadecimal digits each."""
+    return F.lower(F.concat(F.lpad(F.hex(sketch["whole"]), 16, "0"), F.array_join(F.transform(sketch["hashes"], lambda h: F.lpad(F.hex(h), 16, "0")), "")))
 
 
 def from_string(fingerprint: Column) -> Column:
-    at = lambda i: F.conv(F.substring(fingerprint, i * 16 + 1, 16), 16, 10).cast("long")
+    part = lambda i: F.substring(fingerprint, i * 16 + 1, 16)
+    at = lambda i: F.conv(part(i), 16, 10).cast("long")
     last = (F.length(fingerprint) / 16 - 1).cast("int")
     hashes = F.when(last > 0, F.transform(F.sequence(F.lit(1), last), at)).otherwise(F.array().cast("array<long>"))
-    return F.struct(at(F.lit(0)).alias("limit"), hashes.alias("hashes"))
+    whole = F.conv(part(F.lit(0)), 16, -10).cast("long")  # signed
+    return F.struct(whole.alias("whole"), hashes.alias("hashes"))
 
 
 def _bucket(df: DataFrame, rows_each: int) -> Column:
-    """Numbers for ranges of doc_id, ascending with it; null is in the first.
+    """Numbers for ranges of (doc_id, tie), ascending with it; null comes first.
 
-    ``QUANTILES`` bounds split the ids into parts of like counts, and each part is split evenly.
+    ``QUANTILES`` bounds split the ids into parts of like counts, and each part is split evenly.  An
+    id that is several bounds, and the missing one, are parts of their own, split by ``tie``.
     """
-    n, bounds = df.agg(F.count("*"), F.percentile_approx("doc_id", [k / QUANTILES for k in range(QUANTILES + 1)], 10_000)).first()
-    if not bounds:
-        return F.lit(0).cast("long")
-    bounds = sorted(set(bounds))
-    parts = max(1, len(bounds) - 1)
+    n, none, bounds = df.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [k / QUANTILES for k in range(QUANTILES + 1)], 10_000)).first()
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
-    each = max(1, math.ceil(max(n / rows_each, least) / parts))
-    known = F.lit(bounds)
-    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.size(F.filter(known, lambda b: b <= F.col("doc_id"))) - 1))
-    low, high = F.get(known, part).cast("double"), F.coalesce(F.get(known, part + 1), F.get(known, part)).cast("double")
-    inner = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1.0)) * each)
-    number = part * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), inner))
-    return F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(0)).cast("long")
+    each = max(1, math.ceil(max(n / rows_each, least) / QUANTILES))  # buckets of a quantile
+    known = sorted(set(bounds or [0]))
+    nulls = math.ceil(none / max(1, n - none) * QUANTILES) * each if none < n else QUANTILES * each
+    place, starts, widths = nulls, [], []  # of each bound: buckets of that id alone, then of those up to the next
+    for b in known:
+        alone = ((bounds or []).count(b) - 1) * each
+        starts.append((place, place + alone))
+        widths.append(alone)
+        place += alone + each
+    of = lambda values: F.get(F.lit(values), part)
+    share = F.col("tie") / 2.0**64 + 0.5
+    part = F.greatest(F.lit(0), F.size(F.filter(F.lit(known), lambda b: b <= F.col("doc_id"))) - 1)
+    low, high = of(known).cast("double"), F.coalesce(F.get(F.lit(known), part + 1), of(known)).cast("double")
+    inner = F.least(F.lit(each - 1), F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1.0)) * each))
+    alone = (F.col("doc_id") == of(known)) & (of(widths) > 0)
+    number = F.when(alone, of([a for a, _ in starts]) + F.least(of(widths) - 1, F.floor(share * of(widths)))).otherwise(of([b for _, b in starts]) + F.greatest(F.lit(0), inner))
+    number = F.when(F.col("doc_id").isNull(), F.least(F.lit(nulls - 1), F.floor(share * nulls))).otherwise(number).cast("long")
+    return F.coalesce(number, F.lit(0))  # never null, and known to be so: joins on it filter nothing, and exchanges are reused
 
 
 def next_documents(docs: DataFrame, rows_each: int = BUCKET) -> DataFrame:
     """(doc_id, own, next) of ``docs`` (doc_id, own): ``next`` is own of the next row by doc_id.
 
     The last row's next is the first row; ties go by the hash of ``own.text``.  Rows are dealt once,
-    by ranges of doc_id; the last row of each range finds its next among the ranges' first rows.
+    by ranges of doc_id and tie; the last row of each range finds its next among the ranges' first.
     """
-    rows = docs.select("doc_id", "own", _bucket(docs, rows_each).alias("bucket"), F.xxhash64("own.text").alias("tie"))
+    docs = docs.select("doc_id", "own", F.xxhash64("own.text").alias("tie"))
+    rows = docs.select("doc_id", "own", "tie", _bucket(docs, rows_each).alias("bucket"))
     within = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "tie")
     rows = rows.withColumn("next", F.lead("own").over(within)).withColumn("first", F.lag("tie").over(within).isNull())
     numbers = Window.orderBy("bucket")  # over one number for each range
-    follow = docs.select(_bucket(docs, rows_each).alias("bucket")).distinct()
+    follow = rows.select("bucket").distinct()
     follow = follow.select("bucket", F.coalesce(F.lead("bucket").over(numbers), F.min("bucket").over(Window.partitionBy())).alias("after"))
     heads = rows.where("first").select(F.col("bucket").alias("after"), F.col("own").alias("next"))
     tails = rows.where("next is null").select("doc_id", "own", "bucket").join(follow, "bucket").join(heads, "after")
