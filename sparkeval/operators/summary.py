@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import with_ordinal
+
 
 def long_form(df: DataFrame, metrics: list[str], *groups: str) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics]))
@@ -14,11 +19,19 @@ def long_form(df: DataFrame, metrics: list[str], *groups: str) -> DataFrame:
 def summarise(df: DataFrame, metrics: list[str], *groups: str) -> DataFrame:
     """n, mean, exact median, population standard deviation, least and greatest of each metric.
 
-    An empty table gives no rows; null scores do not count.
+    An empty table gives no rows; null scores do not count.  The median is of the scores in the
+    middle of a sorted, range-dealt table, so no task holds a group's scores.
     """
-    return long_form(df, metrics, *groups).groupBy(*groups, "metric").agg(
-        F.count("score").alias("n"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max")
-    )
+    keys = [*groups, "metric"]
+    rows = with_ordinal(long_form(df, metrics, *groups), *keys, "score", name="at")
+    first = F.min(F.when(F.col("score").isNotNull(), F.col("at"))).alias("first")
+    stats = rows.groupBy(*keys).agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"), first)
+    own = {k: f"__{k}" for k in keys}
+    place = stats.select(*keys, "first", "n").withColumnsRenamed(own)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(mine)) for k, mine in own.items()))
+    middle = rows.join(place, same).where(F.col("at").isin(F.col("first") + F.floor((F.col("n") - 1) / 2), F.col("first") + F.floor(F.col("n") / 2)))
+    middle = middle.groupBy(*own.values()).agg(F.avg("score").alias("median"))
+    return stats.join(middle, same, "left").select(*keys, "n", "mean", "median", "std", "min", "max")
 
 
 def render(summary: DataFrame) -> str:

@@ -1,6 +1,7 @@
 """Splits, sampling, prompts, generation, sources and whole runs."""
 
 import random
+import statistics
 from collections import Counter
 
 import pytest
@@ -138,6 +139,14 @@ def test_replay_and_summary(spark):
     s = summarise(spark.createDataFrame([(float(x),) for x in (1, 2, 3, 10)], "m double"), ["m"])
     r = s.first()
     assert (r.n, r["mean"], r["median"], round(r["std"], 2)) == (4, 4.0, 2.5, 3.54) and "4.0000" in render(s)
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, rng.randint(0, 9) / 2])) for g in ("a", "b", None) for _ in range(rng.randint(20, 41))] + [("none", None)]
+    got = {r.g: r for r in summarise(spark.createDataFrame(rows, "g string, m double").repartition(5), ["m"], "g").collect()}
+    for g in ("a", "b", None):
+        v = [x for h, x in rows if h == g and x is not None]
+        assert (got[g].n, got[g]["median"], got[g]["min"], got[g]["max"]) == (len(v), statistics.median(v), min(v), max(v)) and got[g]["std"] == pytest.approx(statistics.pstdev(v))
+    assert got["none"].n == 0 and got["none"]["median"] is None
+    assert summarise(spark.createDataFrame([], "m double"), ["m"]).count() == 0
 
 
 def test_sources(spark, tmp_path):
