@@ -33,15 +33,17 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
+    names = df.columns  # some that tables may have, Spark does not pass on to Python
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from f(batches)
+            yield from f(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
         finally:
             pa.default_memory_pool().release_unused()
             with suppress(OSError, AttributeError):  # not every C library has it
                 ctypes.CDLL(None).malloc_trim(0)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,9 +67,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage with files that outlive a lost executor, and computes ``df`` once.
     """
+    return stage_at(df, name)[0]
+
+
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`stage`, and where the files are, for :func:`discard`."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged files that no table reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def columns(names: list[str]) -> list[Column]:
@@ -131,17 +146,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each step groups by node
     and sends only minima, so no task gathers a component.  Each round is written to the shared
-    folder; the number of rounds is logarithmic in practice.  Self links and repeats are harmless.
+    folder; the number of rounds is logarithmic in practice.  The minima are tables too, so that
+    both sides of a join are plain exchanges, of which Spark can split the one with a node of many
+    links.  Self links and repeats are harmless.
     """
-    e = stage(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    e, at = stage_at(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stage(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        low, low_at = stage_at(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large, large_at = stage_at(e.select(F.col("b").alias("a"), F.col("a").alias("b")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        least, least_at = stage_at(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before, (e, at) = at, stage_at(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(e.sparkSession, before, low_at, large_at, least_at)  # each round needs the last one's links alone
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
