@@ -164,7 +164,7 @@ def test_masks_by_brute_force():
         assert loss.tolist() == [any(a < y and x < b for x, y in spans) for a, b in tokens]
         for on, a, b, (c, d) in zip(loss, starts, ends, tokens, strict=True):
             met = [(max(c, x), min(d, y)) for x, y in spans if c < y and x < d]
-            assert (a, b) == met[0] if len(met) == 1 else len(met) == 2 or (not on and (a, b) == (c, d))  # control strings keep tokens from meeting two
+            assert bool(met) == on and (len(met) > 1 or (a, b) == (met or [(c, d)])[0])  # control strings keep tokens from meeting two
 
 
 # --- resampling ----------------------------------------------------------------------------------
