@@ -8,31 +8,48 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .ngrams import clipped_matches, ngrams, shared_grams
+from ..sources.staging import unused
+from .ngrams import batched_matches, clipped_matches, ngrams
 from .text import as_text, column, is_blank, space_tokens, usable, word_tokens
 
 ORDERS = (1, 2, 3, 4)
 
 
-def with_bleu(df: DataFrame, reference: str, prediction: str) -> DataFrame:
-    """Add bleu_1 to bleu_4 and bleu_overall; 0 where either side is null or blank."""
-    own = ["__r", "__p", *[f"__{k}{n}" for k in "rp" for n in ORDERS]]
-    df = df.withColumn("__r", space_tokens(reference)).withColumn("__p", space_tokens(prediction))
-    df = df.withColumns({f"__{k}{n}": F.sort_array(ngrams(F.col(f"__{k}"), n)) for k in "rp" for n in ORDERS})
-    ref, pred = F.size("__r").cast("double"), F.size("__p").cast("double")
+def _matches(df: DataFrame, one: str, two: str, orders: tuple[int, ...], long: bool) -> tuple[DataFrame, list[Column], list[str]]:
+    """``df`` with the clipped matches of two token columns by order, and the columns that hold them."""
+    if long:
+        (name,) = unused(df, "matches")
+        return df.withColumn(name, batched_matches(orders)(one, two)), [F.get(name, F.lit(i)) for i in range(len(orders))], [name]
+    names = unused(df, *[f"{k}{n}" for n in orders for k in ("one", "two")])
+    sides = list(zip(names[::2], names[1::2], orders, strict=True))
+    grams = {name: F.sort_array(ngrams(F.col(side), n)) for a, b, n in sides for name, side in ((a, one), (b, two))}
+    return df.withColumns(grams), [clipped_matches(F.col(b), F.col(a)) for a, b, _ in sides], names
+
+
+def _grams_in(tokens: str, n: int) -> Column:
+    return F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+
+
+def with_bleu(df: DataFrame, reference: str, prediction: str, long: bool = False) -> DataFrame:
+    """Add bleu_1 to bleu_4 and bleu_overall; 0 where either side is null or blank.
+
+    ``long`` counts grams in Arrow batches, in time linear in the texts whatever they repeat.
+    """
+    r, p, brevity, *shares = unused(df, "r", "p", "brevity", *[f"share{n}" for n in ORDERS])
     none = is_blank(reference) | is_blank(prediction)
-    shares = {}
-    for n in ORDERS:
-        size = F.size(f"__p{n}")
-        shares[f"__s{n}"] = F.when(size > 0, clipped_matches(F.col(f"__p{n}"), F.col(f"__r{n}")) / F.when(size > 0, size)).otherwise(0.0)
-    df = df.withColumns(shares).withColumn("__b", F.when(none, 0.0).otherwise(_brevity(ref, pred)))
-    return df.withColumns(_bleu(F.col("__b"), [F.col(f"__s{n}") for n in ORDERS])).drop(*own, "__b", *shares)
+    df = df.withColumns({r: space_tokens(reference), p: space_tokens(prediction)})
+    df, matches, own = _matches(df, r, p, ORDERS, long)
+    made = {brevity: F.when(none, 0.0).otherwise(_brevity(F.size(r).cast("double"), F.size(p).cast("double")))}
+    for name, n, m in zip(shares, ORDERS, matches, strict=True):
+        size = _grams_in(p, n)
+        made[name] = F.when(size > 0, m / F.when(size > 0, size)).otherwise(0.0)
+    df = df.withColumns(made)
+    return df.withColumns(_bleu(F.col(brevity), [F.col(s) for s in shares])).drop(r, p, *own, *made)
 
 
 def _brevity(reference: Column, prediction: Column) -> Column:
@@ -45,27 +62,14 @@ def _bleu(brevity: Column, shares: list[Column]) -> dict[str, Column]:
     return out | {"bleu_overall": F.when(F.least(*shares) > 0, 100 * brevity * F.exp(logs / len(ORDERS))).otherwise(0.0)}
 
 
-def _matched(df: DataFrame, keys: list[str], reference: Column, prediction: Column, orders: tuple[int, ...]) -> DataFrame:
-    """keys and, for each order n, m{n}, r{n} and p{n}: shared grams, and those of either side."""
-    each = shared_grams(df, keys, reference, prediction, orders).groupBy(*keys)
-    of = lambda c, n: F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0))
-    return each.agg(*[of(c, n).alias(f"{k}{n}") for n in orders for k, c in (("m", "matches"), ("r", "n_one"), ("p", "n_two"))])
-
-
 def bleu_of_long(df: DataFrame, keys: list[str], reference: str, prediction: str) -> DataFrame:
-    """keys and the scores of :func:`with_bleu`, for texts of any length; ``keys`` tell rows apart."""
-    found = _matched(df, keys, space_tokens(reference), space_tokens(prediction), ORDERS)
-    rows = df.select(*keys, (is_blank(reference) | is_blank(prediction)).alias("__none")).join(found, keys, "left").fillna(0, [f"{k}{n}" for n in ORDERS for k in "mrp"])
-    shares = [F.when(F.col(f"p{n}") > 0, F.col(f"m{n}") / F.when(F.col(f"p{n}") > 0, F.col(f"p{n}"))).otherwise(0.0) for n in ORDERS]
-    brevity = F.when(F.col("__none"), 0.0).otherwise(_brevity(F.col("r1").cast("double"), F.col("p1").cast("double")))
-    return rows.select(*keys, *[c.alias(n) for n, c in _bleu(brevity, shares).items()])
+    """keys and the scores of :func:`with_bleu`, for texts of any length."""
+    return with_bleu(df, reference, prediction, long=True).select(*keys, *[f"bleu_{n}" for n in ORDERS], "bleu_overall")
 
 
 def rouge_n_of_long(df: DataFrame, keys: list[str], reference: str, prediction: str, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """keys and the scores of :func:`with_rouge_n`, for texts of any length; ``keys`` tell rows apart."""
-    found = _matched(df, keys, word_tokens(as_text(reference)), word_tokens(as_text(prediction)), orders)
-    rows = df.select(*keys).join(found, keys, "left").fillna(0, [f"{k}{n}" for n in orders for k in "mrp"])
-    return rows.select(*keys, *[_f1(F.col(f"m{n}"), F.col(f"p{n}"), F.col(f"r{n}")).alias(f"rouge{n}") for n in orders])
+    """keys and the scores of :func:`with_rouge_n`, for texts of any length."""
+    return with_rouge_n(df, reference, prediction, orders, long=True).select(*keys, *[f"rouge{n}" for n in orders])
 
 
 def _f1(matches: Column, predicted: Column, wanted: Column) -> Column:
@@ -74,43 +78,61 @@ def _f1(matches: Column, predicted: Column, wanted: Column) -> Column:
     return F.when((total > 0) & (matches > 0), 2.0 * matches / F.when(total > 0, total)).otherwise(0.0)
 
 
-def with_rouge_n(df: DataFrame, reference: str, prediction: str, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """Add rouge1, rouge2 (F1).  Null counts as the word None."""
-    df = df.withColumn("__r", word_tokens(as_text(reference))).withColumn("__p", word_tokens(as_text(prediction)))
-    grams = {f"__{k}{n}": F.sort_array(ngrams(F.col(f"__{k}"), n)) for k in "rp" for n in orders}
-    df = df.withColumns(grams)
-    scores = {f"rouge{n}": _f1(clipped_matches(F.col(f"__p{n}"), F.col(f"__r{n}")), F.size(f"__p{n}"), F.size(f"__r{n}")) for n in orders}
-    return df.withColumns(scores).drop("__r", "__p", *grams)
+def with_rouge_n(df: DataFrame, reference: str, prediction: str, orders: tuple[int, ...] = (1, 2), long: bool = False) -> DataFrame:
+    """Add rouge1, rouge2 (F1).  Null counts as the word None.  ``long`` is as in :func:`with_bleu`."""
+    r, p = unused(df, "r", "p")
+    df = df.withColumns({r: word_tokens(as_text(reference)), p: word_tokens(as_text(prediction))})
+    df, matches, own = _matches(df, r, p, orders, long)
+    scores = {f"rouge{n}": _f1(m, _grams_in(p, n), _grams_in(r, n)) for n, m in zip(orders, matches, strict=True)}
+    return df.withColumns(scores).drop(r, p, *own)
+
+
+#: Bits of a row that are worked on at once; more go in blocks, with a carry between.
+BLOCK = 4096
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence: one vectorised row for each token of ``a``.
+def lcs_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, by rows of bits.
 
-    With b's row L, the next is max(L[j], match(j) + L[j - 1]) and then a running maximum.
+    Bit j of a row is 0 where the best common subsequence of b's first j + 1 items grows; a token's
+    row is one addition, whose carries run through the bits, and is kept in blocks of machine words.
+    The work is the product of the lengths over the bits of a word; memory is linear.
     """
-    if not len(a) or not len(b):
-        return 0
-    names: dict[str, int] = {}
-    x = np.array([names.setdefault(t, len(names)) for t in a])
-    y = np.array([names.setdefault(t, len(names)) for t in b])
-    row = np.zeros(len(y) + 1, np.int32)
-    for t in x:
-        row[1:] = np.maximum(row[1:], row[:-1] + (y == t))
-        np.maximum.accumulate(row, out=row)
-    return int(row[-1])
+    low, high_a, high_b = 0, len(a), len(b)
+    while low < min(high_a, high_b) and a[low] == b[low]:
+        low += 1
+    while high_a > low < high_b and a[high_a - 1] == b[high_b - 1]:
+        high_a, high_b = high_a - 1, high_b - 1
+    same, a, b = low + len(a) - high_a, a[low:high_a], b[low:high_b]
+    carries = bytearray(len(a))
+    for at in range(0, len(b), BLOCK):
+        part = b[at : at + BLOCK]
+        places: dict = {}
+        for j, token in enumerate(part):
+            places[token] = places.get(token, 0) | 1 << j
+        n, full = len(part), (1 << len(part)) - 1
+        row, get = full, places.get
+        for i, token in enumerate(a):
+            met = get(token, 0) & row
+            if met or carries[i]:
+                total = row + met + carries[i]
+                carries[i] = total >> n
+                row = (total & full) | (row - met)
+        same += n - row.bit_count()
+    return same
 
 
 @F.pandas_udf(IntegerType())
 def lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
-        yield pd.Series([lcs_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+        yield pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def with_rouge_l(df: DataFrame, reference: str, prediction: str) -> DataFrame:
-    """Add rougeL (F1)."""
-    r, p = word_tokens(as_text(reference)), word_tokens(as_text(prediction))
-    df = df.withColumn("__r", r).withColumn("__p", p).withColumn("__l", lcs("__r", "__p"))
-    return df.withColumn("rougeL", _f1(F.col("__l"), F.size("__p"), F.size("__r"))).drop("__r", "__p", "__l")
+    """Add rougeL (F1), of texts of any length."""
+    r, p, length = unused(df, "r", "p", "lcs")
+    df = df.withColumns({r: word_tokens(as_text(reference)), p: word_tokens(as_text(prediction))}).withColumn(length, lcs(r, p))
+    return df.withColumn("rougeL", _f1(F.col(length), F.size(p), F.size(r))).drop(r, p, length)
 
 
 def _set_f1(target: Column, made: Column) -> Column:
@@ -127,20 +149,22 @@ def with_sari(df: DataFrame, source: str, references: list[Column | str], predic
     With R the union of the references' grams: keep compares S∩R with S∩Y, delete S−R with S−Y,
     add R−S with Y−S.
     """
-    df = df.withColumn("__refs", F.transform(usable(*references), word_tokens))
-    df = df.withColumns({"__s": word_tokens(source), "__y": word_tokens(prediction)})
+    refs, src, made, *names = unused(df, "refs", "s", "y", *[f"{k}{n}" for n in ORDERS for k in "syr"])
+    df = df.withColumn(refs, F.transform(usable(*references), word_tokens))
+    df = df.withColumns({src: word_tokens(source), made: word_tokens(prediction)})
+    sets = list(zip(ORDERS, names[::3], names[1::3], names[2::3], strict=True))
     grams = {}
-    for n in ORDERS:
-        grams[f"__s{n}"] = F.array_distinct(ngrams(F.col("__s"), n))
-        grams[f"__y{n}"] = F.array_distinct(ngrams(F.col("__y"), n))
-        grams[f"__r{n}"] = F.array_distinct(F.flatten(F.transform("__refs", _grams_of(n))))
+    for n, s, y, r in sets:
+        grams[s] = F.array_distinct(ngrams(F.col(src), n))
+        grams[y] = F.array_distinct(ngrams(F.col(made), n))
+        grams[r] = F.array_distinct(F.flatten(F.transform(refs, _grams_of(n))))
     df = df.withColumns(grams)
     total = F.lit(0.0)
-    for n in ORDERS:
-        s, y, r = F.col(f"__s{n}"), F.col(f"__y{n}"), F.col(f"__r{n}")
+    for _, *three in sets:
+        s, y, r = map(F.col, three)
         total += _set_f1(F.array_intersect(s, r), F.array_intersect(s, y)) + _set_f1(F.array_except(s, r), F.array_except(s, y)) + _set_f1(F.array_except(r, s), F.array_except(y, s))
-    score = F.when(F.size("__refs") > 0, 100 * total / (3 * len(ORDERS))).otherwise(0.0)
-    return df.withColumn(name, score).drop("__refs", "__s", "__y", *grams)
+    score = F.when(F.size(refs) > 0, 100 * total / (3 * len(ORDERS))).otherwise(0.0)
+    return df.withColumn(name, score).drop(refs, src, made, *grams)
 
 
 def first_reference(*references: Column | str) -> Column:

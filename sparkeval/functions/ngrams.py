@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Between the tokens of a gram.
 JOINT = "\x01"
+#: Tokens of both sides that are numbered at once; a longer document is on its own.
+TOKENS = 1 << 20
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -29,7 +37,7 @@ def clipped_matches(prediction: Column, reference: Column) -> Column:
     expressions, so that nothing is computed anew for each gram).
 
     Shared grams count once; only those that both repeat are counted one by one.  Texts that repeat
-    thousands of grams go through :func:`shared_grams`.
+    thousands of grams go through :func:`batched_matches`.
     """
     more = F.transform(F.array_intersect(repeated(prediction), repeated(reference)), lambda g: F.least(count_in(prediction, g), count_in(reference, g)) - 1)
     return F.size(F.array_intersect(prediction, reference)) + F.aggregate(more, F.lit(0), lambda a, x: a + x)
@@ -41,18 +49,55 @@ def gram_counts(df: DataFrame, keys: list[str], tokens: str, n: int) -> DataFram
     return grams.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
 
 
-def shared_grams(df: DataFrame, keys: list[str], one: Column, two: Column, orders: tuple[int, ...]) -> DataFrame:
-    """keys, n, matches, n_one and n_two: clipped matches of two token arrays, and their grams.
+def _span(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The items of all lists, and where each list's begin, with the end; a null list is empty."""
+    lists = lists.cast(pa.large_list(pa.large_string()))
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.append(0, np.cumsum(sizes))
+
+
+def matches_of(one: pa.Array, two: pa.Array, orders: tuple[int, ...]) -> np.ndarray:
+    """Clipped matches of two columns of token lists, a column for each order.
 
-    Tokens and grams are rows, so the work is linear in the texts, whatever their length.  Rows are
-    dealt by key once; every step after works where they are.
+    Tokens are numbered by document; a gram's number is that of its first tokens together with its
+    last token, numbered anew for each order.  Numbers stand for grams without collisions, as they
+    are ranks and no hashes.  Counts of both sides then merge by number.
     """
-    dealt = df.select(*keys, one.alias("__one"), two.alias("__two")).repartition(*keys)
-    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("tokens")) for k, c in enumerate(("__one", "__two"))]))
-    tokens = dealt.select(*keys, sides.alias("s")).select(*keys, "s.side", F.posexplode("s.tokens").alias("pos", "token"))
-    next_ones = Window.partitionBy(*keys, "side").orderBy("pos")
-    tokens = tokens.select(*keys, "side", *[F.lead("token", k).over(next_ones).alias(f"__t{k}") for k in range(max(orders))])
-    grams = [F.when(F.col(f"__t{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(JOINT, *[f"__t{k}" for k in range(n)]).alias("gram"))) for n in orders]
-    grams = tokens.select(*keys, "side", F.explode(F.array_compact(F.array(*grams))).alias("g")).select(*keys, "side", "g.*")
-    counts = grams.groupBy(*keys, "n", "gram").agg(*[F.sum((F.col("side") == k).cast("long")).alias(c) for k, c in enumerate(("one", "two"))])
-    return counts.groupBy(*keys, "n").agg(F.sum(F.least("one", "two")).alias("matches"), F.sum("one").alias("n_one"), F.sum("two").alias("n_two"))
+    (a, at_a), (b, at_b) = _span(one), _span(two)
+    n, size = len(at_a) - 1, len(a) + len(b)
+    out = np.zeros((n, len(orders)), np.int64)
+    if not size:
+        return out
+    token = pa.chunked_array([a, b]).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    row = np.concatenate([np.repeat(np.arange(n), np.diff(at_a)), np.repeat(np.arange(n), np.diff(at_b))])
+    left = np.concatenate([np.repeat(at_a[1:], np.diff(at_a)) - np.arange(len(a)), np.repeat(at_b[1:], np.diff(at_b)) - np.arange(len(b))])
+    at, gram, kinds = np.arange(size), row, int(token.max()) + 1
+    for k in range(1, max(orders) + 1):
+        some = left[at] >= k
+        at = at[some]
+        gram, names = pd.factorize(gram[some] * kinds + token[at + k - 1])
+        if k in orders:
+            first = np.bincount(gram[at < len(a)], minlength=len(names))
+            least = np.minimum(first, np.bincount(gram, minlength=len(names)) - first)
+            owner = np.zeros(len(names), np.int64)
+            owner[gram] = row[at]
+            out[:, orders.index(k)] = np.bincount(owner, least, n)
+    return out
+
+
+def batched_matches(orders: tuple[int, ...]) -> Callable[..., Column]:
+    """:func:`clipped_matches` of two token arrays for every order at once, as an array: for texts of
+    any length, in Arrow batches, without a shuffle."""
+
+    @F.arrow_udf("array<long>")
+    def matches(one: pa.Array, two: pa.Array) -> pa.Array:
+        sizes = np.cumsum([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (one, two)], axis=1).sum(axis=0) if len(one) else np.zeros(0, np.int64)
+        out, i = [], 0
+        while i < len(one):
+            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + TOKENS, "right")))
+            out.append(matches_of(one.slice(i, j - i), two.slice(i, j - i), orders))
+            i = j
+        found = np.concatenate(out) if out else np.zeros((0, len(orders)), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(orders)), pa.int32()), pa.array(found.ravel()))
+
+    return matches

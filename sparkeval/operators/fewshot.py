@@ -4,7 +4,8 @@ Row ``i`` draws positions of the pool from hashes of ``base_seed + i``, by Floyd
 of ``k`` positions may occur, and none occurs twice in a row's draw.  With ``exact`` the positions
 are those that the standard library's generator draws, worked out in tasks.  Only the pool's keys
 are numbered; draws find keys by position and then texts by key, so the work is the number of draws
-and one scan of the pool, never test rows times pool rows.
+and one scan of the pool, never test rows times pool rows.  The pool's texts are neither written nor,
+if the drawn keys are few, shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from .ordinals import with_ordinal
-from ..functions.text import is_blank
-from ..sources.staging import spread, staged
+from ..functions.text import is_blank, usable
+from ..sources.staging import parts, small, staged, unused
 
 
 def hashed(*parts: Column) -> Column:
@@ -60,21 +61,32 @@ def exact_positions(size: int, instance: int, base_seed: int = 42, k: int = 3) -
     return random.Random(base_seed + instance).sample(range(size), min(k, size))
 
 
-def _fetched(drawn: DataFrame, pool: DataFrame, keys: list[str], numbered: DataFrame | None = None) -> DataFrame:
-    """The pool's columns of drawn positions."""
-    numbered = with_ordinal(pool.select(*keys), *keys, name="position") if numbered is None else numbered
-    own = {key: f"__{key}" for key in keys}
-    found = drawn.join(numbered.withColumnsRenamed(own), "position")
+#: Names of what a draw adds; the pool's own columns of these names give way.
+DRAWN = ("instance_idx", "slot", "position")
+
+
+def _numbered(pool: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """The pool's keys, and what else is asked for, by position; no other column is moved or written."""
+    return with_ordinal(pool.select(*keys, *more), *keys, name="position")
+
+
+def _fetched(drawn: DataFrame, pool: DataFrame, keys: list[str], numbered: DataFrame, *more: str) -> DataFrame:
+    """The pool's columns of drawn positions: their keys are found and written first, and if they are
+    few, the pool is filtered where it is; if they are many, it is joined."""
+    own = dict(zip(keys, unused(pool, *[f"key{i}" for i in range(len(keys))]), strict=True))
+    found = drawn.join(numbered.select(*keys, "position").withColumnsRenamed(own), "position")
+    found = staged(found.select(*DRAWN, *own.values(), *more), "drawn")
     same = reduce(and_, (F.col(mine).eqNullSafe(F.col(key)) for key, mine in own.items()))
-    return found.join(pool, same).drop(*own.values())
+    return (F.broadcast(found) if small(found) else found).join(pool, same).drop(*own.values())
 
 
 def sample(test: DataFrame, pool: DataFrame, keys: list[str], base_seed: int = 42, k: int = 3, exact: bool = False) -> DataFrame:
     """The pool's rows drawn for each row of ``test`` (instance_idx): instance_idx, slot, position and
     the pool's columns.  ``keys`` tell the pool's rows apart, and order them."""
-    pool = pool.drop("instance_idx", "is_test")
-    counted = test.select("instance_idx").join(F.broadcast(pool.agg(F.count("*").alias("__size"))))
-    return _fetched((exact_draws if exact else draws)(counted, F.col("__size"), base_seed, k), pool, keys)
+    pool = pool.drop("is_test", *DRAWN)
+    numbered = _numbered(pool, keys)
+    counted = test.select("instance_idx").join(F.broadcast(numbered.agg(F.count("*").alias("__size"))))
+    return _fetched((exact_draws if exact else draws)(counted, F.col("__size"), base_seed, k), pool, keys, numbered)
 
 
 def sample_then_filter(test: DataFrame, pool: DataFrame, keys: list[str], columns: list[str], base_seed: int = 42, k: int = 3, exact: bool = False) -> DataFrame:
@@ -99,13 +111,17 @@ def shuffled_then_filled(test: DataFrame, pool: DataFrame, keys: list[str], colu
     A task shuffles the pool's positions for each test row, eight bytes each, and gives the first
     few; rows that too few usable ones are among ask for four times as many, until all are filled.
     """
-    pool = pool.drop("instance_idx", "is_test")
-    usable = reduce(and_, (~is_blank(c) for c in columns))
-    numbered = staged(with_ordinal(pool.select(*keys, usable.alias("__usable")), *keys, name="position"), "numbered")
+    pool = pool.drop("is_test", *DRAWN)
+    numbered = _numbered(pool, keys, reduce(and_, (~is_blank(c) for c in columns)).alias("__usable"))
+    return _fetched(_filled(test, numbered, base_seed, k), pool, keys, numbered)
+
+
+def _filled(test: DataFrame, numbered: DataFrame, base_seed: int, k: int) -> DataFrame:
+    """instance_idx, slot and position of the first ``k`` usable rows in shuffled order."""
     size, fill = numbered.agg(F.count("*"), F.coalesce(F.sum(F.col("__usable").cast("long")), F.lit(0))).first()
     todo, most, found = test.select(F.col("instance_idx").cast("long").alias("instance_idx")), 4 * k, None
     while True:
-        drawn = spread(todo).mapInPandas(_shuffled(size, base_seed, most), "instance_idx long, slot int, position long")
+        drawn = todo.repartition(parts(todo.sparkSession)).mapInPandas(_shuffled(size, base_seed, most), "instance_idx long, slot int, position long")
         good = drawn.join(numbered.where("__usable").select("position"), "position")
         turn = F.row_number().over(Window.partitionBy("instance_idx").orderBy("slot"))
         good = staged(good.withColumn("slot", turn - 1).where(F.col("slot") < k).select("instance_idx", "slot", "position"), "drawn")
@@ -118,7 +134,51 @@ def shuffled_then_filled(test: DataFrame, pool: DataFrame, keys: list[str], colu
         if not todo.limit(1).count():
             break
         most *= 4
-    return _fetched(found, pool, keys, numbered.drop("__usable"))
+    return found
+
+
+def sampled_and_picked(test: DataFrame, pool: DataFrame, keys: list[str], references: list[str], base_seed: int = 42, k: int = 3, fill: bool = False, name: str = "reference") -> DataFrame:
+    """Rows drawn for each row of ``test`` as the standard library's generator draws them, and ``name``:
+    one usable reference of each, as the same generator chooses it after the draw, in drawn order.
+
+    ``fill`` shuffles the pool and takes the first ``k`` rows with a usable reference; without it,
+    ``k`` rows are sampled, and those without one go and take no choice.  Drawn positions fetch the
+    number of usable references by position; then the generator is run again from its seed, and
+    chooses on from where the draw left it.
+    """
+    pool = pool.drop("is_test", name, *DRAWN)
+    (pick_name,) = unused(pool, "pick")
+    usable_ones = usable(*[F.col(f"`{c}`") for c in references])
+    numbered = _numbered(pool, keys, F.size(usable_ones).alias("__choices"), (F.size(usable_ones) > 0).alias("__usable"))
+    size = F.broadcast(numbered.agg(F.count("*").alias("__size")))
+    if fill:
+        drawn = _filled(test, numbered, base_seed, k)
+    else:
+        drawn = exact_draws(test.select("instance_idx").join(size), F.col("__size"), base_seed, k)
+    drawn = drawn.join(numbered.select("position", "__choices"), "position")
+    rows = drawn.groupBy("instance_idx").agg(F.sort_array(F.collect_list(F.struct("slot", "position", "__choices"))).alias("rows"))  # k at most
+    rows = rows.join(size).select("instance_idx", "rows", _choices(base_seed, fill)("instance_idx", "__size", F.transform("rows", lambda x: x["__choices"])).alias("picks"))
+    one = rows.select("instance_idx", F.explode(F.arrays_zip("rows", "picks")).alias("x")).where("x.picks >= 0")
+    got = _fetched(one.select("instance_idx", "x.rows.slot", "x.rows.position", F.col("x.picks").alias(pick_name)), pool, keys, numbered, pick_name)
+    return got.withColumn(name, F.get(usable_ones, F.col(pick_name))).drop(pick_name)
+
+
+def _choices(base_seed: int, fill: bool) -> Callable[..., Column]:
+    """Where the generator's choices fall, of so many items each, after its draw; -1 of no items."""
+
+    @F.pandas_udf("array<int>")
+    def picks(instances: pd.Series, sizes: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for i, size, each in zip(instances, sizes, counts, strict=True):
+            r = random.Random(base_seed + int(i))
+            if fill:
+                r.shuffle(array("q", range(int(size))))
+            else:
+                r.sample(range(int(size)), len(each))
+            out.append([r.choice(range(int(n))) if n else -1 for n in each])
+        return pd.Series(out)
+
+    return picks
 
 
 def _shuffled(size: int, base_seed: int, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -7,41 +7,129 @@ responses.  Model clients are injected, so the adapters work with any service or
 from __future__ import annotations
 
 import random
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import column, first_tokens, space_tokens
-from ..sources.staging import spread
+from ..sources.staging import parts
+from .journal import ANSWER, Journal
 
 Generator = Callable[[list], list]
 
 
-def generate(df: DataFrame, make: Callable[[], Generator], prompt: str = "chat", name: str = "responses", partitions: int | None = None, batch: int = 64) -> DataFrame:
+class Pace:
+    """At most ``per_second`` calls a second begin, over all threads of a task."""
+
+    def __init__(self, per_second: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.sleep, self.next, self.lock = 1 / per_second, clock, sleep, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        with self.lock:
+            now = self.clock()
+            at = max(now, self.next)
+            self.next = at + self.gap
+        if at > now:
+            self.sleep(at - now)
+
+
+def generate(
+    df: DataFrame, make: Callable[[], Generator], prompt: str = "chat", name: str = "responses", partitions: int | None = None, batch: int = 64,
+    in_flight: int = 1, per_second: float | None = None, journal: Journal | None = None,
+) -> DataFrame:
     """Add ``name``: the response to each row's ``prompt``.  Rows keep all their columns.
 
-    Calls to a service wait rather than compute: ``partitions`` says how many go at the same time
-    (by default as many as the session has cores), however few partitions the prompts come in.  A
-    generator is given ``batch`` prompts at once.
+    Rows are dealt to ``partitions`` tasks, by default as many as the session shuffles to or has
+    cores.  A generator is given ``batch`` prompts at once.  With ``in_flight`` over 1 it is given
+    one prompt a call, from so many threads: a task keeps that many calls waiting, over the borders
+    of its batches, and gives rows on in their order.  ``per_second`` bounds the calls that a task
+    begins.  With a ``journal``, rows are dealt by its key, answers are written as they come, and no
+    key that has one is asked again, neither by a task that starts anew nor by a later run.  Of two
+    copies of a task that run at the same time, each asks for itself, so keep speculation off.
     """
     schema = StructType([*df.schema.fields, StructField(name, StringType())])
-    df = spread(df) if partitions is None else df.repartition(partitions)
+    n, done = partitions or parts(df.sparkSession), None
+    if journal is None:
+        df = df.repartition(n)
+    else:
+        before = journal.read(df.sparkSession, df.schema[journal.key].dataType)
+        if before is not None:
+            done = df.join(before.withColumnRenamed(ANSWER, name), journal.key).select(*schema.names)
+            df = df.join(before, journal.key, "left_anti")
+        df = df.repartition(n, journal.key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
-        for b in batches:
-            for at in range(0, len(b), batch):
-                some = b.iloc[at : at + batch].copy()
-                some[name] = model(some[prompt].tolist())
-                yield some
-
-    return df.mapInPandas(run, schema)
+        model, pace = make(), Pace(per_second) if per_second else None
+        book = journal.task(TaskContext.get().partitionId(), n) if journal else None
+        some = (b.iloc[at : at + batch].copy() for b in batches for at in range(0, len(b), batch))
+
+        def asked(keys: list, prompts: list) -> list[str]:
+            new = [i for i, k in enumerate(keys) if book is None or k not in book.known]
+            answers = [None if book is None else book.known.get(k) for k in keys]
+            if new:
+                if pace:
+                    pace.wait()
+                for i, answer in zip(new, got := model([prompts[i] for i in new]), strict=True):
+                    answers[i] = answer
+                if book:
+                    book.put([keys[i] for i in new], got)
+            return answers
+
+        def calls(rows: pd.DataFrame) -> tuple[list, list]:
+            prompts = rows[prompt].tolist()
+            return (rows[journal.key].tolist() if journal else prompts), prompts
+
+        if in_flight > 1:
+            yield from _in_flight(some, calls, asked, name, in_flight)
+        else:
+            for rows in some:
+                rows[name] = asked(*calls(rows))
+                yield rows
+        if book:
+            book.close()
+
+    out = df.mapInPandas(run, schema)
+    return out if done is None else out.unionByName(done)
+
+
+def _in_flight(some: Iterator[pd.DataFrame], calls: Callable, asked: Callable, name: str, n: int) -> Iterator[pd.DataFrame]:
+    """Answers one call a row, ``n`` at a time; twice as many are begun before the oldest must be done,
+    so that a slow one does not empty the window."""
+    waiting: deque = deque()
+
+    def oldest() -> pd.DataFrame:
+        rows, answers = waiting.popleft()
+        rows[name] = [a.result()[0] for a in answers]
+        return rows
+
+    pool = ThreadPoolExecutor(n)
+    try:
+        begun = 0
+        for rows in some:
+            answers: list = []
+            waiting.append((rows, answers))
+            for key, text in zip(*calls(rows), strict=True):
+                answers.append(pool.submit(asked, [key], [text]))
+                begun += 1
+                while begun > 2 * n and len(waiting) > 1:
+                    begun -= len(waiting[0][1])
+                    yield oldest()
+                if begun > 2 * n:  # one batch is larger than the window
+                    answers[max(0, len(answers) - 2 * n)].result()
+        while waiting:
+            yield oldest()
+    finally:
+        pool.shutdown(cancel_futures=True)
 
 
 @dataclass(frozen=True)

@@ -5,19 +5,20 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import with_bleu, with_rouge_l, with_rouge_n, with_sari
 from ..functions.text import extract, is_blank, usable
 from ..operators import fewshot, prompts
 from ..operators.generate import Generator, generate
-from ..sources.staging import staged
-from ..operators.ordinals import head, present, split, with_ordinal, without
+from ..operators.journal import Journal
+from ..operators.ordinals import head, present, split, with_few_ordinals, with_ordinal, without
 from ..operators.summary import render, summarise
-from ..sources.io import run_path, write_csv, write_text
+from ..sources.io import RUN, read_runs, run_path, write_csv, write_runs, write_text
+from ..sources.staging import staged, unused
 
 log = logging.getLogger(__name__)
 
@@ -52,57 +53,85 @@ TASKS = {
 
 
 def test_and_pool(spec: TaskSpec, key: str, table: DataFrame, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Test rows with ``instance_idx``, and the pool; the two share no key."""
+    """Test rows with ``instance_idx``, and the pool; the two share no key.  Neither is written."""
     if spec.test_size is not None:
-        rows = split(table, spec.test_size, key)
-        test = with_ordinal(rows.where("is_test").drop("is_test", "instance_idx"), key)
-        return test, rows.where("not is_test").drop("is_test", "instance_idx")
+        test, pool = split(table, spec.test_size, key)
+        return with_few_ordinals(test, spec.test_size, key), pool
     if spec.not_null:
         table, pool = (present(t, spec.source, *spec.references) if t is not None else None for t in (table, pool))
-    if spec.head is not None:
-        table = head(table, spec.head, key)
-    test = with_ordinal(table, key)
+    test = with_ordinal(table, key) if spec.head is None else with_few_ordinals(head(table, spec.head, key), spec.head, key)
     return test, test.limit(0).drop("instance_idx") if pool is None else without(pool, test, key)
 
 
-def with_prompts(spec: TaskSpec, query_type: str, test: DataFrame, pool: DataFrame, key: str, base_seed: int = 42, system: bool = False) -> DataFrame:
-    """Add ``chat``, with examples for the few-shot types."""
+def with_prompts(spec: TaskSpec, query_type: str, test: DataFrame, pool: DataFrame, key: str, base_seed: int = 42, system: bool = False, exact: bool = False) -> DataFrame:
+    """Add ``chat``, with examples for the few-shot types; ``exact`` draws and picks as the standard
+    library's generator does, and else by hashes."""
     t = prompts.template(spec.name, query_type)
     examples = None
     if query_type.startswith("few"):
-        pool = pool.withColumn("__out", F.get(usable(*[F.col(f"`{r}`") for r in spec.references]), F.lit(0)) if len(spec.references) == 1 else fewshot.pick(usable(*[F.col(f"`{r}`") for r in spec.references]), F.col(key)))
-        draw = fewshot.filter_then_sample if spec.fill else fewshot.sample_then_filter
-        shots = fewshot.gathered(draw(test, pool.select(key, F.col(f"`{spec.source}`").alias("__in"), "__out"), [key], ["__in", "__out"], base_seed), "__in", "__out")
+        source, refs, many = F.col(f"`{spec.source}`"), [F.col(f"`{r}`") for r in spec.references], len(spec.references) > 1
+        if exact and many:
+            drawn = fewshot.sampled_and_picked(test, pool.select(key, source.alias("__in"), *refs), [key], list(spec.references), base_seed, fill=spec.fill, name="__out")
+        else:
+            out = fewshot.pick(usable(*refs), F.col(key)) if many else F.get(usable(*refs), F.lit(0))
+            draw = fewshot.filter_then_sample if spec.fill else fewshot.sample_then_filter
+            if exact:
+                draw = fewshot.shuffled_then_filled if spec.fill else partial(fewshot.sample_then_filter, exact=True)
+            drawn = draw(test, pool.select(key, source.alias("__in"), out.alias("__out")), [key], ["__in", "__out"], base_seed)
+        shots = fewshot.gathered(drawn, "__in", "__out")
         test = test.join(shots, "instance_idx", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<struct<input:string,output:string>>")))
         examples = "examples"
     content = prompts.prompt(spec.name, query_type, F.col(f"`{spec.source}`"), examples)
     return test.withColumn("chat", prompts.chat(content, t.system if system else None)).drop("examples")
 
 
-def with_scores(spec: TaskSpec, df: DataFrame) -> DataFrame:
-    """Add the task's scores of ``preds``."""
-    df = df.withColumn("__ref", F.col(f"`{spec.references[0]}`"))
-    if spec.metric == "bleu":
-        df = with_bleu(df, "__ref", "preds")
-    elif spec.metric == "rouge":
-        df = with_rouge_l(with_rouge_n(df, "__ref", "preds"), "__ref", "preds")
+#: Bytes of an answer or reference from which grams are counted in Arrow batches.
+LONG_BYTES = 20_000
+
+
+def has_long(df: DataFrame, *columns: Column) -> bool:
+    """Whether a text of ``df``, a written table, is long."""
+    most = df.agg(F.max(F.greatest(*[F.coalesce(F.octet_length(c), F.lit(0)) for c in columns]))).first()[0]
+    return (most or 0) > LONG_BYTES
+
+
+def _scored(metric: str, df: DataFrame, source: Column, references: list[Column], long: bool | None) -> DataFrame:
+    """Add a metric's scores of ``preds``; ``long`` None looks at the texts."""
+    own = unused(df, "source", *[f"ref{i}" for i in range(len(references))])
+    df = df.withColumns(dict(zip(own, [source, *references], strict=True)))
+    first = own[1]
+    if metric != "sari" and long is None:
+        long = has_long(df, F.col(first), F.col("preds"))
+    if metric == "bleu":
+        df = with_bleu(df, first, "preds", long)
+    elif metric == "rouge":
+        df = with_rouge_l(with_rouge_n(df, first, "preds", long=long), first, "preds")
     else:
-        df = with_sari(df.withColumn("__src", F.col(f"`{spec.source}`")), "__src", [F.col(f"`{r}`") for r in spec.references if r in df.columns], "preds").drop("__src")
-    return df.drop("__ref")
+        df = with_sari(df, own[0], own[1:], "preds")
+    return df.drop(*own)
 
 
-def run_task(spec: TaskSpec, query_type: str, table: DataFrame, pool: DataFrame | None, key: str, make: Callable[[], Generator], model: str, out: str, base_seed: int = 42, system: bool = False, parts: int = 4, partitions: int | None = None, batch: int = 64) -> DataFrame:
+def with_scores(spec: TaskSpec, df: DataFrame, long: bool | None = None) -> DataFrame:
+    """Add the task's scores of ``preds``.  ``long`` says whether to expect long texts; None looks."""
+    refs = [F.col(f"`{r}`") for r in spec.references if r in df.columns]
+    return _scored(spec.metric, df, F.col(f"`{spec.source}`"), refs, long)
+
+
+def run_task(
+    spec: TaskSpec, query_type: str, table: DataFrame, pool: DataFrame | None, key: str, make: Callable[[], Generator], model: str, out: str, base_seed: int = 42, system: bool = False,
+    exact: bool = False, parts: int = 1, journal: bool = True, **calls,
+) -> DataFrame:
     """Prompt, generate, extract, score, write and summarise one run; returns the summary.
 
     Predictions are written before scoring, and again as CSV: generation is costly and may differ
-    between calls, so nothing asks a model twice.  The test rows are asked in ``parts`` ranges of
-    their ordinals, and each range is committed before the next begins, so that a run that dies
-    loses one range at most: a rerun generates only rows that are not written.  ``partitions`` and
-    ``batch`` are those of :func:`generate`.
+    between calls.  A ``journal`` by key holds every answer as it comes, so that nothing asks a model
+    twice: neither a task that starts anew nor a rerun, which asks only for rows that have no answer.
+    Without one (for stores that workers cannot write to) test rows can be asked in ``parts`` ranges
+    of their ordinals, each committed before the next begins.  ``calls`` are those of :func:`generate`.
     """
     spark, path = table.sparkSession, run_path(out, spec.name, model, query_type)
     test, pool = test_and_pool(spec, key, table, pool)
-    asked = with_prompts(spec, query_type, test, pool, key, base_seed, system)
+    asked = with_prompts(spec, query_type, test, pool, key, base_seed, system, exact)
     done = f"{path}/predictions"
     try:
         before = spark.read.parquet(done)
@@ -114,10 +143,11 @@ def run_task(spec: TaskSpec, query_type: str, table: DataFrame, pool: DataFrame
         asked = without(asked, before, key)
     asked = staged(asked, "asked")
     least, most, n = asked.agg(F.min("instance_idx"), F.max("instance_idx"), F.count("*")).first()
+    book = Journal(f"{path}/journal", key) if journal else None
     for part in range(parts if n else 1):  # without rows one part, so that there is a table
         low, high = ((least or 0) + (part + i) * ((most or 0) - (least or 0) + 1) // parts for i in (0, 1))
         rows = asked.where((F.col("instance_idx") >= low) & (F.col("instance_idx") < high))
-        got = generate(rows, make, partitions=partitions, batch=batch)
+        got = generate(rows, make, journal=book, **calls)
         got.withColumn("preds", extract("responses", spec.marker, spec.mode)).write.mode("append").parquet(done)
         log.info("%s: part %d of %d generated, %d rows in all", path, part + 1, parts, n)
     predictions = spark.read.parquet(done)
@@ -126,20 +156,70 @@ def run_task(spec: TaskSpec, query_type: str, table: DataFrame, pool: DataFrame
     scored.write.mode("overwrite").parquet(f"{path}/scored")
     scored = spark.read.parquet(f"{path}/scored")
     write_csv(scored, f"{path}/scored_csv")
-    summary = summarise(scored.withColumns({"task": F.lit(spec.name), "model": F.lit(model), "query_type": F.lit(query_type)}), METRICS[spec.metric], "task", "model", "query_type")
+    summary = summarise(scored.withColumns({"task": F.lit(spec.name), "model": F.lit(model), "query_type": F.lit(query_type)}), METRICS[spec.metric], *RUN)
     report = render(summary)
     write_text(report, spark, f"{path}/summary")
     log.info("%s: %d without an answer\n%s", path, blank_answers(scored).count(), report)
     return summary
 
 
-def run_all(tables: dict[str, tuple[DataFrame, DataFrame | None, str]], make: Callable[[str, str], Callable[[], Generator]], model: str, out: str, query_types: tuple[str, ...] = prompts.QUERY_TYPES) -> DataFrame:
-    """Every task in ``tables`` (table, pool, key) with every query type; all their summaries.
+Tables = dict[str, tuple[DataFrame, DataFrame | None, str]]
+
 
-    ``make(task, query_type)`` gives the maker of the generator to use.
+def matrix_prompts(tables: Tables, model: str, query_types: tuple[str, ...] = prompts.QUERY_TYPES, base_seed: int = 42, system: bool = False, exact: bool = False) -> DataFrame:
+    """The prompts of every task in ``tables`` (table, pool, key) with every query type, in one table:
+    task, model, query_type, id (unique), instance_idx, source, refs and chat."""
+    rows = []
+    for name, (table, pool, key) in tables.items():
+        spec = TASKS[name]
+        test, rest = test_and_pool(spec, key, table, pool)
+        for q in query_types:
+            asked = with_prompts(spec, q, test, rest, key, base_seed, system, exact)
+            run = [F.lit(v).alias(n) for n, v in zip(RUN, (name, model, q), strict=True)]
+            mine = F.concat_ws("/", *[F.lit(v) for v in (name, model, q)], F.col(key).cast("string"))
+            refs = F.array(*[F.col(f"`{r}`") for r in spec.references])
+            rows.append(asked.select(*run, mine.alias("id"), F.col("instance_idx").cast("long").alias("instance_idx"), F.col(f"`{spec.source}`").alias("source"), refs.alias("refs"), "chat"))
+    return reduce(DataFrame.union, rows)
+
+
+def run_all(tables: Tables, make: Callable[[], Generator], model: str, out: str, query_types: tuple[str, ...] = prompts.QUERY_TYPES, base_seed: int = 42, system: bool = False, exact: bool = False, journal: bool = True, **calls) -> DataFrame:
+    """Every task in ``tables`` (table, pool, key) with every query type, as one plan; their summaries.
+
+    All prompts are one table, so each worker makes one generator for all runs, and no run waits for
+    another.  Answers go to the journal, predictions and scores to tables of runs (``predictions``,
+    ``scored``, and as CSV), where the runs asked for replace theirs and others stay.  Each metric's
+    runs are scored together.
     """
-    summaries = [run_task(TASKS[name], q, table, pool, key, make(name, q), model, out) for name, (table, pool, key) in tables.items() for q in query_types]
-    return reduce(DataFrame.unionByName, summaries)
+    spark = next(iter(tables.values()))[0].sparkSession
+    asked = staged(matrix_prompts(tables, model, query_types, base_seed, system, exact), "asked")
+    got = generate(asked, make, journal=Journal(f"{out}/journal", "id") if journal else None, **calls)
+    answer = reduce(lambda c, t: c.when(F.col("task") == t, extract("responses", TASKS[t].marker, TASKS[t].mode)), tables, F)
+    write_runs(got.withColumn("preds", answer), f"{out}/predictions")
+    wanted = (F.col("model") == model) & F.col("task").isin(*tables) & F.col("query_type").isin(*query_types)
+    predictions = read_runs(spark, f"{out}/predictions").where(wanted)
+    write_runs(predictions, f"{out}/predictions_csv", "csv")
+    scored = []
+    for metric in sorted({TASKS[t].metric for t in tables}):
+        rows = predictions.where(F.col("task").isin(*[t for t in tables if TASKS[t].metric == metric]))
+        refs = [F.get("refs", F.lit(i)) for i in range(max(len(TASKS[t].references) for t in tables if TASKS[t].metric == metric))]
+        scored.append(_scored(metric, rows, F.col("source"), refs, None))
+    write_runs(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scored), f"{out}/scored")
+    rows = read_runs(spark, f"{out}/scored").where(wanted)
+    write_runs(rows, f"{out}/scored_csv", "csv")
+    summary = compare(rows)
+    report = render(summary)
+    write_text(report, spark, f"{out}/summary")
+    log.info("%s: %d without an answer\n%s", out, blank_answers(rows).count(), report)
+    return summary
+
+
+def compare(runs: DataFrame) -> DataFrame:
+    """The summary of each run in a table of scored runs, by task, model and query type: every metric
+    that the run has scores of."""
+    metrics = [m for group in METRICS.values() for m in group if m in runs.columns]
+    of = {t.name: METRICS[t.metric] for t in TASKS.values()}
+    own = [F.when(F.col("task").isin(*[t for t, ms in of.items() if m in ms]), F.col(m)).alias(m) for m in metrics]
+    return summarise(runs.select(*RUN, *own), metrics, *RUN).where("n > 0")
 
 
 def blank_answers(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from .functions.ngrams import gram_counts
 from .functions.text import WS, extract, is_blank, space_tokens, truncate, usable, without_leading_number, word_tokens
 from .operators import fewshot, prompts
 from .operators.generate import Retry, drop_every, failing, generate, lead, retrying_api
-from .operators.ordinals import head, present, split, tail, with_ordinal, without
+from .operators.ordinals import head, present, split, tail, with_few_ordinals, with_ordinal, without
 from .operators.summary import summarise
 from .plans.tasks import METRICS, run_all
 from .sources.io import read_csv, read_numbered_pairs, read_pairs, read_splits, read_tsv, write_csv
@@ -68,8 +68,9 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def test_and_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The last quarter of the documents, at most 200, is the test; the rest is the pool."""
     docs = news(spark, sf_dir)
-    rows = split(docs, min(TEST, docs.count() // 4), "doc_id")
-    return with_ordinal(rows.where("is_test").drop("is_test", "instance_idx"), "doc_id"), rows.where("not is_test").drop("is_test", "instance_idx")
+    n = min(TEST, docs.count() // 4)
+    test, pool = split(docs, n, "doc_id")
+    return with_few_ordinals(test, n, "doc_id"), pool
 
 
 # --- SQL pieces -------------------------------------------------------------------------------
@@ -560,7 +561,7 @@ def _task_query(name: str, query_types: tuple[str, ...]):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = pairs(spark, sf_dir).select((F.col("conv_id") * 100_000 + F.col("turn")).alias("k"), F.col("ref").alias("english"), F.col("ref").alias("sinhala"))
         pool = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("k"), F.col("lang").alias("english"), F.col("lang").alias("sinhala"))
-        got = run_all({"en_si": (rows, pool, "k")}, lambda task, q: _echo_model, "hub/echo", new_path(spark, "runs"), query_types)
+        got = run_all({"en_si": (rows, pool, "k")}, _echo_model, "hub/echo", new_path(spark, "runs"), query_types)
         return _round(got.withColumn("model", F.regexp_replace("model", "^hub/", "")), ["task", "model", "query_type", "metric", "n"], STATS)
 
     f.__name__ = name

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of more bytes is shuffled, not broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,10 +37,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts(spark: SparkSession) -> int:
+    """As many partitions as the session shuffles to, or has cores."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, if it comes in fewer: a small file is one task."""
+    """``df`` over all cores if it comes from fewer files than there are: a small file is one task.
+
+    Asks for the names of files, which runs no job, and never for partitions, which runs all
+    shuffles below.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def small(df: DataFrame) -> bool:
+    """Whether a written table may be broadcast: counts its rows and the bytes of its strings."""
+    strings = [F.octet_length(F.col(f"`{c}`")) for c, t in df.dtypes if t == "string"]
+    n, size = df.agg(F.count("*"), sum((F.coalesce(F.sum(s), F.lit(0)) for s in strings), F.lit(0))).first()
+    return n * 8 * len(df.columns) + size <= BROADCAST_BYTES
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

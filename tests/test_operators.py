@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkeval.functions.metrics import bleu_of_long, rouge_n_of_long, with_bleu, with_rouge_n
-from sparkeval.functions.ngrams import shared_grams
+from sparkeval.functions.ngrams import batched_matches
 from sparkeval.functions.text import space_tokens
 from sparkeval.operators import fewshot, prompts
 from sparkeval.operators.generate import Retry, api, failing, pipeline, replay, retrying_api, seq2seq
@@ -24,8 +24,9 @@ def test_ordinals_and_split_do_not_depend_on_partitions(spark):
     for n in (1, 4, 16):
         got = {r.k: r.instance_idx for r in with_ordinal(df.repartition(n), "k").collect()}
         assert got == {k: i for i, k in enumerate(range(-20, 80))}
-    assert split(df, 30, "k").where("is_test").agg(F.min("k")).first()[0] == 50
-    assert split(df, 1000, "k").where("not is_test").count() == 0
+    test, pool = split(df, 30, "k")
+    assert (test.agg(F.min("k")).first()[0], test.count(), pool.count()) == (50, 30, 70)
+    assert [x.count() for x in split(df, 1000, "k")] == [100, 0] and [x.count() for x in split(df, 0, "k")] == [0, 100]
     assert without(df, df.where("k > 0"), "k").count() == 21
 
 
@@ -82,8 +83,8 @@ def test_long_texts_score_as_short_ones_do(spark):
         one, two = ({x.k: [x[c] for c in names] for x in d.collect()} for d in (short, long))
         assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
     brute = {k: sum((Counter((t or "").split()) & Counter((p or "").split())).values()) for k, t, p in rows}
-    m = {x.k: x.matches for x in shared_grams(df, ["k"], space_tokens("r"), space_tokens("p"), (1,)).collect()}
-    assert all(m.get(k, 0) == n for k, n in brute.items())
+    m = {x.k: x.m[0] for x in df.select("k", batched_matches((1,))(space_tokens("r"), space_tokens("p")).alias("m")).collect()}
+    assert m == brute
 
 
 def test_a_dead_run_goes_on_where_it_stopped(spark, tmp_path):
@@ -103,8 +104,8 @@ def test_a_dead_run_goes_on_where_it_stopped(spark, tmp_path):
 
     table = spark.createDataFrame([(i, f"w{i}", "x") for i in range(40)], "k long, english string, sinhala string")
     with pytest.raises(Exception, match="gone"):
-        run_task(TASKS["en_si"], "zero-shot", table, None, "k", make(True), "m", str(tmp_path / "out"), parts=4)
-    summary = run_task(TASKS["en_si"], "zero-shot", table, None, "k", make(False), "m", str(tmp_path / "out"), parts=4)
+        run_task(TASKS["en_si"], "zero-shot", table, None, "k", make(True), "m", str(tmp_path / "out"), parts=4, journal=False)
+    summary = run_task(TASKS["en_si"], "zero-shot", table, None, "k", make(False), "m", str(tmp_path / "out"), parts=4, journal=False)
     assert {r.n for r in summary.collect()} == {40}
     again = {int(p.name.split("-")[0]) for p in asked.iterdir() if p.name.endswith("False")}
     assert again == set(range(30, 40))  # ranges that were committed are not asked again
@@ -178,7 +179,7 @@ def test_run_all(spark, tmp_path):
     from sparkeval.plans.tasks import run_all
 
     tables = {"en_si": (spark.createDataFrame([(i, f"a{i} b c d", f"w{i} x y z") for i in range(8)], ["k", "english", "sinhala"]), spark.createDataFrame([(i, f"a{i}", f"w{i}") for i in range(20, 25)], ["k", "english", "sinhala"]), "k")}
-    got = run_all(tables, lambda task, q: seeded(lambda: lambda prompts: ["Translation: w1 x y z"] * len(prompts)), "m", str(tmp_path), ("zero-shot", "few-shot-si")).collect()
+    got = run_all(tables, seeded(lambda: lambda prompts: ["Translation: w1 x y z"] * len(prompts)), "m", str(tmp_path), ("zero-shot", "few-shot-si")).collect()
     assert {(r.query_type, r.metric) for r in got} == {(q, m) for q in ("zero-shot", "few-shot-si") for m in ("bleu_1", "bleu_2", "bleu_3", "bleu_4", "bleu_overall")}
     assert all(r["max"] == 100 for r in got)
 
