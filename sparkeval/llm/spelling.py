@@ -15,11 +15,11 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +29,11 @@ from .words import LOWER
 
 #: A shard has at most this many words, as long as there are not over :data:`SHARDS` of them.
 SHARD_WORDS = 1 << 16
-#: And no fewer than this, if that leaves tasks without one.
-LEAST_SHARD_WORDS = 1 << 12
 SHARDS = 4096
 #: Code points of a border between shards.
 BORDER = 64
+#: Words that ask a shard together, in one row.
+TOGETHER = 4096
 #: Words that a task counts before it sends their counts on.
 COUNTED = 500_000
 
@@ -234,72 +234,83 @@ def _homes(borders: Borders):
     return run
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, word, n) by shard and word to a row for each shard."""
+def _row(shard: int, block: int, first: bool, words: list[str], counts: list[int]) -> pa.RecordBatch:
+    values = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first]), pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(values, names=["shard", "block", "first", "words", "counts"])
 
-    def row(shard: int, words: list, counts: list) -> pa.RecordBatch:
-        values = [pa.array([shard], pa.int32()), pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(values, names=["shard", "words", "counts"])
 
-    now, words, counts = None, [], []
-    for b in batches:
-        for shard, word, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if shard != now and words:
-                yield row(now, words, counts)
-                words, counts = [], []
-            now = shard
-            words.append(word)
-            counts.append(n)
-    if words:
-        yield row(now, words, counts)
-
-
-def _reaches(borders: Borders):
+def _tries(blocks: int):
+    """Rows (shard, word, n) by shard and word to the shard's row, once for each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for shard, group in groupby(rows, key=lambda r: r[0]):
+            words, counts = map(list, zip(*[(w, n) for _, w, n in group], strict=True))
+            for block in range(blocks):
+                yield _row(shard, block, True, words, counts)
+
+    return run
+
+
+def _reaches(borders: Borders, blocks: int):
+    """Words (word, n) to a row for each shard that some of them reach, dealt to one of its blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 4096):
-                some = b.slice(at, 4096)
-                shards = [list(borders.reached(w)) for w in some.column(0).to_pylist()]
-                index = pa.array(np.repeat(np.arange(len(some)), [len(s) for s in shards]))
-                flat = pa.array([s for x in shards for s in x], pa.int32())
-                yield pa.RecordBatch.from_arrays([flat, *(pc.take(c, index) for c in some.columns)], names=["shard", "word", "n"])
+            for at in range(0, len(b), TOGETHER):
+                words, counts = (c.slice(at, TOGETHER).to_pylist() for c in b.columns)
+                at_shard: dict[int, tuple[list, list]] = {}
+                for w, n in zip(words, counts, strict=True):
+                    for shard in borders.reached(w):
+                        some = at_shard.setdefault(shard, ([], []))
+                        some[0].append(w)
+                        some[1].append(n)
+                block = zlib.crc32(words[0].encode()) % blocks
+                for shard, some in at_shard.items():
+                    yield _row(shard, block, False, *some)
 
     return run
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a shard and block, the shard's words first: a row for each neighbour of each word."""
+    """Rows of a shard and block, the shard's own first: for each word that has neighbours there, their
+    number and the best of them."""
     root: dict = {}
-    names = ["word", "n", "near", "near_n"]
     for b in batches:
-        out: list[tuple] = []
-        words, counts = b.column(2), b.column(3)
-        for k, (word, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-            if word is None:
-                root = trie(words[k].as_py(), counts[k].as_py())
-            else:
-                out += [(word, n, near, m) for near, m in neighbours_in(root, word)]
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=names)
+        for k, first in enumerate(b.column(0).to_pylist()):
+            words = b.column(1)[k].as_py()
+            if first:
+                root = trie(words, b.column(2)[k].as_py())
+                continue
+            out = []
+            for w in words:
+                if found := neighbours_in(root, w):
+                    best, n = min(found, key=lambda f: (-f[1], f[0]))
+                    out.append((w, len(found), best, n))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["word", "n_near", "near", "near_n"])
 
 
 def neighbours(words: DataFrame) -> DataFrame:
-    """word, n, near and near_n: every two words at distance one, both ways.  ``words`` (word, n) are
-    distinct and not null; they are read several times, so pass a written table."""
+    """word, n_near, near and near_n of each word that has words at distance one: how many, and the most
+    frequent (ties: the smallest) with its count.  ``words`` (word, n) are distinct and not null; they
+    are read several times, so pass a written table."""
     spark = words.sparkSession
     total, tasks = words.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = min(SHARDS, max(1, ceil(total / SHARD_WORDS), min(tasks, total // LEAST_SHARD_WORDS)))
+    shards = min(SHARDS, max(1, ceil(total / SHARD_WORDS)))
     borders = Borders([])
     if shards > 1:
         lows = words.repartitionByRange(shards, "word").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.substring("word", 1, BORDER)).alias("low"))
         borders = Borders(sorted({r.low for r in lows.collect()})[1:])  # one for each shard
-    blocks = max(1, ceil(2 * tasks / (len(borders.borders) + 1)))
-    tries = map_batches(map_batches(words, _homes(borders), "shard int, word string, n long").repartition("shard").sortWithinPartitions("shard", "word"), _tries, "shard int, words array<string>, counts array<long>")
-    tries = tries.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n"), "words", "counts")
-    asked = map_batches(words, _reaches(borders), "shard int, word string, n long")
-    asked = asked.select("shard", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block"), "word", "n", F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<long>").alias("counts"))
-    dealt = tries.union(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("word").isNotNull())
-    return map_batches(dealt.select("word", "n", "words", "counts"), _search, "word string, n long, near string, near_n long")
+    blocks = max(1, ceil(tasks / (len(borders.borders) + 1)))
+    kind = "shard int, block int, first boolean, words array<string>, counts array<long>"
+    homes = map_batches(words, _homes(borders), "shard int, word string, n long").repartition("shard").sortWithinPartitions("shard", "word")
+    asked = map_batches(homes, _tries(blocks), kind).union(map_batches(words, _reaches(borders, blocks), kind))
+    dealt = asked.repartition("shard", "block").sortWithinPartitions("shard", "block", F.desc("first"))
+    found = map_batches(dealt.select("first", "words", "counts"), _search, "word string, n_near long, near string, near_n long")
+    best = F.min(F.struct((-F.col("near_n")).alias("minus"), "near"))
+    return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", "best.near", (-F.col("best.minus")).alias("near_n"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -327,8 +338,8 @@ def variants(docs: DataFrame, least: int = 7, repeats: int = 2, factor: int = 10
     if it has none.  See :func:`word_counts` for nulls and repeated rows; an empty table gives no rows.
     """
     words = stage(word_counts(docs, least, every, key, text).where(F.col("n") >= repeats), "words")
-    found = neighbours(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("form"))).alias("best"))
-    rows = words.join(found, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(-F.col("best.minus") >= factor * F.col("n"), F.col("best")).alias("best"))
-    rows = stage(rows.select("word", "n", "n_near", "best.form", (-F.col("best.minus")).alias("form_n")), "formed")
+    best = F.when(F.col("near_n") >= factor * F.col("n"), F.struct(F.col("near").alias("form"), F.col("near_n").alias("form_n")))
+    rows = words.join(neighbours(words), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), best.alias("best"))
+    rows = stage(rows.select("word", "n", "n_near", "best.form", "best.form_n"), "formed")
     last = roots(rows.where("form is not null").select("word", "form"))
     return rows.join(last, "word", "left").withColumn("root", F.coalesce("root", "word"))
