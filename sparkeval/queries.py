@@ -7,6 +7,8 @@ with markers.  Scores are rounded to four places on both sides.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,13 @@ from .functions.metrics import bleu_of_long, first_reference, rouge_n_of_long, w
 from .functions.ngrams import gram_counts
 from .functions.text import WS, extract, is_blank, space_tokens, truncate, usable, without_leading_number, word_tokens
 from .operators import fewshot, prompts
-from .operators.generate import Retry, drop_every, failing, generate, lead, retrying_api
+from .operators.generate import Retry, api, drop_every, failing, generate, lead, pipeline, retrying_api, seeded, seq2seq
+from .operators.journal import Journal
 from .operators.ordinals import head, present, split, tail, with_few_ordinals, with_ordinal, without
-from .operators.summary import summarise
-from .plans.tasks import METRICS, run_all
-from .sources.io import read_csv, read_numbered_pairs, read_pairs, read_splits, read_tsv, write_csv
-from .sources.staging import new_path, spread
+from .operators.summary import render, summarise
+from .plans.tasks import METRICS, TASKS, run_all
+from .sources.io import read_csv, read_numbered_pairs, read_pairs, read_runs, read_split, read_splits, read_tsv, run_path, write_csv, write_runs, write_splits, write_text
+from .sources.staging import new_path, spread, staged
 
 MARKER = "Translation:"
 TEST = 200
@@ -60,6 +63,13 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news(spark, sf_dir).select("doc_id", made.alias("response"))
 
 
+def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as answers: after the marker, before it too, or without one."""
+    text, kind = F.col("text"), F.col("doc_id") % 4
+    made = F.when(kind == 0, F.concat(F.lit(f"{MARKER} "), text)).when(kind == 1, F.concat(text, F.lit(f"\n{MARKER.upper()}\n\n"), text, F.lit("\n\nnote"))).when(kind == 2, text).otherwise(F.concat(text, F.lit(f" {MARKER}"), text, F.lit(f"\n{MARKER} "), text))
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("response"))
+
+
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
@@ -108,6 +118,8 @@ SIMP = f"""{PAIRS}, simp AS (SELECT conv_id, turn, ref, pred, array_to_string(li
 NEWS = f"news AS (SELECT doc_id, text AS content, string_split(text, chr(10))[1] AS headline, array_to_string(list_slice({sql_tokens('text')}, 1, 12), ' ') AS pred FROM documents)"
 RESPONSES = f"""{NEWS}, responses AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '{MARKER} ' || pred WHEN 1 THEN '{MARKER.lower()}' || chr(10) || chr(10) || pred || chr(10) || chr(10) || 'note' WHEN 2 THEN pred WHEN 3 THEN ''
  WHEN 4 THEN '{MARKER} ' || pred || chr(10) || '{MARKER} ' || pred WHEN 5 THEN '{MARKER} ' || pred || chr(10) || 'note' END AS response FROM news)"""
+WHOLE_RESPONSES = f"""responses AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{MARKER} ' || text WHEN 1 THEN text || chr(10) || '{MARKER.upper()}' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'note' WHEN 2 THEN text
+ ELSE text || ' {MARKER}' || text || chr(10) || '{MARKER} ' || text END AS response FROM documents)"""
 SPLIT = f"""{NEWS}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM news), cut AS (SELECT *, r >= n - least({TEST}, n // 4) AS is_test FROM numbered),
  test AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS instance_idx FROM cut WHERE is_test), pool AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM cut WHERE NOT is_test)"""
 SEED = 42
@@ -246,23 +258,24 @@ def truncate_500(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.char_length("t").cast("long").alias("n_chars"), F.md5("t").alias("short"))
 
 
-def _extract_query(mode: str):
-    name = {"first_line": "extract_first_line", "to_end": "extract_to_end", "paragraph": "extract_paragraph"}[mode]
+def _extract_query(mode: str, whole: bool = False):
     flags = {"first_line": "", "to_end": "(?s)", "paragraph": "(?is)"}[mode]
     rest = {"first_line": "(.*)", "to_end": "(.*)", "paragraph": r"(.*?)(?:\n\n|\z)"}[mode]
     pattern = f"{flags}{MARKER}{SQL_WS}*{rest}"
     got = f"regexp_extract(response, '{pattern}', 1)"
-    sql = f"WITH {RESPONSES} SELECT doc_id, CASE WHEN response IS NULL THEN '' WHEN regexp_matches(response, '{pattern}') THEN {got if mode == 'first_line' else sql_strip(got)} ELSE {sql_strip('response')} END AS answer FROM responses"
+    answer = f"CASE WHEN response IS NULL THEN '' WHEN regexp_matches(response, '{pattern}') THEN {got if mode == 'first_line' else sql_strip(got)} ELSE {sql_strip('response')} END"
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return responses(spark, sf_dir).select("doc_id", extract("response", MARKER, mode).alias("answer"))
+        got = extract("response", MARKER, mode)
+        return (whole_responses if whole else responses)(spark, sf_dir).select("doc_id", (F.md5(got) if whole else got).alias("answer"))
 
-    f.__name__ = name
-    query(sql)(f)
+    f.__name__ = f"extract_{'whole_' if whole else ''}{mode}"
+    query(f"WITH {WHOLE_RESPONSES if whole else RESPONSES} SELECT doc_id, {f'md5({answer})' if whole else answer} AS answer FROM responses")(f)
 
 
 for _mode in ("first_line", "to_end", "paragraph"):
     _extract_query(_mode)
+    _extract_query(_mode, whole=True)
 
 
 # --- few-shot sampling and prompts ----------------------------------------------------------------
@@ -303,6 +316,23 @@ def fewshot_exact_fill3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fewshot.shuffled_then_filled(test, pool.withColumn("headline", _some_blank()), ["doc_id"], ["headline"], SEED).select("instance_idx", F.col("slot").cast("long").alias("slot"), "doc_id")
 
 
+def _picked(spark: SparkSession, sf_dir: str, fill: bool) -> DataFrame:
+    test, pool = test_and_pool(spark, sf_dir)
+    pool = pool.select("doc_id", _some_blank().alias("one"), F.when(F.col("doc_id") % 6 != 0, F.col("headline")).alias("two"), F.when(F.col("doc_id") % 4 != 0, F.col("pred")).otherwise("").alias("three"))
+    got = fewshot.sampled_and_picked(test, pool, ["doc_id"], ["one", "two", "three"], SEED, fill=fill)
+    return got.select("instance_idx", F.col("slot").cast("long").alias("slot"), "doc_id", F.md5("reference").alias("reference"))
+
+
+@query(None)
+def fewshot_exact_pick3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _picked(spark, sf_dir, fill=False)
+
+
+@query(None)
+def fewshot_exact_fill_pick3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _picked(spark, sf_dir, fill=True)
+
+
 @query(f"WITH {SIMP}, u AS (SELECT conv_id, turn, list_filter([s1, s2, s3], lambda x: NOT {sql_blank('x')}) AS refs FROM simp) SELECT conv_id, turn, md5(refs[1 + {sql_hash('conv_id::VARCHAR', chr(39) + 'pick' + chr(39))} % len(refs)]) AS reference FROM u")
 def fewshot_pick_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simp(spark, sf_dir).select("conv_id", "turn", _text_digest(fewshot.pick(usable("s1", "s2", "s3"), F.col("conv_id"))).alias("reference"))
@@ -389,6 +419,87 @@ def generate_retry_then_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate(asked, fresh, partitions=4).select("conv_id", "turn", F.col("responses").alias("response"))
 
 
+_LEADING = f"SELECT doc_id, md5('{MARKER} ' || array_to_string(list_slice({sql_tokens('text')}, 1, 12), ' ')) AS response FROM documents"
+
+
+@query(_LEADING)
+def generate_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chat"))
+    return generate(asked, _lead_model, in_flight=16).select("doc_id", F.md5("responses").alias("response"))
+
+
+def _refusing_model():
+    """Never to be asked: every answer is in the journal."""
+
+    def model(prompts: list) -> list:
+        raise RuntimeError("asked again")
+
+    return model
+
+
+@query(_LEADING)
+def generate_from_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, book = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chat")), Journal(new_path(spark, "journal"), "doc_id")
+    generate(asked, _lead_model, journal=book).write.format("noop").mode("overwrite").save()
+    return generate(asked, _refusing_model, journal=book).select("doc_id", F.md5("responses").alias("response"))
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("chat"))
+
+
+def _parts_model():
+    """A service that answers in parts, and fails on prompts of odd length."""
+
+    def client(prompt: str, temperature: float) -> list[str]:
+        if len(prompt) % 2:
+            raise RuntimeError("refused")
+        return [prompt[:10], f"{temperature}", prompt[-10:]]
+
+    return api(client)
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN left(text, 10) || ' 0.3 ' || right(text, 10) ELSE '' END AS response FROM conversations WHERE role = 'user'")
+def generate_api_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate(_users(spark, sf_dir), _parts_model, in_flight=4).select("conv_id", "turn", F.col("responses").alias("response"))
+
+
+def _reversing_pipeline():
+    return pipeline(lambda prompts, max_new_tokens: [f"  {p[::-1][:max_new_tokens]} " for p in prompts])
+
+
+@query(f"SELECT conv_id, turn, {sql_strip('left(reverse(text), 200)')} AS response FROM conversations WHERE role = 'user'")
+def generate_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate(_users(spark, sf_dir), _reversing_pipeline, batch=16).select("conv_id", "turn", F.col("responses").alias("response"))
+
+
+def _code_points_model():
+    """Code points as ids; texts that begin with A cannot be encoded."""
+
+    def encode(text: str) -> list[int]:
+        if text.startswith("A"):
+            raise ValueError(text)
+        return [ord(c) for c in text]
+
+    return seq2seq(encode, lambda ids, most: ids[:most], lambda ids: "".join(map(chr, ids)))
+
+
+@query("SELECT conv_id, turn, CASE WHEN text LIKE 'A%' THEN '' ELSE left(text, 200) END AS response FROM conversations WHERE role = 'user'")
+def generate_seq2seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate(_users(spark, sf_dir), _code_points_model).select("conv_id", "turn", F.col("responses").alias("response"))
+
+
+def _drawing_model():
+    """Says the first number that the worker's generator gives once it is seeded."""
+    first = f"{random.random():.6f}"
+    return lambda prompts: [f"{first} {p[:5]}" for p in prompts]
+
+
+@query(f"SELECT conv_id, turn, '{random.Random(777).random():.6f} ' || left(text, 5) AS response FROM conversations WHERE role = 'user'")
+def generate_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate(_users(spark, sf_dir), seeded(_drawing_model)).select("conv_id", "turn", F.col("responses").alias("response"))
+
+
 # --- row metrics ------------------------------------------------------------------------------------
 
 BLEUS = [*[f"bleu_{n}" for n in (1, 2, 3, 4)], "bleu_overall"]
@@ -432,6 +543,14 @@ def rouge_long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(rouge_n_of_long(rows.withColumn("ref", F.coalesce("ref", F.lit(""))), ["doc_id"], "ref", "pred"), ["doc_id"], ["rouge1", "rouge2"])
 
 
+#: A text without some of its words is a subsequence of it, so the longest common one is all that is left.
+@query(f"WITH t AS (SELECT doc_id, {sql_words('text')} AS r FROM documents), p AS (SELECT doc_id, len(r) AS m, len(list_filter(r, lambda t, i: (i - 1) % 5 <> 3)) AS n FROM t) SELECT doc_id, round(CASE WHEN n > 0 THEN 2.0 * n / (m + n) ELSE 0.0 END, 4)::DOUBLE AS \"rougeL\" FROM p")
+def rouge_l_long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.array_join(F.filter(word_tokens("ref"), lambda _, i: i % 5 != 3), " ")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("ref"))).withColumn("pred", kept)
+    return _round(with_rouge_l(rows, "ref", "pred"), ["doc_id"], ["rougeL"])
+
+
 @query(f"WITH n AS (SELECT doc_id, nullif(CASE WHEN doc_id % 2 = 0 THEN text END, '') AS t FROM documents), k AS (SELECT doc_id, {sql_words(chr(39) + 'None' + chr(39))} AS r, {sql_words('coalesce(t, ' + chr(39) + 'None' + chr(39) + ')')} AS p FROM n) SELECT doc_id, round(CASE WHEN list_contains(p, 'none') THEN 2.0 / (1 + len(p)) ELSE 0.0 END, 4) AS rouge1 FROM k")
 def rouge_null_as_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("ref"), F.when(F.col("doc_id") % 2 == 0, F.nullif("text", F.lit(""))).alias("pred"))
@@ -572,6 +691,73 @@ _task_query("task_translation_zero_shot", ("zero-shot",))
 _task_query("task_matrix_all_query_types", prompts.QUERY_TYPES)
 
 
+def _answering_model():
+    """For any task's prompt: its source less every fifth token, after the task's marker."""
+    drop, known = _dropping_model(), list(prompts.TEMPLATES.items())
+
+    def model(chats: list) -> list[str]:
+        out = []
+        for text in (c[-1]["content"] for c in chats):
+            (name, _), t = next((k, t) for k, t in known if text.startswith(t.task))
+            end = "\n\nend" if TASKS[name].mode == "paragraph" else ""
+            out.append(f"{t.marker} {drop([text.rsplit(f'{t.label}: ', 1)[1]])[0]}{end}")
+        return out
+
+    return model
+
+
+#: Each task's test rows, with pred the answer: a text against itself less every fifth token, and for simplification the harder one.
+_SIX = f"""{SIMP}, keyed AS (SELECT *, conv_id * 100000 + turn AS k FROM simp), r AS (SELECT *, row_number() OVER (ORDER BY k) AS up, row_number() OVER (ORDER BY k DESC) AS down FROM keyed)"""
+_SIX_BLEU = BLEU.replace("FROM pairs),", "FROM part),").replace(f"{PAIRS}, ", "")
+_SIX_ROUGE = f"""grw AS (SELECT task, conv_id, {sql_words('ref')} AS r, {sql_words('pred')} AS p FROM news_part), gr2 AS (SELECT *, {', '.join(f"{sql_grams(k, n)} AS {k}{n}" for k in 'rp' for n in (1, 2))} FROM grw),
+ cl2 AS (SELECT *, {sql_clip('p1', 'r1')} AS m1, {sql_clip('p2', 'r2')} AS m2 FROM gr2),
+ rouge AS (SELECT task, {_sql_f1('m1', 'len(p1)', 'len(r1)')} AS rouge1, {_sql_f1('m2', 'len(p2)', 'len(r2)')} AS rouge2, {_sql_f1('len(p)', 'len(p)', 'len(r)')} AS "rougeL" FROM cl2)"""
+
+
+def _six_sql() -> str:
+    sari = _sql_sari("[s1, s2, s3]").replace(f"{SIMP}, ", "").replace("FROM simp)", "FROM hard)").replace(sql_words("pred"), sql_words("answer")).replace("gr AS (", "grs AS (").replace("FROM gr)", "FROM grs)")
+    dropped = f"array_to_string(list_filter({sql_tokens('complex')}, lambda t, i: (i - 1) % 5 <> 3), ' ')"
+    bleu = _SIX_BLEU.replace("SELECT conv_id, turn, ", "SELECT task, ", 1).replace("sh AS (SELECT conv_id, turn, ", "sh AS (SELECT task, ").replace("bleu AS (SELECT conv_id, turn, ", "bleu AS (SELECT task, ")
+    return f"""WITH {_SIX}, part AS (SELECT 'en_si' AS task, ref, pred FROM r UNION ALL SELECT t, ref, pred FROM r, (VALUES ('ta_si'), ('pi_si')) AS v(t) WHERE down <= 1000),
+ news_part AS (SELECT 'summarisation' AS task, conv_id, ref, pred FROM r UNION ALL SELECT 'headline', conv_id, ref, pred FROM r WHERE up <= 1000),
+ hard AS (SELECT *, {dropped} AS answer FROM r WHERE down <= 200), {bleu}, {_SIX_ROUGE}, {sari}, hard_sari AS (SELECT 'simplification' AS task, sari FROM sari),
+ every AS ({_sql_summary('bleu', METRICS['bleu'], 'task')} UNION ALL {_sql_summary('rouge', METRICS['rouge'], 'task')} UNION ALL {_sql_summary('hard_sari', METRICS['sari'], 'task')})
+SELECT every.*, 'answering' AS model, q AS query_type FROM every, (VALUES {', '.join(f"('{q}')" for q in prompts.QUERY_TYPES)}) AS v(q)"""
+
+
+@query(_six_sql())
+def task_matrix_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six tasks with all query types: 24 runs in one plan."""
+    rows = staged(simp(spark, sf_dir).withColumn("k", F.col("conv_id") * 100_000 + F.col("turn")), "fixtures")
+    tables, pool = {}, table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("k"), F.col("lang").alias("a"), F.col("source").alias("b"))
+    for spec in TASKS.values():
+        if len(spec.references) > 1:
+            tables[spec.name] = rows.select("k", F.col("complex").alias(spec.source), *[F.col(f"s{i + 1}").alias(r) for i, r in enumerate(spec.references)]), None, "k"
+        else:
+            mine = rows.select("k", F.col("ref").alias(spec.source), F.col("ref").alias(spec.references[0]))
+            tables[spec.name] = mine, None if spec.test_size else pool.select("k", F.col("a").alias(spec.source), F.col("b").alias(spec.references[0])), "k"
+    got = run_all(tables, _answering_model, "answering", new_path(spark, "runs"))
+    return _round(got, ["task", "model", "query_type", "metric", "n"], STATS)
+
+
+@query(f"WITH {BLEU}, runs AS (SELECT 'translation' AS task, {_RUNS}, bleu_overall, bleu_1, bleu_2, bleu_3, bleu_4 FROM bleu), again AS (SELECT * FROM runs WHERE NOT (model = 'model_1' AND query_type = 'few-shot') UNION ALL SELECT task, model, query_type, 0.0, 0.0, 0.0, 0.0, 0.0 FROM runs WHERE model = 'model_1' AND query_type = 'few-shot') {_sql_summary('again', BLEUS, 'task, model, query_type')}")
+def run_table_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of runs of which one is written again: its partition alone is replaced, and all are compared."""
+    path, (model, query_type) = new_path(spark, "runs"), _run("conv_id")
+    rows = bleu_table(spark, sf_dir).withColumns({"task": F.lit("translation"), "model": model, "query_type": query_type})
+    write_runs(rows, path)
+    write_runs(rows.where("model = 'model_1' and query_type = 'few-shot'").withColumns({b: F.lit(0.0) for b in BLEUS}), path)
+    return _round(summarise(read_runs(spark, path), BLEUS, "task", "model", "query_type"), ["task", "model", "query_type", "metric", "n"], STATS)
+
+
+@query(f"WITH {_sql_sari('[s1, s2, s3]')}, s AS ({_sql_summary('sari', ['sari'])}), x AS (SELECT count(sari) AS n, avg(sari) AS a, median(sari) AS b, stddev_pop(sari) AS c, min(sari) AS d, max(sari) AS e FROM sari) SELECT unnest(['metric' || chr(9) || 'n' || chr(9) || 'mean' || chr(9) || 'median' || chr(9) || 'std' || chr(9) || 'min' || chr(9) || 'max', printf('sari' || chr(9) || '%d' || chr(9) || '%.4f' || chr(9) || '%.4f' || chr(9) || '%.4f' || chr(9) || '%.4f' || chr(9) || '%.4f', n, a, b, c, d, e)]) AS line FROM x")
+def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that a run leaves, written and read back."""
+    path = run_path(new_path(spark, "reports"), "simplification", "hub/echo", "zero-shot")
+    write_text(render(summarise(with_sari(simp(spark, sf_dir), "complex", ["s1", "s2", "s3"], "pred"), ["sari"])), spark, path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query("SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents")
 def roundtrip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "roundtrip")
@@ -592,6 +778,13 @@ def src_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.withColumn("split", F.lit("train")).union(test.withColumn("split", F.lit("test"))).select("split", "doc_id", F.md5("text").alias("text"))
 
 
+@query("SELECT 'test' AS split, doc_id, md5(text) AS text FROM documents WHERE doc_id % 4 = 0")
+def src_split_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, kind = new_path(spark, "splits"), F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train")
+    write_splits(table(spark, sf_dir, "documents").select("doc_id", "text", kind.alias("split")), path)
+    return read_split(spark, path, "doc_id long, text string", "test").select("split", "doc_id", F.md5("text").alias("text"))
+
+
 @query("SELECT md5(text) AS english, lang AS sinhala FROM documents")
 def src_read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = read_pairs(spark, f"{sf_dir}/documents.parquet", "text", "lang", ("english", "sinhala"))
