@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,14 +55,17 @@ def tail(df: DataFrame, n: int, *keys: str) -> DataFrame:
 def _from(keys: tuple[str, ...], values: tuple) -> tuple[Column, Column]:
     """Whether a row's keys are at or after ``values`` in their order, nulls first, and whether they
     are before: plain comparisons, which reach the scan."""
-    after, before, equal = [], [], F.lit(True)
-    for k, v in zip(keys, values, strict=True):
+    after, before, equal = [], [], []
+    for i, (k, v) in enumerate(zip(keys, values, strict=True)):
         c, value = F.col(k), F.lit(v)
-        after.append(equal & (c.isNotNull() if v is None else c > value))
-        before.append(equal & (F.lit(False) if v is None else c.isNull() | (c < value)))
-        same = c.isNull() if v is None else c == value
-        equal = same if len(after) == 1 else equal & same
-    return reduce(or_, [*after[1:], equal], after[0]), reduce(or_, before)
+        if i + 1 == len(keys):
+            above = F.lit(True) if v is None else c >= value
+        else:
+            above = c.isNotNull() if v is None else c > value
+        after.append(reduce(and_, [*equal, above]))
+        before.append(reduce(and_, [*equal, F.lit(False) if v is None else c.isNull() | (c < value)]))
+        equal.append(c.isNull() if v is None else c == value)
+    return reduce(or_, after), reduce(or_, before)
 
 
 def nth_last(df: DataFrame, n: int, *keys: str) -> tuple[Any, ...] | None:

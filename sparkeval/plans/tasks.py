@@ -91,7 +91,7 @@ LONG_BYTES = 20_000
 
 def has_long(df: DataFrame, *columns: Column) -> bool:
     """Whether a text of ``df``, a written table, is long."""
-    most = df.agg(F.max(F.greatest(*[F.coalesce(F.octet_length(c), F.lit(0)) for c in columns]))).first()[0]
+    most = df.agg(F.max(F.array_max(F.array(*[F.octet_length(c) for c in columns])))).first()[0]
     return (most or 0) > LONG_BYTES
 
 
