@@ -46,7 +46,7 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: against it (an advert within an article) can outweigh them.
 ENOUGH = 3.0
 #: Labelled pages that the weights are learned from: a fixed number, the same at every size.
-PAGES, SEED = 1500, 11
+PAGES, SEED = 1000, 11
 #: What every tag costs at least, and how tags learn: by so much at a wrong run, in so many turns.
 LEAST, RATE, TURNS = 0.02, 0.05, 12
 #: A name (or element) that a page without names does not have tells an article from this weight on.
@@ -131,12 +131,13 @@ def _silent_ends(page: str) -> dict[int, int]:
 
 
 class Element:
-    """An open element: its names, what it stands in, and what a model says of it and all around it."""
+    """An open element: its names, what it stands in, what a model says of it and all around it, the
+    words in it, and whether it wraps the page, so that its names tell nothing against an article."""
 
-    __slots__ = ("names", "parent", "sums")
+    __slots__ = ("names", "parent", "sums", "words", "wraps")
 
-    def __init__(self, names: tuple[str, ...], parent: Element | None):
-        self.names, self.parent, self.sums = names, parent, None
+    def __init__(self, names: tuple[str, ...], parent: Element | None, wraps: bool):
+        self.names, self.parent, self.sums, self.words, self.wraps = names, parent, None, 0, wraps
 
     def around(self) -> Iterator[str]:
         e = self
@@ -161,7 +162,7 @@ class Stack:
         self.places.setdefault(tag, []).append(len(self.tags))
         if tag not in INLINE and tag not in ("p", "td", "th"):
             self.walls.append(len(self.tags))
-        self.elements.append(Element(names, self.top()))
+        self.elements.append(Element(names, self.top(), tag in ("html", "body")))
         self.tags.append(tag)
 
     def cut(self, k: int) -> None:
@@ -248,6 +249,34 @@ class Weights:
                 self._sums[names] = s
         return s
 
+    def see_wrappers(self, seen: list[tuple[str, str, Element | None]]) -> None:
+        """Mark the elements that wrap the page: a menu, form or advert does not hold the article.
+
+        These are html and body, and each that holds most of the page's words and, within it, the
+        element with nothing against it that most speaks for an article: the innermost that has half
+        the words of the largest such.  Where no name tells one, those that hold nearly all words.
+        """
+        opened = [e for kind, _, e in seen if kind != "text" and e is not None]  # parents come first
+        total = 0
+        for kind, value, e in seen:
+            if kind == "text" and e is not None:
+                n = len(value.split())
+                e.words += n
+                total += n
+        for e in reversed(opened):
+            if e.parent is not None:
+                e.parent.words += e.words
+        telling = [e for e in opened if e.words and (s := self._element(e.names))[0] > 0 == s[1]]
+        if telling:
+            most = max(e.words for e in telling)
+            e = [e for e in telling if 2 * e.words >= most][-1].parent
+            while e is not None:
+                e.wraps |= 2 * e.words >= total
+                e = e.parent
+        else:
+            for e in opened:
+                e.wraps |= bool(total) and 10 * e.words >= 9 * total and self._element(e.names)[0] == 0
+
     def place(self, element: Element | None) -> float:
         """Score of one word there: 0 outside articles, 1 where all speaks for one."""
         new, e = [], element
@@ -257,6 +286,8 @@ class Weights:
         speak, against = (0.0, 0.0) if e is None else e.sums
         for e in reversed(new):
             a, b = self._element(e.names)
+            if e.wraps:
+                b = 0.0
             speak, against = speak + a, against + b
             e.sums = speak, against
         return max(0.0, math.tanh((self.bias + min(ENOUGH, speak) + against) / 2))
@@ -316,6 +347,7 @@ def extract(page: str | None, model: Model, scan: bool = True) -> str:
         return ""
     seen = list(tokens(page))
     w = model.of(seen)
+    w.see_wrappers(seen)
     sequence = _sequence(seen, w)
     a, b = best_run(_scores(sequence, w.tags, w.unknown)) if scan else (0, len(sequence))
     return _text(sequence[a:b])

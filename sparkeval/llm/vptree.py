@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -28,6 +28,8 @@ from . import common
 SHARD, LEAF, PIVOTS, RINGS = 4096, 128, 1024, 16
 #: Queries that a task works on at once.
 TOGETHER = 512
+#: Rows of a table by length of vectors that may be broadcast.
+LENGTHS = 10_000
 FACTOR = 0.3
 
 ROW = "vec_id long, dim int, vector binary"
@@ -192,6 +194,24 @@ def _build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], pa.schema([*[(c, pa.int32()) for c in ("dim", "cell", "sub", "n")], *[(c, pa.binary()) for c in ("ids", "vectors", "nodes")]]))
 
 
+def _tie() -> Column:
+    return F.xxhash64("vec_id", "vector")
+
+
+def _few(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """dim, vec_id, tie and wanted of the vectors whose hash is so low that some three times as many as
+    are wanted, and some dozens more, pass: a filter where the rows are, before anything is sorted."""
+    low = (_tie() / float(1 << 63) + 1) / 2 < (3 * F.col("wanted") + 60) / F.col("n")
+    return rows.join(F.broadcast(counts) if counts.count() <= LENGTHS else counts, "dim").where(low).select("dim", "vec_id", _tie().alias("tie"), "wanted").distinct()
+
+
+def _lowest(rows: DataFrame, shard: int, pivots: int) -> DataFrame:
+    """As many vantage points of each length as it has shards, by the smallest hashes, with their turn."""
+    counts = rows.groupBy("dim").agg(F.count("*").alias("n")).withColumn("wanted", F.least(F.ceil(F.col("n") / shard), F.lit(pivots)))
+    turn = F.row_number().over(Window.partitionBy("dim").orderBy("tie", "vec_id"))
+    return _few(rows, common.stage(counts, "lengths")).withColumn("turn", turn).where("turn <= wanted")
+
+
 def build_index(df: DataFrame, shard: int = SHARD, pivots: int = PIVOTS) -> Index:
     """Shards of the vectors with their trees, written to the shared folder.
 
@@ -199,13 +219,9 @@ def build_index(df: DataFrame, shard: int = SHARD, pivots: int = PIVOTS) -> Inde
     hashes.  Every vector of :func:`usable` is indexed; lengths of vectors are apart from each other.
     """
     rows = common.stage(common.map_batches(usable(df), _to_binary, ROW), "vectors")
-    # as many vantage points of each length as it has shards, by the smallest hashes
-    counts = rows.groupBy("dim").agg(F.least(F.ceil(F.count("*") / shard), F.lit(pivots)).alias("wanted"))
-    tie = F.xxhash64("vec_id", "vector")
-    turn = F.row_number().over(Window.partitionBy("dim").orderBy("tie", "vec_id"))
-    sample = rows.select("dim", "vec_id", tie.alias("tie")).withColumn("turn", turn).where(F.col("turn") <= pivots).join(counts, "dim").where("turn <= wanted")
+    sample = _lowest(rows, shard, pivots)
     sample = sample.orderBy("turn", "dim").limit(pivots)  # a bound also for a table of many lengths
-    chosen = rows.join(F.broadcast(sample.select("dim", "vec_id", "tie", "turn")), ["dim", "vec_id"]).where(F.col("tie") == tie).groupBy("dim", "turn").agg(F.min("vector").alias("vector")).collect()
+    chosen = rows.join(F.broadcast(sample.select("dim", "vec_id", "tie", "turn")), ["dim", "vec_id"]).where(F.col("tie") == _tie()).groupBy("dim", "turn").agg(F.min("vector").alias("vector")).collect()
     points: dict[int, list] = {}
     for r in sorted(chosen, key=lambda r: (r["dim"], r["turn"])):
         points.setdefault(r["dim"], []).append(np.frombuffer(r["vector"], np.float64))

@@ -386,6 +386,24 @@ def test_main_text_drops_only_what_is_silent():
     assert main_text.extract(body.format("<canvas>" * 20_000), w) == whole
 
 
+#: Classes that site builders put on a page's body.
+BODIES = "comments-open|logged-in admin-bar has-ads|page-template header-fixed footer-dark|single-post sidebar-right|ads-enabled|cookie-notice|has-sidebar|nav-open menu-open|search-results|newsletter-popup-active|with-banner|social-share-on|no-js advert|layout-aside|modal-open|widget-page|sponsored-content|promo|related-posts-on|footer-sticky|header-sticky nav-down|subscribe-wall|login-form|archive tag|breadcrumbs-on"
+
+
+def test_main_text_within_wrappers():
+    w = main_text.learned()
+    said = "<h1>Title here now</h1><p>One two three four five six seven eight</p><p>Nine ten eleven twelve thirteen fourteen</p>"
+    want = "Title here now One two three four five six seven eight Nine ten eleven twelve thirteen fourteen"
+    around = "<nav><a href=/>Home</a><a href=/b>News</a></nav>{}<section class='comments'><div class='comment-content'><p>No, I say</p></div></section><footer>Copyright nobody</footer>"
+    for inner in (f"<article>{said}</article>", f'<div class="entry-content">{said}</div>'):
+        for x in (inner, around.format(inner)):
+            for c in BODIES.split("|"):
+                for page in (f'<body class="{c}">{x}</body>', f'<html class="{c}"><body id="{c}">{x}</body></html>', f'<body><form id="aspnetForm" class="{c}">{x}</form></body>', f'<body><div id="wrapper" class="{c}">{x}</div></body>'):
+                    assert main_text.extract(page, w) == want, page[:90]
+    many = "<div class='comment-content'><p>No, I say to all of this, and again</p></div>" * 40  # comments may be most of a page
+    assert main_text.extract(f"<body class='comments-open'><article>{said}</article><section class='comments'>{many}</section></body>", w) == want
+
+
 def test_main_text_scan_finds_the_best_run():
     rng = random.Random(3)
     for _ in range(300):
@@ -414,6 +432,16 @@ def test_main_text_of_hostile_markup():
     assert time.perf_counter() - began < 10
 
 
+def test_vantage_points_are_few_before_they_are_sorted(spark):
+    rows = spark.range(60_000).select("id", (F.col("id") % 50 == 0).cast("int").alias("dim"), F.lit(b"x").alias("vector")).withColumnRenamed("id", "vec_id").unionAll(spark.range(500).select(F.lit(7).cast("long"), F.lit(1), F.lit(b"x"))).toDF("vec_id", "dim", "vector")
+    counts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.lit(20).alias("wanted"))
+    few = {r.dim: r["count"] for r in vptree._few(rows, counts).groupBy("dim").count().collect()}
+    assert few.keys() == {0, 1} and all(40 < n < 240 for n in few.values())
+    got = vptree._lowest(rows, 3000, 1024).collect()
+    assert {d: sorted(r.turn for r in got if r.dim == d) for d in (0, 1)} == {0: list(range(1, 21)), 1: [1]}
+    assert "Window" in vptree._lowest(rows, 3000, 1024)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", "<article><p>Hello there</p></article>"), (1, "u", "<article><p>Hello there</p></article>"), (None, None, None)]
     got = main_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
