@@ -13,7 +13,8 @@
    takes each text to one block.  Those that the hubs join are one component; only the rest of the
    family meets the rest and that component, block by block.
 
-Large band groups are cut into blocks too, and every pair of blocks is a task of its own.
+Large band groups meet hubs of their own in the same way, on registers, before only their rest is
+compared block by block.
 """
 
 from __future__ import annotations
@@ -153,13 +154,22 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _compare(batches, cut: float) -> Iterator[pa.RecordBatch]:
-    """Loose links of each band group, by registers."""
+class Signed:
+    """Members of a band group, compared on their registers."""
+
+    def __init__(self, t: pa.Table, cut: float):
+        self.ids, self.n, self.sig, self.cut = t["node"].to_numpy(), t["n_shingles"].to_numpy(), _list_matrix(t["bands"]), cut
+
+    def linked(self, i: int, rest: np.ndarray) -> np.ndarray:
+        return estimate((self.sig[rest] == self.sig[i]).sum(1), self.n[rest], self.n[i]) >= self.cut
+
+
+def _compare(batches, task: list[str], cut: float) -> Iterator[pa.RecordBatch]:
+    """Loose links of each task's members; those that are ``joined`` already are not compared with each other."""
     out: list[tuple[int, int]] = []
-    for t in _groups(batches, ["pos", "key", "i", "j"]):
-        ids, n, sig = t["rep"].to_numpy(), t["n_shingles"].to_numpy(), _list_matrix(t["bands"])
-        linked = lambda i, rest: estimate((sig[rest] == sig[i]).sum(1), n[rest], n[i]) >= cut  # noqa: B023, E731
-        out.extend((int(ids[i]), int(ids[j])) for i, j in _walk(len(ids), linked, np.zeros(len(ids), bool)))
+    for t in _groups(batches, task):
+        m = Signed(t, cut)
+        out.extend((int(m.ids[i]), int(m.ids[j])) for i, j in _walk(len(m.ids), m.linked, t["joined"].to_numpy()))
         if len(out) > 10_000:
             yield _links(out)
             out = []
@@ -200,13 +210,11 @@ def _confirm(batches, percent: int, cut: float) -> Iterator[pa.RecordBatch]:
             yield _links(out)
 
 
-STARRED = "family long, node long, mask int, hubs array<long>"
-
-
-def _star(batches, percent: int, cut: float) -> Iterator[pa.RecordBatch]:
-    """Of each member, the hubs that it is linked with: as bits, and by node.  A hub is linked with itself."""
-    for t in _groups(batches, ["family", "block"]):
-        m, hub = Members(t, percent, cut), t["hub"].to_numpy()
+def _star(batches, keys: dict[str, str], members: Callable[[pa.Table], Members | Signed]) -> Iterator[pa.RecordBatch]:
+    """Of each member of a block, the hubs that it is linked with: as bits, and by node.  A hub is
+    linked with itself.  ``keys`` tell groups apart."""
+    for t in _groups(batches, [*keys, "block"]):
+        m, hub = members(t), t["hub"].to_numpy()
         own = np.flatnonzero(hub < 0)
         if not len(own):
             continue
@@ -217,14 +225,47 @@ def _star(batches, percent: int, cut: float) -> Iterator[pa.RecordBatch]:
                 mask[k] |= 1 << int(hub[h])
                 if not same[k]:
                     linked[k].append(int(m.ids[h]))
-        yield pa.RecordBatch.from_arrays([t["family"].take(pa.array(own)).combine_chunks(), pa.array(m.ids[own]), pa.array(mask), pa.array(linked, pa.list_(pa.int64()))], ["family", "node", "mask", "hubs"])
+        group = [t[k].take(pa.array(own)).combine_chunks() for k in keys]
+        yield pa.RecordBatch.from_arrays([*group, pa.array(m.ids[own]), pa.array(mask), pa.array(linked, pa.list_(pa.int64()))], [*keys, "node", "mask", "hubs"])
 
 
-def _blocks(df: DataFrame, blocks: str, member: str) -> DataFrame:
-    """Deal members to ``blocks`` blocks, and give each row to every pair (i, j) with its block."""
-    df = df.withColumn("own", F.pmod(F.xxhash64(member), F.col(blocks)).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)))
-    return df.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", blocks)
+def _starred(rows: DataFrame, keys: dict[str, str], columns: DataFrame | None, members: Callable[[pa.Table], Members | Signed]) -> DataFrame:
+    """keys, node, mask and hubs of every member of large groups (``rows``: keys, node, blocks): each
+    member, in one block, meets the hubs.  ``columns`` are joined by node, if rows lack them."""
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("node"), "node"))
+    hubs = rows.withColumn("hub", turn - 1).where(F.col("hub") < HUBS)
+    hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    own = rows.withColumn("hub", F.lit(-1)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    meet = own.unionByName(hubs).drop("blocks")
+    meet = meet if columns is None else meet.join(columns, "node")
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", node long, mask int, hubs array<long>"
+    return common.stage(common.map_batches(_dealt(meet, [*keys, "block"]), lambda b: _star(b, keys, members), schema), "stars")
+
+
+def _with_joined(star: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node and joined: what hubs join, from the hub with the most members on, as hubs that share
+    a member are joined too."""
+    counts = [F.sum(F.getbit("mask", F.lit(i)).cast("long")).alias(f"n{i}") for i in range(HUBS)]
+    most = F.greatest(*[f"n{i}" for i in range(HUBS)])
+    joined = F.coalesce(*[F.when(F.col(f"n{i}") == most, F.lit(1 << i)) for i in range(HUBS)])
+    for _ in range(HUBS):
+        joined = F.aggregate("masks", joined, lambda a, m: F.when(a.bitwiseAND(m) != 0, a.bitwiseOR(m)).otherwise(a))
+    hub_sets = star.groupBy(*keys).agg(F.collect_set("mask").alias("masks"), *counts).select(*keys, joined.alias("of_hubs"))
+    return star.join(hub_sets, keys).select(*keys, "node", (F.col("mask").bitwiseAND(F.col("of_hubs")) != 0).alias("joined"))
+
+
+def _open_pairs(star: DataFrame, keys: list[str], size: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """keys, node, joined, i and j: the pairs of blocks in which the rest of a large group meets the
+    rest, and those that are joined; ``size`` tells how many blocks each of the two fills."""
+    rows = star.join(size(star.where("not joined"), "rest_blocks"), keys).join(size(star.where("joined"), "joined_blocks"), keys)
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("joined"), F.col("joined_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
+    rests, joins = (F.sequence(F.lit(0), F.col(c).cast("int") - 1) for c in ("rest_blocks", "joined_blocks"))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own = F.col("block")
+    of_rest = F.concat(F.transform(rests, lambda o: pair(F.least(own, o), F.greatest(own, o))), F.transform(joins, lambda o: pair(own, F.col("rest_blocks") + o)))
+    of_joined = F.transform(rests, lambda o: pair(o, F.col("rest_blocks") + own))
+    rows = rows.withColumn("block", at).select(*keys, "node", "joined", F.explode(F.when(F.col("joined"), of_joined).otherwise(of_rest)).alias("pair"))
+    return rows.select(*keys, "node", "joined", "pair.*")
 
 
 def _size(members: DataFrame, name: str) -> DataFrame:
@@ -243,39 +284,43 @@ def _confirmed(rows: DataFrame, held: DataFrame, percent: int, cut: float) -> Da
     small = held.where("blocks = 1").select("node", "text", "family", "bands", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("joined"))
     found = common.map_batches(_dealt(small, task), lambda b: _confirm(b, percent, cut), schema)
 
-    # large families: every member, in one block, meets the hubs
+    # large families: every member, in one block, meets the hubs, and then the rest what is left
     large = held.where("blocks > 1")
-    turn = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("node"), "node"))
-    hubs = large.withColumn("hub", turn - 1).where(F.col("hub") < HUBS)
-    hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    own = large.withColumn("hub", F.lit(-1)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    columns = ["node", "text", "family", "bands", "block", "hub"]
-    meet = own.select(columns).union(hubs.select(columns))
-    star = common.stage(common.map_batches(_dealt(meet, ["family", "block"]), lambda b: _star(b, percent, cut), STARRED), "stars")
+    star = _starred(large.select("node", "text", "family", "bands", "blocks"), {"family": "long"}, None, lambda t: Members(t, percent, cut))
     found = found.union(star.select(F.col("node").alias("a"), F.explode("hubs").alias("b")))
-
-    # what hubs join, from the hub with the most members on: hubs that share a member are joined too
-    counts = [F.sum(F.getbit("mask", F.lit(i)).cast("long")).alias(f"n{i}") for i in range(HUBS)]
-    most = F.greatest(*[f"n{i}" for i in range(HUBS)])
-    first = F.coalesce(*[F.when(F.col(f"n{i}") == most, F.lit(1 << i)) for i in range(HUBS)])
-    joined = first
-    for _ in range(HUBS):
-        joined = F.aggregate("masks", joined, lambda a, m: F.when(a.bitwiseAND(m) != 0, a.bitwiseOR(m)).otherwise(a))
-    hub_sets = star.groupBy("family").agg(F.collect_set("mask").alias("masks"), *counts).select("family", joined.alias("of_hubs"))
-    star = star.join(hub_sets, "family").select("node", (F.col("mask").bitwiseAND(F.col("of_hubs")) != 0).alias("joined"))
-    star = common.stage(large.select("node", "family", "n_shingles").join(star, "node"), "starred")
-    open_ = star.join(_size(star.where("not joined"), "rest_blocks"), "family").join(_size(star.where("joined"), "joined_blocks"), "family")
-    block = F.pmod(F.xxhash64("node"), F.when(F.col("joined"), F.col("joined_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
-    rests, joins = (F.sequence(F.lit(0), F.col(c).cast("int") - 1) for c in ("rest_blocks", "joined_blocks"))
-    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    at = F.col("block")
-    of_rest = F.concat(F.transform(rests, lambda o: pair(F.least(at, o), F.greatest(at, o))), F.transform(joins, lambda o: pair(at, F.col("rest_blocks") + o)))
-    of_joined = F.transform(rests, lambda o: pair(o, F.col("rest_blocks") + at))
-    open_ = open_.withColumn("block", block).select("node", "joined", F.explode(F.when(F.col("joined"), of_joined).otherwise(of_rest)).alias("pair")).select("node", "joined", "pair.*")
-    open_ = large.select("node", "text", "family", "bands").join(open_, "node")
+    star = common.stage(large.select("node", "n_shingles").join(_with_joined(star, ["family"]), "node"), "starred")
+    open_ = large.select("node", "text", "bands").join(_open_pairs(star, ["family"], _size), "node")
     return found.union(common.map_batches(_dealt(open_, task), lambda b: _confirm(b, percent, cut), schema))
 
 
+def _band_size(members: DataFrame, name: str) -> DataFrame:
+    """Blocks that each band group's members fill."""
+    return members.groupBy("pos", "key").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias(name))
+
+
+def _loose(reps: DataFrame, cut: float) -> DataFrame:
+    """Links (a, b) that connect what registers say is alike, of the classes ``reps`` (node, n_shingles,
+    bands) that share a band.
+
+    A band's members are one task, or, if they are many, blocks: each member meets the hubs in its own
+    block, and only what they do not join meets the others, so a band of copies goes out hardly more
+    than twice, however large.
+    """
+    keys = reps.select("node", F.posexplode("bands").alias("pos", "key"))
+    groups = common.stage(keys.join(keys.groupBy("pos", "key").agg(F.count("*").alias("n")).where("n > 1"), ["pos", "key"]), "band-groups")
+    schema, task = "a long, b long", ["pos", "key"]
+    one = groups.where(F.col("n") <= GROUP_BLOCK).drop("n").join(reps, "node").withColumn("joined", F.lit(False))
+    found = common.map_batches(_dealt(one, task), lambda b: _compare(b, task, cut), schema)
+    hot = groups.where(F.col("n") > GROUP_BLOCK).select("node", "pos", "key", F.ceil(F.col("n") / GROUP_BLOCK).alias("blocks"))
+    if not hot.limit(1).count():
+        return found
+    star = _starred(hot, {"pos": "int", "key": "long"}, reps, lambda t: Signed(t, cut))
+    found = found.union(star.select(F.col("node").alias("a"), F.explode("hubs").alias("b")))
+    open_ = _open_pairs(common.stage(_with_joined(star, task), "starred"), task, _band_size).join(reps, "node")
+    pairs = [*task, "i", "j"]
+    return found.union(common.map_batches(_dealt(open_, pairs), lambda b: _compare(b, pairs, cut), schema))
+
+
 def components(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(node, n_shingles) of ``rows`` (node, text), and (node, component) of the linked ones; a
     component is its smallest node.  Nodes are distinct, but for null ones, which link with nothing."""
@@ -288,18 +333,9 @@ def components(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     classes = common.stage(classes, "copies")
     member = usable.join(classes, ["d1", "d2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "node"))
     member = common.stage(member.select("node", "rep", "n_shingles", "bands"), "members")
-    reps = common.stage(member.where("node = rep").select("rep", "n_shingles", "bands"), "classes")
-
-    keys = reps.select("rep", F.posexplode("bands").alias("pos", "key"))
-    shared = keys.groupBy("pos", "key").agg(F.count("*").alias("n")).where("n > 1")
-    groups = keys.join(shared, ["pos", "key"]).withColumn("blocks", F.ceil(F.col("n") / GROUP_BLOCK)).drop("n")
-    groups = _blocks(groups, "blocks", "rep").join(reps, "rep")
-    task = ["pos", "key", "i", "j"]
-    groups = groups.repartition(*task).sortWithinPartitions(*task, "rep")
-    loose = common.map_batches(groups, lambda b: _compare(b, cut), "a long, b long")
-
-    family = common.connected_components(loose).withColumnRenamed("component", "family")
-    held = common.stage(family.join(reps, family["node"] == reps["rep"]).select("node", "family", "n_shingles", "bands"), "families")
+    reps = common.stage(member.where("node = rep").select("node", "n_shingles", "bands"), "classes")
+    family = common.connected_components(_loose(reps, cut)).withColumnRenamed("component", "family")
+    held = common.stage(family.join(reps, "node").select("node", "family", "n_shingles", "bands"), "families")
     links = _confirmed(rows.where("text is not null and node is not null"), held, percent, cut)
     copies = member.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     return signed.select("node", "n_shingles"), common.connected_components(links.union(copies))

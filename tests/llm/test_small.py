@@ -614,3 +614,37 @@ def test_votes_decide():
     counts = [((3, *good), 50), ((3, *bad), 200), ((3, 0, 1, 1, 1, 0), 5)]
     chance, table = pii.reliabilities(counts)
     assert chance[0] > 0.95 and chance[1] < 0.05 and chance[2] > 0.9 and np.allclose(table.sum(2), 1, atol=0.2)
+
+
+def test_hot_bands_go_out_hardly_more_than_twice(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "GROUP_BLOCK", 16)
+    rng = np.random.default_rng(5)
+    base = hyperminhash.registers(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    rows, like = [], []
+    for node in range(200):  # all share the first band; three quarters are near copies, the others are alike in tens or not at all
+        sig = base.copy() if node % 4 else hyperminhash.registers(np.random.default_rng(node // 20 if node % 8 else 10_000 + node).integers(0, 1 << 63, 500).astype(np.uint64))
+        sig[:4] = base[:4]
+        sig[rng.integers(4, 80, 3)] ^= 1
+        like.append(sig)
+        rows.append((node, 500, hyperminhash.bands_of(sig).tolist()))
+    reps = spark.createDataFrame(rows, "node long, n_shingles long, bands array<long>").repartition(4)
+    cut, sent = hyperminhash._loosened(85), []
+    kept = hyperminhash._dealt
+    monkeypatch.setattr(hyperminhash, "_dealt", lambda df, task: sent.append(df) or kept(df, task))
+    links = [(r.a, r.b) for r in hyperminhash._loose(reps, cut).collect()]
+
+    def groups(pairs):
+        of = list(range(200))
+        for _ in range(12):
+            for a, b in pairs:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    sig = np.stack(like)
+    want = [(i, int(j)) for i in range(200) for j in np.flatnonzero(hyperminhash.estimate((sig == sig[i]).sum(1), 500, 500) >= cut) if j > i and ((sig[i].reshape(20, 4) == sig[j].reshape(20, 4)).all(1)).any()]
+    assert groups(links) == groups(want) and set(links) <= {*want, *[(b, a) for a, b in want]}
+    monkeypatch.setattr(hyperminhash, "GROUP_BLOCK", 32)
+    copies = reps.where("node % 4 <> 0")  # one hot band of near copies: each goes out once, and hubs
+    sent.clear()
+    assert len(set(groups([(r.a, r.b) for r in hyperminhash._loose(copies, cut).collect()])[i] for i in range(200) if i % 4)) == 1
+    assert sum(df.where(f"pos = 0 and key = {rows[0][2][0]}").count() for df in sent) <= 3 * 150
