@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparkeval.llm import chunks, elias_fano, fingerprint, hyperminhash, labelled_pages, main_text, packing, pieces, pii, queries, toxicity, vptree
-from sparkeval.llm.common import connected_components
+from sparkeval.llm.common import connected_components, stage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, spans string"
 
@@ -630,7 +630,7 @@ def test_hot_bands_go_out_hardly_more_than_twice(spark, monkeypatch):
     reps = spark.createDataFrame(rows, "node long, n_shingles long, bands array<long>").repartition(4)
     cut, sent = hyperminhash._loosened(85), []
     kept = hyperminhash._dealt
-    monkeypatch.setattr(hyperminhash, "_dealt", lambda df, task: sent.append(df) or kept(df, task))
+    monkeypatch.setattr(hyperminhash, "_dealt", lambda df, task: sent.append(stage(df, "sent")) or kept(sent[-1], task))
     links = [(r.a, r.b) for r in hyperminhash._loose(reps, cut).collect()]
 
     def groups(pairs):
@@ -646,5 +646,6 @@ def test_hot_bands_go_out_hardly_more_than_twice(spark, monkeypatch):
     monkeypatch.setattr(hyperminhash, "GROUP_BLOCK", 32)
     copies = reps.where("node % 4 <> 0")  # one hot band of near copies: each goes out once, and hubs
     sent.clear()
-    assert len(set(groups([(r.a, r.b) for r in hyperminhash._loose(copies, cut).collect()])[i] for i in range(200) if i % 4)) == 1
+    of = groups([(r.a, r.b) for r in hyperminhash._loose(copies, cut).collect()])
+    assert len({of[i] for i in range(200) if i % 4}) == 1
     assert sum(df.where(f"pos = 0 and key = {rows[0][2][0]}").count() for df in sent) <= 3 * 150
