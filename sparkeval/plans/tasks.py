@@ -63,22 +63,27 @@ def test_and_pool(spec: TaskSpec, key: str, table: DataFrame, pool: DataFrame |
     return test, test.limit(0).drop("instance_idx") if pool is None else without(pool, test, key)
 
 
-def with_prompts(spec: TaskSpec, query_type: str, test: DataFrame, pool: DataFrame, key: str, base_seed: int = 42, system: bool = False, exact: bool = False) -> DataFrame:
-    """Add ``chat``, with examples for the few-shot types; ``exact`` draws and picks as the standard
-    library's generator does, and else by hashes."""
+def examples_of(spec: TaskSpec, test: DataFrame, pool: DataFrame, key: str, base_seed: int = 42, exact: bool = False) -> DataFrame:
+    """instance_idx and examples of each test row that has some; ``exact`` draws and picks as the
+    standard library's generator does, and else by hashes."""
+    source, refs, many = F.col(f"`{spec.source}`"), [F.col(f"`{r}`") for r in spec.references], len(spec.references) > 1
+    if exact and many:
+        drawn = fewshot.sampled_and_picked(test, pool.select(key, source.alias("__in"), *refs), [key], list(spec.references), base_seed, fill=spec.fill, name="__out")
+    else:
+        out = fewshot.pick(usable(*refs), F.col(key)) if many else F.get(usable(*refs), F.lit(0))
+        draw = fewshot.filter_then_sample if spec.fill else fewshot.sample_then_filter
+        if exact:
+            draw = fewshot.shuffled_then_filled if spec.fill else partial(fewshot.sample_then_filter, exact=True)
+        drawn = draw(test, pool.select(key, source.alias("__in"), out.alias("__out")), [key], ["__in", "__out"], base_seed)
+    return fewshot.gathered(drawn, "__in", "__out")
+
+
+def with_prompts(spec: TaskSpec, query_type: str, test: DataFrame, pool: DataFrame, key: str, base_seed: int = 42, system: bool = False, exact: bool = False, shots: DataFrame | None = None) -> DataFrame:
+    """Add ``chat``, with examples for the few-shot types: ``shots``, or else those of :func:`examples_of`."""
     t = prompts.template(spec.name, query_type)
     examples = None
     if query_type.startswith("few"):
-        source, refs, many = F.col(f"`{spec.source}`"), [F.col(f"`{r}`") for r in spec.references], len(spec.references) > 1
-        if exact and many:
-            drawn = fewshot.sampled_and_picked(test, pool.select(key, source.alias("__in"), *refs), [key], list(spec.references), base_seed, fill=spec.fill, name="__out")
-        else:
-            out = fewshot.pick(usable(*refs), F.col(key)) if many else F.get(usable(*refs), F.lit(0))
-            draw = fewshot.filter_then_sample if spec.fill else fewshot.sample_then_filter
-            if exact:
-                draw = fewshot.shuffled_then_filled if spec.fill else partial(fewshot.sample_then_filter, exact=True)
-            drawn = draw(test, pool.select(key, source.alias("__in"), out.alias("__out")), [key], ["__in", "__out"], base_seed)
-        shots = fewshot.gathered(drawn, "__in", "__out")
+        shots = examples_of(spec, test, pool, key, base_seed, exact) if shots is None else shots
         test = test.join(shots, "instance_idx", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<struct<input:string,output:string>>")))
         examples = "examples"
     content = prompts.prompt(spec.name, query_type, F.col(f"`{spec.source}`"), examples)
@@ -173,8 +178,9 @@ def matrix_prompts(tables: Tables, model: str, query_types: tuple[str, ...] = pr
     for name, (table, pool, key) in tables.items():
         spec = TASKS[name]
         test, rest = test_and_pool(spec, key, table, pool)
+        shots = examples_of(spec, test, rest, key, base_seed, exact) if any(q.startswith("few") for q in query_types) else None  # the same in either language
         for q in query_types:
-            asked = with_prompts(spec, q, test, rest, key, base_seed, system, exact)
+            asked = with_prompts(spec, q, test, rest, key, shots=shots, system=system)
             run = [F.lit(v).alias(n) for n, v in zip(RUN, (name, model, q), strict=True)]
             mine = F.concat_ws("/", *[F.lit(v) for v in (name, model, q)], F.col(key).cast("string"))
             refs = F.array(*[F.col(f"`{r}`") for r in spec.references])
