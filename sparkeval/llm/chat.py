@@ -97,21 +97,22 @@ def _formatted(path: str, roles: frozenset[str], cut: bool) -> Callable[[Iterato
             yield conv, piece, turns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
         names = [field.split(" ")[0] for field in OUTPUT.split(", ")]
         some, size = [], 0
 
         def flush() -> pa.RecordBatch:
             made = [render(turns, roles) for _, _, turns in some]
             encoded = tokenizer(path).encode_batch([text for text, _, _ in made], add_special_tokens=False)
-            out = [[], [], [], [], []]
-            for e, (text, spans, stops) in zip(encoded, made, strict=True):
+            tokens: list[list[np.ndarray]] = [[], [], [], []]
+            for e, (_, spans, stops) in zip(encoded, made, strict=True):
                 places = np.array(e.offsets, np.int32).reshape(-1, 2)
                 loss, starts, ends = mask(places[:, 0], places[:, 1], spans, stops)
-                for column, x in zip(out, (text, e.ids, starts, ends, loss), strict=True):
+                for column, x in zip(tokens, (np.array(e.ids, np.int32), starts, ends, loss), strict=True):
                     column.append(x)
-            values = [[c for c, _, _ in some], [p for _, p, _ in some], *out]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
+            at = pa.array(np.cumsum([0, *map(len, tokens[0])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in tokens]
+            own = [pa.array([c for c, _, _ in some], pa.int64()), pa.array([p for _, p, _ in some], pa.int64()), pa.array([text for text, _, _ in made])]
+            return pa.RecordBatch.from_arrays([*own, *lists], names=names)
 
         for x in pieces(batches):
             some.append(x)
@@ -157,19 +158,23 @@ def format_parts(df: DataFrame, path: str, roles: tuple[str, ...] = ("assistant"
     return [few, made(rows.join(long, same, "left_semi").repartitionByRange(*order), True)]
 
 
-def _loss_texts(text: str, starts: list[int], ends: list[int], loss: list[bool]) -> list[str]:
+def _loss_texts(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> list[str]:
     """What each run of tokens under the mask says; tokens that share a code point count it once."""
-    out, at = [], None
-    for a, b, on in zip(starts, ends, loss, strict=True):
-        if not on:
-            at = None
-        elif at is None:
-            out.append([text[a:b]])
-            at = b
-        elif b > at:
-            out[-1].append(text[max(a, at) : b])
-            at = b
-    return ["".join(x) for x in out]
+    on = np.flatnonzero(loss)
+    if not len(on):
+        return []
+    new = np.append(True, (np.diff(on) > 1) | (starts[on[1:]] > ends[on[:-1]]))  # a token after one without loss, or after a gap
+    first, last = on[new], on[np.append(new[1:], True)]
+    return [text[a:b] for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """conv_id, text, number of ids, and starts, ends and loss as arrays, of each row of the output."""
+    for b in batches:
+        lists = [c.flatten().to_numpy(zero_copy_only=False) for c in b.columns[4:]]
+        at = np.append(0, np.cumsum(b.column(3).value_lengths().to_numpy())).tolist()
+        for k, (conv, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            yield conv, text, at[k + 1] - at[k], *[x[at[k] : at[k + 1]] for x in lists]
 
 
 def read_back(whole: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
@@ -182,10 +187,16 @@ def read_back(whole: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
     digest = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-        for conv, pieces in groupby(rows, key=lambda r: r[0]):
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _DIGEST.types, strict=True)], schema=_DIGEST)
+            out.clear()
+            return made
+
+        for conv, pieces in groupby(_rows(batches), key=lambda r: r[0]):
             turns, loss, n, chars, loss_chars, tokens = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
-            for _, _, text, ids, starts, ends, on in pieces:
+            for _, text, n_ids, starts, ends, on in pieces:
                 for turn in text.split(START)[1:]:
                     role, said = turn.removesuffix(END).split(MIDDLE)
                     turns.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
@@ -194,8 +205,12 @@ def read_back(whole: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
                     loss.update(said.encode())
                     loss_chars += len(said)
                 chars += len(text)
-                tokens += len(ids)
-            yield pa.RecordBatch.from_pylist([{"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": loss_chars, "loss_sha256": loss.hexdigest(), "formatted_chars": chars, "n_tokens": tokens}], schema=_DIGEST)
+                tokens += n_ids
+            out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, tokens))
+            if len(out) == 4096:
+                yield flush()
+        if out:
+            yield flush()
 
     out = map_batches(whole, run, digest)
     return out if pieces is None else out.union(map_batches(pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece"), run, digest))
