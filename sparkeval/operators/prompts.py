@@ -26,9 +26,9 @@ class Template:
 
 #: Our own wording, by task and language.
 TEMPLATES: dict[tuple[str, str], Template] = {
-    ("simplification", "en"): Template("You know Sinhala well. Rewrite the sentence (S) in simpler Sinhala: keep its main idea, split long sentences, and use common words.", "Write only the simple version after 'Simplified text:'.", "Some examples:", "Simplify this sentence:", "S", "Simplified text:"),
+    ("simplification", "en"): Template("You know Sinhala well. Rewrite the sentence (S) in simpler Sinhala: keep its main idea, split long sentences, and use common words.", "Write only the simple version after 'Simplified text:'.", "Some examples:", "Now make this one simpler:", "S", "Simplified text:"),
     ("simplification", "si"): Template("ඔබ සිංහල භාෂාව හොඳින් දනියි. පහත වාක්‍යය (S) සරල සිංහලෙන් නැවත ලියන්න.", "'Simplified text:' යන්නෙන් පසු සරල වාක්‍යය පමණක් ලියන්න.", "උදාහරණ:", "මෙම වාක්‍යය සරල කරන්න:", "S", "Simplified text:"),
-    ("headline", "en"): Template("You edit a Sinhala newspaper. Write a headline in Sinhala for the news below.", "Write only the headline after 'Headline:'.", "Some examples:", "Write a headline for this news:", "News Content", "Headline:", cut=500),
+    ("headline", "en"): Template("You edit a Sinhala newspaper. Write a headline in Sinhala for the news below.", "Write only the headline after 'Headline:'.", "Some examples:", "Now give this report its headline:", "News Content", "Headline:", cut=500),
     ("headline", "si"): Template("ඔබ සිංහල පුවත්පතක කතුවරයෙකි. පහත පුවතට සිරස්තලයක් ලියන්න.", "'Headline:' යන්නෙන් පසු සිරස්තලය පමණක් ලියන්න.", "උදාහරණ:", "මෙම පුවතට සිරස්තලයක් ලියන්න:", "News Content", "Headline:", cut=500),
     ("summarisation", "en"): Template("You know Sinhala well. Sum up the text below in one or two Sinhala sentences.", "Write only the summary after 'Summary:'.", "Some examples:", "Sum up this text:", "Text", "Summary:", cut=500),
     ("summarisation", "si"): Template("ඔබ සිංහල භාෂාව හොඳින් දනියි. පහත පෙළ කෙටියෙන් සාරාංශ කරන්න.", "'Summary:' යන්නෙන් පසු සාරාංශය පමණක් ලියන්න.", "උදාහරණ:", "මෙම පෙළ සාරාංශ කරන්න:", "Text", "Summary:", cut=500),
@@ -36,8 +36,8 @@ TEMPLATES: dict[tuple[str, str], Template] = {
         (f"{code}_si", lang): Template(task, action, lead, close, letter, "Translation:")
         for code, letter, name, si in (("en", "E", "English", "ඉංග්‍රීසි"), ("ta", "T", "Tamil", "දෙමළ"), ("pi", "P", "Pali", "පාලි"))
         for lang, task, action, lead, close in (
-            ("en", f"You translate from {name} to Sinhala. Translate the sentence ({letter}) faithfully.", "Write only the translation after 'Translation:'.", "Some examples:", "Translate this sentence:"),
-            ("si", f"ඔබ {si} භාෂාවෙන් සිංහලට පරිවර්තනය කරයි. පහත වාක්‍යය ({letter}) පරිවර්තනය කරන්න.", "'Translation:' යන්නෙන් පසු පරිවර්තනය පමණක් ලියන්න.", "උදාහරණ:", "මෙම වාක්‍යය පරිවර්තනය කරන්න:"),
+            ("en", f"You translate from {name} to Sinhala. Translate the sentence ({letter}) faithfully.", "Write only the translation after 'Translation:'.", "Some examples:", "Now put this one into Sinhala:"),
+            ("si", f"ඔබ {si} භාෂාවෙන් සිංහලට පරිවර්තනය කරයි. පහත වාක්‍යය ({letter}) පරිවර්තනය කරන්න.", "'Translation:' යන්නෙන් පසු පරිවර්තනය පමණක් ලියන්න.", "උදාහරණ:", "දැන් මෙය සිංහලෙන් ලියන්න:"),
         )
     },
 }
