@@ -21,7 +21,7 @@ U = np.uint64
 #: Labelled rows that are learned from, at most.
 LABELLED = 40_000
 #: Inputs of the machine: the terms with the greatest z-scores.  A size of the model, as FACTORS is,
-#: that keeps chance out: of 718 toxic held-out texts of check_s 717 are found and no clean one
+#: that keeps chance out: of 718 toxic texts of a held-out table 717 are found and no clean one
 #: flagged; with every term of LEAST_Z (2,378) 714 are found and 3 clean ones flagged.
 TERMS = 1024
 #: A term is kept if in so many sampled texts, with so large a z-score of its share of label 1.
