@@ -85,19 +85,68 @@ def matches_of(one: pa.Array, two: pa.Array, orders: tuple[int, ...]) -> np.ndar
     return out
 
 
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def set_counts(source: pa.Array, prediction: pa.Array, references: pa.Array, orders: tuple[int, ...]) -> np.ndarray:
+    """Distinct grams of each row by order and by who has them, the sum of 1 (source), 2 (prediction)
+    and 4 (any reference): an array of rows by orders by 8.  ``references`` are lists of token lists.
+
+    Grams are numbered as in :func:`matches_of`, so numbers stand for them without collisions.
+    """
+    references = references.cast(pa.large_list(pa.large_list(pa.large_string())))
+    texts = [source, prediction, references.flatten()]
+    n, sizes = len(source), [_lengths(x) for x in texts]
+    rows = [np.arange(n), np.arange(n), np.repeat(np.arange(n), _lengths(references))]
+    out = np.zeros((n, len(orders), 8), np.int64)
+    row, has = (np.repeat(np.concatenate(x), np.concatenate(sizes)) for x in (rows, [np.full(len(s), 1 << i, np.int64) for i, s in enumerate(sizes)]))
+    if not len(row):
+        return out
+    tokens = pa.chunked_array([x.cast(pa.large_list(pa.large_string())).flatten() for x in texts])
+    token = tokens.combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    every = np.concatenate(sizes)
+    left = np.repeat(np.cumsum(every), every) - np.arange(len(token))
+    at, gram, kinds = np.arange(len(token)), row, int(token.max()) + 1
+    for k in range(1, max(orders) + 1):
+        some = left[at] >= k
+        at = at[some]
+        gram, names = pd.factorize(gram[some] * kinds + token[at + k - 1])
+        if k in orders:
+            owner, who = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+            owner[gram] = row[at]
+            for bit in (1, 2, 4):
+                mine = np.zeros(len(names), bool)
+                mine[gram[has[at] == bit]] = True
+                who += bit * mine
+            out[:, orders.index(k)] = np.bincount(owner * 8 + who, minlength=8 * n).reshape(n, 8)
+    return out
+
+
+def in_slices(f: Callable[..., np.ndarray], *columns: pa.Array) -> np.ndarray | None:
+    """``f`` of slices of the columns with at most ``TOKENS`` tokens together, or one row; None of no rows."""
+    sizes = np.zeros(len(columns[0]), np.int64)
+    for x in columns:
+        each = _lengths(x)
+        if pa.types.is_nested(x.type.value_type):
+            each = np.add.reduceat(np.append(_lengths(x.flatten()), 0), np.append(0, np.cumsum(each))[:-1]) * (each > 0) if len(x) else each
+        sizes += each
+    ends, out, i = np.cumsum(sizes), [], 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOKENS, "right")))
+        out.append(f(*[x.slice(i, j - i) for x in columns]))
+        i = j
+    return np.concatenate(out) if out else None
+
+
 def batched_matches(orders: tuple[int, ...]) -> Callable[..., Column]:
     """:func:`clipped_matches` of two token arrays for every order at once, as an array: for texts of
     any length, in Arrow batches, without a shuffle."""
 
     @F.arrow_udf("array<long>")
     def matches(one: pa.Array, two: pa.Array) -> pa.Array:
-        sizes = np.cumsum([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (one, two)], axis=1).sum(axis=0) if len(one) else np.zeros(0, np.int64)
-        out, i = [], 0
-        while i < len(one):
-            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + TOKENS, "right")))
-            out.append(matches_of(one.slice(i, j - i), two.slice(i, j - i), orders))
-            i = j
-        found = np.concatenate(out) if out else np.zeros((0, len(orders)), np.int64)
+        found = in_slices(lambda a, b: matches_of(a, b, orders), one, two)
+        found = np.zeros((0, len(orders)), np.int64) if found is None else found
         return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(orders)), pa.int32()), pa.array(found.ravel()))
 
     return matches

@@ -337,3 +337,37 @@ def test_ordinals_split_equal_keys(spark, shared):
     assert rows.agg(F.min("instance_idx"), F.max("instance_idx"), F.countDistinct("instance_idx")).first()[:3] == (0, 19_999, 20_000)
     sizes = [pq.read_metadata(f).num_rows for f in shared.rglob("*.parquet")]
     assert sum(sizes) == 20_000 and len(sizes) > 4 and max(sizes) < 6000
+
+
+# --- costs that grow with the texts ----------------------------------------------------------------
+
+
+def test_sari_of_long_texts_goes_in_batches(spark, monkeypatch):
+    def f1(target, made):
+        return 2 * len(target & made) / (len(target) + len(made)) if target & made else 0.0
+
+    def score(s, y, refs):
+        if not refs:
+            return 0.0
+        total = 0.0
+        for n in (1, 2, 3, 4):
+            S, Y, *R = ({tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for t in (s, y, *refs))
+            R = set().union(*R)
+            total += f1(S & R, S & Y) + f1(S - R, S - Y) + f1(R - S, Y - S)
+        return 100 * total / 12
+
+    r = random.Random(9)
+    texts = [[[r.choices("abcdefg", k=r.choice([0, 1, 3, 9, 40])) for _ in range(2)], [r.choices("abcdefg", k=r.choice([0, 1, 9, 40])) for _ in range(r.randint(0, 3))]] for _ in range(80)]
+    texts.append([[[f"w{i % 7000}" for i in range(30_000)], [f"w{i % 5000}" for i in range(30_000)]], [[f"w{i}" for i in range(9000)]]])
+    rows = [(i, *map(" ".join, own), *[*map(" ".join, refs), None, None, None][:3]) for i, (own, refs) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, s string, y string, r0 string, r1 string, r2 string").repartition(3)
+    got = with_sari(df, "s", ["r0", "r1", "r2"], "y")
+    assert "array_intersect" not in plan_of(got) and "array_except" not in plan_of(got)
+    assert {x.i: x.sari for x in got.collect()} == {i: score(*own, [x for x in refs if x]) for i, (own, refs) in enumerate(texts)}
+    from sparkeval.functions import ngrams
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngrams, "TOKENS", 20)  # slices of few rows score alike
+    columns = [pa.array([own[0] for own, _ in texts[:80]]), pa.array([own[1] for own, _ in texts[:80]]), pa.array([[x for x in refs if x] for _, refs in texts[:80]], pa.list_(pa.list_(pa.string())))]
+    assert ngrams.in_slices(metrics.sari_of, *columns).tolist() == [score(*own, [x for x in refs if x]) for own, refs in texts[:80]]
