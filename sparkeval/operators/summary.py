@@ -49,11 +49,11 @@ def summarise(df: DataFrame, metrics: list[str], *groups: str) -> DataFrame:
     gives the other statistics and percentiles, two of which hold the median between them; the next
     counts the scores below, and those between by value.  So equal scores are one row a task, however
     many, and nothing is sorted or dealt by group but what lies between.  Of very large groups, more
-    passes first bring that down by a factor of some hundreds each.  ``df`` is read once a pass: if
-    its scores are costly, write them first.
+    passes first bring that down by a factor of some hundreds each.  ``df`` is computed once: its
+    scores and groups are written, and the passes read them.
     """
     keys = [*groups, "metric"]
-    rows = long_form(df, metrics, *groups)
+    rows = long_form(staged(df.select(*groups, *metrics), "scores"), metrics, *groups)
     stats = [F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max")]
     found = rows.groupBy(*keys).agg(*stats, _percentiles(F.col("score")).alias("p"))
     n = F.greatest("n", F.lit(1))

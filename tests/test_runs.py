@@ -371,3 +371,15 @@ def test_sari_of_long_texts_goes_in_batches(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "TOKENS", 20)  # slices of few rows score alike
     columns = [pa.array([own[0] for own, _ in texts[:80]]), pa.array([own[1] for own, _ in texts[:80]]), pa.array([[x for x in refs if x] for _, refs in texts[:80]], pa.list_(pa.list_(pa.string())))]
     assert ngrams.in_slices(metrics.sari_of, *columns).tolist() == [score(*own, [x for x in refs if x]) for own, refs in texts[:80]]
+
+
+def test_summaries_compute_scores_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(i):
+        seen.add(1)
+        return float(i % 7)
+
+    got = summarise(spark.range(1000).select(costly("id").alias("m"), (F.col("id") % 2).alias("g")), ["m"], "g")
+    assert {x.g: x.n for x in got.collect()} == {0: 500, 1: 500} and seen.value == 1000
