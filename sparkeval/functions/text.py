@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space that splitting and stripping use.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_WS = f"[^{WS[1:]}"
 
 
 def column(c: Column | str) -> Column:
@@ -22,9 +23,9 @@ def strip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """Null, empty or white space only."""
+    """Null, empty or white space only: stops at the first other sign, however long the text."""
     c = column(c)
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | ~F.rlike(c, F.lit(NOT_WS))
 
 
 def word_tokens(c: Column | str) -> Column:
@@ -38,7 +39,9 @@ def space_tokens(c: Column | str) -> Column:
 
 
 def first_tokens(c: Column | str, n: int) -> Column:
-    return F.array_join(F.slice(space_tokens(c), 1, n), " ")
+    """The rest of the text is not split: a piece before the first white space may be empty, and one
+    more holds the rest."""
+    return F.array_join(F.slice(F.coalesce(F.array_remove(F.split(column(c), f"{WS}+", n + 2), ""), F.array().cast("array<string>")), 1, n), " ")
 
 
 def truncate(c: Column | str, n: int = 500) -> Column:

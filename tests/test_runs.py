@@ -383,3 +383,19 @@ def test_summaries_compute_scores_once(spark):
 
     got = summarise(spark.range(1000).select(costly("id").alias("m"), (F.col("id") % 2).alias("g")), ["m"], "g")
     assert {x.g: x.n for x in got.collect()} == {0: 500, 1: 500} and seen.value == 1000
+
+
+def test_blank_and_first_tokens_leave_the_rest_alone(spark):
+    from sparkeval.functions import text
+
+    spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       　"
+    rows = [(None, True), ("", True), (spaces, True), ("​", False), (f"{spaces}.", False), (f"x{spaces}", False), *[(c, True) for c in spaces]]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = df.select("i", text.is_blank("t").alias("b"))
+    assert [x.b for x in got.orderBy("i").collect()] == [b for _, b in rows] and "regexp_replace" not in plan_of(df.where(text.is_blank("t")))
+    texts = [None, "", " ", "a", " a", "a ", "a b c", " a b c ", "a\n\nb　c d e", " a b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for n in (1, 2, 3, 12):
+        got = df.select("i", text.first_tokens("t", n).alias("x"))
+        assert [x.x for x in got.orderBy("i").collect()] == [" ".join((t or "").split()[:n]) for t in texts]
+        assert f", {n + 2})" in plan_of(got)
