@@ -66,8 +66,11 @@ DRAWN = ("instance_idx", "slot", "position")
 
 
 def _numbered(pool: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """The pool's keys, and what else is asked for, by position; no other column is moved or written."""
-    return with_ordinal(pool.select(*keys, *more), *keys, name="position")
+    """The pool's keys, and what else is asked for, by position; no other column is moved or written.
+
+    They are written before they are dealt by ranges, which looks at them twice: the pool's texts, which
+    what is asked for or the pool's filters may need, are read once."""
+    return with_ordinal(staged(pool.select(*keys, *more), "keys"), *keys, name="position")
 
 
 def _fetched(drawn: DataFrame, pool: DataFrame, keys: list[str], numbered: DataFrame, *more: str) -> DataFrame:
@@ -113,15 +116,19 @@ def shuffled_then_filled(test: DataFrame, pool: DataFrame, keys: list[str], colu
     """
     pool = pool.drop("is_test", *DRAWN)
     numbered = _numbered(pool, keys, reduce(and_, (~is_blank(c) for c in columns)).alias("__usable"))
-    return _fetched(_filled(test, numbered, base_seed, k), pool, keys, numbered)
+    return _fetched(_filled(test, numbered, base_seed, k)[0], pool, keys, numbered)
 
 
-def _filled(test: DataFrame, numbered: DataFrame, base_seed: int, k: int) -> DataFrame:
-    """instance_idx, slot and position of the first ``k`` usable rows in shuffled order."""
+def _filled(test: DataFrame, numbered: DataFrame, base_seed: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """instance_idx, slot and position of the first ``k`` usable rows in shuffled order; and by
+    instance_idx the generator's state after the shuffle."""
     size, fill = numbered.agg(F.count("*"), F.coalesce(F.sum(F.col("__usable").cast("long")), F.lit(0))).first()
-    todo, most, found = test.select(F.col("instance_idx").cast("long").alias("instance_idx")), 4 * k, None
+    todo, most, found, states = test.select(F.col("instance_idx").cast("long").alias("instance_idx")), 4 * k, None, None
     while True:
-        drawn = todo.repartition(parts(todo.sparkSession)).mapInPandas(_shuffled(size, base_seed, most), "instance_idx long, slot int, position long")
+        drawn = todo.repartition(parts(todo.sparkSession)).mapInPandas(_shuffled(size, base_seed, most), "instance_idx long, slot int, position long, state binary")
+        drawn = staged(drawn, "shuffled")
+        after = drawn.where("state is not null").select("instance_idx", "state")
+        states = after if states is None else states  # the first round has all instances
         good = drawn.join(numbered.where("__usable").select("position"), "position")
         turn = F.row_number().over(Window.partitionBy("instance_idx").orderBy("slot"))
         good = staged(good.withColumn("slot", turn - 1).where(F.col("slot") < k).select("instance_idx", "slot", "position"), "drawn")
@@ -134,7 +141,7 @@ def _filled(test: DataFrame, numbered: DataFrame, base_seed: int, k: int) -> Dat
         if not todo.limit(1).count():
             break
         most *= 4
-    return found
+    return found, states
 
 
 def sampled_and_picked(test: DataFrame, pool: DataFrame, keys: list[str], references: list[str], base_seed: int = 42, k: int = 3, fill: bool = False, name: str = "reference") -> DataFrame:
@@ -143,36 +150,39 @@ def sampled_and_picked(test: DataFrame, pool: DataFrame, keys: list[str], refere
 
     ``fill`` shuffles the pool and takes the first ``k`` rows with a usable reference; without it,
     ``k`` rows are sampled, and those without one go and take no choice.  Drawn positions fetch the
-    number of usable references by position; then the generator is run again from its seed, and
-    chooses on from where the draw left it.
+    number of usable references by position; then the generator chooses on from where the draw left it:
+    from its state after a shuffle, which is kept, or else after it has sampled again from its seed.
     """
     pool = pool.drop("is_test", name, *DRAWN)
     (pick_name,) = unused(pool, "pick")
     usable_ones = usable(*[F.col(f"`{c}`") for c in references])
     numbered = _numbered(pool, keys, F.size(usable_ones).alias("__choices"), (F.size(usable_ones) > 0).alias("__usable"))
     size = F.broadcast(numbered.agg(F.count("*").alias("__size")))
+    states = None
     if fill:
-        drawn = _filled(test, numbered, base_seed, k)
+        drawn, states = _filled(test, numbered, base_seed, k)
     else:
         drawn = exact_draws(test.select("instance_idx").join(size), F.col("__size"), base_seed, k)
     drawn = drawn.join(numbered.select("position", "__choices"), "position")
     rows = drawn.groupBy("instance_idx").agg(F.sort_array(F.collect_list(F.struct("slot", "position", "__choices"))).alias("rows"))  # k at most
-    rows = rows.join(size).select("instance_idx", "rows", _choices(base_seed, fill)("instance_idx", "__size", F.transform("rows", lambda x: x["__choices"])).alias("picks"))
+    rows = rows.join(size).withColumn("state", F.lit(None).cast("binary")) if states is None else rows.join(size).join(states, "instance_idx")
+    rows = rows.select("instance_idx", "rows", _choices(base_seed)("instance_idx", "__size", F.transform("rows", lambda x: x["__choices"]), "state").alias("picks"))
     one = rows.select("instance_idx", F.explode(F.arrays_zip("rows", "picks")).alias("x")).where("x.picks >= 0")
     got = _fetched(one.select("instance_idx", "x.rows.slot", "x.rows.position", F.col("x.picks").alias(pick_name)), pool, keys, numbered, pick_name)
     return got.withColumn(name, F.get(usable_ones, F.col(pick_name))).drop(pick_name)
 
 
-def _choices(base_seed: int, fill: bool) -> Callable[..., Column]:
-    """Where the generator's choices fall, of so many items each, after its draw; -1 of no items."""
+def _choices(base_seed: int) -> Callable[..., Column]:
+    """Where the generator's choices fall, of so many items each, from its state, or if that is null after
+    its sample; -1 of no items."""
 
     @F.pandas_udf("array<int>")
-    def picks(instances: pd.Series, sizes: pd.Series, counts: pd.Series) -> pd.Series:
+    def picks(instances: pd.Series, sizes: pd.Series, counts: pd.Series, states: pd.Series) -> pd.Series:
         out = []
-        for i, size, each in zip(instances, sizes, counts, strict=True):
+        for i, size, each, state in zip(instances, sizes, counts, states, strict=True):
             r = random.Random(base_seed + int(i))
-            if fill:
-                r.shuffle(array("q", range(int(size))))
+            if state is not None:
+                r.setstate((r.VERSION, tuple(array("Q", state)), None))
             else:
                 r.sample(range(int(size)), len(each))
             out.append([r.choice(range(int(n))) if n else -1 for n in each])
@@ -182,14 +192,17 @@ def _choices(base_seed: int, fill: bool) -> Callable[..., Column]:
 
 
 def _shuffled(size: int, base_seed: int, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The first positions of each row's shuffled pool, and a row at slot -1 with the generator's state."""
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i in b["instance_idx"].tolist():
-                order = array("q", range(size))
-                random.Random(base_seed + i).shuffle(order)
-                rows += [(i, s, p) for s, p in enumerate(order[:most])]
-            yield pd.DataFrame(rows, columns=["instance_idx", "slot", "position"])
+                order, r = array("q", range(size)), random.Random(base_seed + i)
+                r.shuffle(order)
+                rows += [(i, s, p, None) for s, p in enumerate(order[:most])]
+                rows.append((i, -1, -1, array("Q", r.getstate()[1]).tobytes()))
+            yield pd.DataFrame(rows, columns=["instance_idx", "slot", "position", "state"])
 
     return draw
 

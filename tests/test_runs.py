@@ -399,3 +399,27 @@ def test_blank_and_first_tokens_leave_the_rest_alone(spark):
         got = df.select("i", text.first_tokens("t", n).alias("x"))
         assert [x.x for x in got.orderBy("i").collect()] == [" ".join((t or "").split()[:n]) for t in texts]
         assert f", {n + 2})" in plan_of(got)
+
+
+def test_exact_picks_read_texts_once_and_shuffle_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(i):
+        seen.add(1)
+        return f"t{i}"
+
+    pool = spark.range(400).select(F.col("id").alias("k"), costly("id").alias("a"))
+    for fill in (False, True):
+        before = seen.value
+        got = fewshot.sampled_and_picked(spark.range(5).toDF("instance_idx"), pool, ["k"], ["a"], 42, fill=fill).collect()
+        assert len(got) == 15 and seen.value - before <= 2 * 400  # to number the pool, and to fetch what is drawn
+    import pandas as pd
+
+    r, order = random.Random(42 + 3), list(range(1000))
+    (table,) = fewshot._shuffled(1000, 42, 4)(iter([pd.DataFrame({"instance_idx": [3]})]))
+    r.shuffle(order)
+    assert table["position"].tolist() == [*order[:4], -1]
+    begun = time.perf_counter()  # a state says where to go on, whatever was shuffled
+    got = fewshot._choices(42).func(pd.Series([3]), pd.Series([10**12]), pd.Series([[5, 0, 7, 2]]), table["state"].tail(1).reset_index(drop=True))
+    assert got[0] == [r.choice(range(5)), -1, r.choice(range(7)), r.choice(range(2))] and time.perf_counter() - begun < 5
