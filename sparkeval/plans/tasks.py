@@ -90,7 +90,7 @@ def with_prompts(spec: TaskSpec, query_type: str, test: DataFrame, pool: DataFra
     return test.withColumn("chat", prompts.chat(content, t.system if system else None)).drop("examples")
 
 
-#: Bytes of an answer or reference from which grams are counted in Arrow batches.
+#: Bytes of an answer or reference from which array expressions are no choice.
 LONG_BYTES = 20_000
 
 
@@ -101,12 +101,11 @@ def has_long(df: DataFrame, *columns: Column) -> bool:
 
 
 def _scored(metric: str, df: DataFrame, source: Column, references: list[Column], long: bool | None) -> DataFrame:
-    """Add a metric's scores of ``preds``; ``long`` None looks at the texts."""
+    """Add a metric's scores of ``preds``.  Grams are counted in Arrow batches, which is faster for short
+    texts too, unless ``long`` is False: then by array expressions, without Python."""
     own = unused(df, "source", *[f"ref{i}" for i in range(len(references))])
     df = df.withColumns(dict(zip(own, [source, *references], strict=True)))
-    first = own[1]
-    if metric != "sari" and long is None:
-        long = has_long(df, F.col(first), F.col("preds"))
+    first, long = own[1], long is not False
     if metric == "bleu":
         df = with_bleu(df, first, "preds", long)
     elif metric == "rouge":
@@ -117,7 +116,7 @@ def _scored(metric: str, df: DataFrame, source: Column, references: list[Column]
 
 
 def with_scores(spec: TaskSpec, df: DataFrame, long: bool | None = None) -> DataFrame:
-    """Add the task's scores of ``preds``.  ``long`` says whether to expect long texts; None looks."""
+    """Add the task's scores of ``preds``; ``long`` is as in :func:`_scored`."""
     refs = [F.col(f"`{r}`") for r in spec.references if r in df.columns]
     return _scored(spec.metric, df, F.col(f"`{spec.source}`"), refs, long)
 
