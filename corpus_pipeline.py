@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkeval.llm import chunks, common, hyperminhash, packing, pii, toxicity
 
 END_ID = 2
+#: Words whose ids a worker keeps at hand: few, as the same workers hold what the stages before need.
+WORDS = 100_000
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def personal_data_is_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def sequences_are_packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its place in a sequence; null and empty texts are their end id alone, and an empty table gives no rows."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, special=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, special=True, remembered=WORDS)
 
 
 STAGES = [

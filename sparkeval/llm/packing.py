@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import REMEMBERED, encoder
 
 CAPACITY = 1024
 #: Pieces packed together, about.
@@ -29,8 +29,8 @@ PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 lo
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def _pieces(batches, tokenizer: str, blank: str, end_id: int, capacity: int, special: bool):
-    tokens, row = encoder(tokenizer, blank, special), TaskContext.get().partitionId() << 33
+def _pieces(batches, tokenizer: str, blank: str, end_id: int, capacity: int, special: bool, remembered: int):
+    tokens, row = encoder(tokenizer, blank, special, remembered), TaskContext.get().partitionId() << 33
     for batch in batches:
         texts, numbers = batch.column("text"), batch.column("doc_id").to_pylist()
         for a, b in common.slices(texts, common.BATCH_BYTES):
@@ -180,17 +180,18 @@ def _pack(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, block: int = BLOCK, blank: str = "leads", special: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, block: int = BLOCK, blank: str = "leads", special: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) and their places in sequences of ``capacity`` ids.
 
     A document (its ids and ``end_id``) is cut only if longer than a sequence; its first piece
     takes the remainder, so all later ones fill a sequence each.  Null texts count as empty (the
     end id alone); rows that share a doc_id, or have none, are documents of their own; an empty
     table gives no rows; other columns are ignored.  Special tokens' strings in a text get their
-    ids, as the library has it, unless ``special`` is false.
+    ids, as the library has it, unless ``special`` is false.  ``remembered`` bounds the words that a worker
+    keeps at hand; fewer take less memory and more time.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = common.stage(common.map_batches(rows, lambda b: _pieces(b, tokenizer, blank, end_id, capacity, special), PIECE), "pieces")
+    pieces = common.stage(common.map_batches(rows, lambda b: _pieces(b, tokenizer, blank, end_id, capacity, special, remembered), PIECE), "pieces")
     whole, part = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     blocks = max(1, round(part.count() / block))
     placed = part.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block").applyInArrow(_pack(capacity), PLACED)

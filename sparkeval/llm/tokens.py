@@ -76,14 +76,13 @@ class Encoder:
             self.plain = Tokenizer.from_file(path)
             self.plain.encode_special_tokens = True
             self.plain.normalizer = None
-        #: With the library's default setting, and the strings that it finds in texts, as written or normalised.
-        self.whole, self.written, self.normalised = None, [], []
+        #: The strings that the library finds in texts by its default setting, as written or normalised.
+        self.special, self.written, self.normalised = special, [], []
         if special:
-            self.whole = Tokenizer.from_file(path)
-            for token in self.whole.get_added_tokens_decoder().values():
-                (self.normalised if token.normalized and self.whole.normalizer is not None else self.written).append(token.content)
+            for token in self.tokenizer.get_added_tokens_decoder().values():
+                (self.normalised if token.normalized and self.tokenizer.normalizer is not None else self.written).append(token.content)
             if self.normalised:
-                self.normalised = list({*self.normalised, *map(self.whole.normalizer.normalize_str, self.normalised)})
+                self.normalised = list({*self.normalised, *map(self.tokenizer.normalizer.normalize_str, self.normalised)})
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -171,19 +170,22 @@ class Encoder:
         """Whether a text holds an added token's string."""
         if any(s in text for s in self.written):
             return True
-        return bool(self.normalised) and any(s in x for x in (text, self.whole.normalizer.normalize_str(text)) for s in self.normalised)
+        return bool(self.normalised) and any(s in x for x in (text, self.tokenizer.normalizer.normalize_str(text)) for s in self.normalised)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         odd = _odd if self.blank == "leads" else lambda t: False
-        whole = [k for k, t in enumerate(texts) if odd(t) or self.whole is not None and self._marked(t)]
+        whole = [k for k, t in enumerate(texts) if odd(t) or self.special and self._marked(t)]
         if not whole:
             return self._encode(texts)
         apart = set(whole)
         out = self._encode(["" if k in apart else t for k, t in enumerate(texts)])
-        library = self.tokenizer if self.whole is None else self.whole
-        for k, e in zip(whole, library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, self.kind)
+        self.tokenizer.encode_special_tokens = not self.special
+        try:
+            for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, self.kind)
+        finally:
+            self.tokenizer.encode_special_tokens = True
         return out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -80,3 +80,26 @@ def test_query_runs(spark, sf, name):
         columns = sorted(got.columns)
         got, want = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
         pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_packing_keeps_few_words_and_one_tokenizer(spark):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sparkeval.llm import packing, tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{i * 37 + k}" for k in range(60)) + ("<|endoftext|> x" if i % 9 == 0 else "") for i in range(200)] + ["", " a", "b\n\nc "]
+    few, library = tokens.Encoder(path, "leads", True, 100), Tokenizer.from_file(path)
+    assert sum(isinstance(v, Tokenizer) for v in vars(few).values()) == 1
+    for _ in range(2):  # special strings leave no setting behind
+        for at in range(0, len(texts), 7):
+            some = texts[at : at + 7]
+            assert [x.tolist() for x in few.encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+            assert len(few.known) + len(few.older) <= 2 * (100 + 7 * 70 * 2)
+    plain = tokens.Encoder(path, "leads", False)
+    assert plain.encode(["a<|endoftext|>b"])[0].tolist() == few.tokenizer.encode("a<|endoftext|>b", add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, two = (sorted(map(tuple, packing.pack(docs, path, 2, remembered=n).drop("sequence_id", "offset").collect())) for n in (5, tokens.REMEMBERED))
+    assert one == two and corpus_pipeline.WORDS < tokens.REMEMBERED
