@@ -1,7 +1,9 @@
 """The operators on small hard tables, against brute force or exact round trips."""
 
+import cProfile
 import hashlib
 import itertools
+import pstats
 import random
 import re
 import time
@@ -91,6 +93,35 @@ def test_sentencepiece(hard, empty):
     assert pieces.encode(empty, path).count() == 0
 
 
+def test_sentencepiece_learns_new_parts_together(monkeypatch):
+    """Words met first cost a few calls each, not some for each pair of signs; also over turns of the memory, and for odd parts."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 2000)
+    path, r = public_tokenizers.path("piece_bpe_32k.model"), random.Random(7)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    vocabulary = [lib.id_to_piece(i) for i in range(300, len(lib))]
+    texts = [" ".join("".join(r.choices("etaoinshrdlu", k=r.randint(4, 14))) for _ in range(400)) for _ in range(20)]
+    odd = ["", "  ", "▁", "x" * 300, "\0 \n\n", "😀", "née.\nEt", "12.5%", "etaoin" * 12, "日本語テキスト", "<s>", "<0x41>", "\u0e01\U0010fffd"]
+    texts += [" ".join(r.choices(odd, k=12) + r.choices(vocabulary, k=12)) for _ in range(40)] + ["", None, " a", "a ", "a  b"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(x, pa.string())], ["doc_id", "text"]) for x in (texts[:10], texts[10:], texts)]
+    pieces.pieces.cache_clear()
+    pieces.pieces(path)
+    with cProfile.Profile() as calls:
+        got = list(pieces._encode(iter(batches), path, True))
+    for batch, out in zip(batches, got, strict=True):
+        want = [[*lib.encode(x or ""), lib.eos_id()] for x in batch["text"].to_pylist()]
+        assert out["ids"].to_pylist() == want
+        assert out["ids_sha256"].to_pylist() == [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in want]
+    pieces.pieces.cache_clear()
+    assert pstats.Stats(calls).total_calls < 20 * 2 * 20 * 400
+
+
+def test_sentencepiece_check_finds_a_difference():
+    p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    p.id_of[p.symbol["a"]] += 1
+    with pytest.raises(ValueError, match="'xa' otherwise"):
+        p.encode(["one xa two"])
+
+
 SPECIAL = ["one <|endoftext|> two", "<|endoftext|>", "A<|startoftext|>b <|endoftext|><|endoftext|>\n", " x <|ENDOFTEXT|> y", "plain words, as ever <|endoftext", words(4, 300) + "<|endoftext|> " + words(5, 1500)]
 
 
