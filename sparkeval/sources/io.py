@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import without_leading_number
+from ..functions.text import column, without_leading_number
 
 #: Spellings that mean a missing value in delimited text.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 CSV = {"header": True, "escape": '"', "quote": '"', "multiLine": True, "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 CSV_OUT = {k: v for k, v in CSV.items() if k != "multiLine"}
+#: The reader's default escape of an escape is the sign 0, which it would drop from quoted text.
+CSV["charToEscapeQuoteEscaping"] = '"'
 
 
 def read_splits(spark: SparkSession, path: str, *splits: str) -> list[DataFrame]:
@@ -38,10 +42,28 @@ def read_pairs(spark: SparkSession, path: str, source: str, target: str, to: tup
     return spark.read.parquet(path).select(F.col(source).alias(to[0]), F.col(target).alias(to[1]))
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated text with a header; missing-value spellings become null."""
+def _spells_missing(c: Column, mark: str) -> Column:
+    """Whether ``c`` is a missing-value spelling behind as many marks as ``mark``, a part of a pattern, takes."""
+    return F.rlike(c, F.lit(rf"\A{mark}({'|'.join(re.escape(m) for m in MISSING)})\z"))
+
+
+def kept(c: Column | str) -> Column:
+    """A text that :func:`read_tsv` with ``kept`` gives back as it is: one that spells a missing value, or
+    is empty, goes behind a backslash, and so does one that looks so already."""
+    c = column(c)
+    return F.when(_spells_missing(c, r"\\*"), F.concat(F.lit("\\"), c)).otherwise(c)
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str, kept: bool = False) -> DataFrame:
+    """Tab-separated text with a header; missing-value spellings become null.  With ``kept``, those that
+    :func:`kept` has marked are texts."""
     df = spark.read.options(**{**CSV, "sep": "\t"}).schema(schema).csv(path)
-    return df.select(*[F.when(~F.col(c).isin(MISSING), F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+    def value(c: Column) -> Column:
+        text = F.when(~c.isin(MISSING), c)
+        return F.when(_spells_missing(c, r"\\+"), F.substr(c, F.lit(2))).otherwise(text) if kept else text
+
+    return df.select(*[value(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
 def read_numbered_pairs(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Splits by keys, selection, long texts, journals, calls in flight, exact picks and run tables."""
 
+import hashlib
 import random
 import statistics
 import subprocess
@@ -287,6 +288,18 @@ def test_splits_are_pruned(spark, tmp_path):
         read_split(spark, path, "id long", "dev")
 
 
+def test_delimited_text_keeps_real_texts(spark, tmp_path):
+    texts = ["", "NA", "\\NA", "\\\\null", "\\", "None ", '"\0"', "\0", "a\n\0\t\0", 'q"\0"', "\r\n", "\r", None, "plain"]
+    rows = [(i, t, "" if i % 2 else "n/a") for i, t in enumerate(texts)] + [(None, "x", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.Tamil, r.Sinhala) for r in queries.src_tsv(spark, str(tmp_path)).collect()}
+    md5 = lambda t: t if t is None else hashlib.md5(t.encode()).hexdigest()
+    assert got == {i: (None if i is not None and i % 5 == 0 else md5(t), lang if i is not None and i % 7 else None) for i, t, lang in rows}
+    again = {r.doc_id: r.text for r in queries.roundtrip_csv(spark, str(tmp_path)).collect()}
+    assert again == {i: md5(t or "") for i, t, _ in rows}
+
+
 def test_a_rerun_replaces_its_run_alone(spark, tmp_path):
     path = str(tmp_path / "runs")
     rows = spark.createDataFrame([("t", m, q, float(i)) for i in range(4) for m in ("7", "hub/x") for q in ("a", "b")], "task string, model string, query_type string, m double")
