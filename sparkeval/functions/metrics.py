@@ -138,6 +138,16 @@ def with_rouge_l(df: DataFrame, reference: str, prediction: str) -> DataFrame:
     return df.withColumn("rougeL", _f1(F.col(length), F.size(p), F.size(r))).drop(r, p, length)
 
 
+def with_rouge(df: DataFrame, reference: str, prediction: str, orders: tuple[int, ...] = (1, 2), long: bool = False) -> DataFrame:
+    """:func:`with_rouge_n` and :func:`with_rouge_l` of tokens that are found once."""
+    r, p, length = unused(df, "r", "p", "lcs")
+    df = df.withColumns({r: word_tokens(as_text(reference)), p: word_tokens(as_text(prediction))})
+    df, matches, own = _matches(df, r, p, orders, long)
+    df = df.withColumn(length, lcs(r, p))
+    scores = {f"rouge{n}": _f1(m, _grams_in(p, n), _grams_in(r, n)) for n, m in zip(orders, matches, strict=True)}
+    return df.withColumns(scores | {"rougeL": _f1(F.col(length), F.size(p), F.size(r))}).drop(r, p, length, *own)
+
+
 def _set_f1(matches: np.ndarray, predicted: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(matches > 0, 2.0 * matches / np.maximum(predicted + wanted, 1), 0.0)
 

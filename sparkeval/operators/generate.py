@@ -45,10 +45,13 @@ class Pace:
 
 def generate(
     df: DataFrame, make: Callable[[], Generator], prompt: str = "chat", name: str = "responses", partitions: int | None = None, batch: int = 64,
-    in_flight: int = 1, per_second: float | None = None, journal: Journal | None = None,
+    in_flight: int = 1, per_second: float | None = None, journal: Journal | None = None, by: tuple[str, ...] = (), then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``name``: the response to each row's ``prompt``.  Rows keep all their columns.
 
+    With ``then``, which makes rows with prompts of those of ``df`` one by one, the rows of ``df`` are
+    dealt ``by`` columns that tell them apart, and become prompts where they are asked.
+
     Rows are dealt to ``partitions`` tasks, by default as many as the session shuffles to or has
     cores.  A generator is given ``batch`` prompts at once.  With ``in_flight`` over 1 it is given
     one prompt a call, from so many threads: a task keeps that many calls waiting, over the borders
@@ -57,16 +60,16 @@ def generate(
     key that has one is asked again, neither by a task that starts anew nor by a later run.  Of two
     copies of a task that run at the same time, each asks for itself, so keep speculation off.
     """
+    n, done, dealt = partitions or parts(df.sparkSession), None, None
+    if then is not None:
+        df, dealt = then(df), then(df.repartition(n, *by))
     schema = StructType([*df.schema.fields, StructField(name, StringType())])
-    n, done = partitions or parts(df.sparkSession), None
-    if journal is None:
-        df = df.repartition(n)
-    else:
-        before = journal.read(df.sparkSession, df.schema[journal.key].dataType)
-        if before is not None:
-            done = df.join(before.withColumnRenamed(ANSWER, name), journal.key).select(*schema.names)
-            df = df.join(before, journal.key, "left_anti")
-        df = df.repartition(n, journal.key)
+    before = journal.read(df.sparkSession, df.schema[journal.key].dataType) if journal else None
+    if before is not None:
+        done = df.join(before.withColumnRenamed(ANSWER, name), journal.key).select(*schema.names)
+        df, dealt = df.join(before, journal.key, "left_anti"), None
+    if dealt is None:
+        dealt = df.repartition(n, *([journal.key] if journal else []))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, pace = make(), Pace(per_second) if per_second else None
@@ -98,7 +101,7 @@ def generate(
         if book:
             book.close()
 
-    out = df.mapInPandas(run, schema)
+    out = dealt.mapInPandas(run, schema)
     return out if done is None else out.unionByName(done)
 
 

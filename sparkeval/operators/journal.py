@@ -66,7 +66,7 @@ class TaskJournal:
     def _write(self, keys: list, answers: list) -> str:
         name = uuid.uuid4().hex
         hidden, shown = f"{self.folder}/_{name}", f"{self.folder}/{name}.parquet"  # readers skip the first
-        pq.write_table(pa.table({self.key: pa.array(keys), ANSWER: pa.array(answers, pa.string())}), hidden, filesystem=self.files)
+        pq.write_table(pa.table({self.key: pa.array(keys), ANSWER: pa.array(answers, pa.string())}), hidden, filesystem=self.files, compression="zstd")
         self.files.move(hidden, shown)
         return shown
 

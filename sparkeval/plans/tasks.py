@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.metrics import with_bleu, with_rouge_l, with_rouge_n, with_sari
+from ..functions.metrics import with_bleu, with_rouge, with_sari
 from ..functions.text import extract, is_blank, usable
 from ..operators import fewshot, prompts
 from ..operators.generate import Generator, generate
@@ -22,6 +22,7 @@ from ..sources.staging import staged, unused
 
 log = logging.getLogger(__name__)
 
+EXAMPLES = "array<struct<input:string,output:string>>"
 METRICS = {"bleu": [*[f"bleu_{n}" for n in (1, 2, 3, 4)], "bleu_overall"], "rouge": ["rouge1", "rouge2", "rougeL"], "sari": ["sari"]}
 
 
@@ -84,7 +85,7 @@ def with_prompts(spec: TaskSpec, query_type: str, test: DataFrame, pool: DataFra
     examples = None
     if query_type.startswith("few"):
         shots = examples_of(spec, test, pool, key, base_seed, exact) if shots is None else shots
-        test = test.join(shots, "instance_idx", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<struct<input:string,output:string>>")))
+        test = test.join(shots, "instance_idx", "left").withColumn("examples", F.coalesce("examples", F.array().cast(EXAMPLES)))
         examples = "examples"
     content = prompts.prompt(spec.name, query_type, F.col(f"`{spec.source}`"), examples)
     return test.withColumn("chat", prompts.chat(content, t.system if system else None)).drop("examples")
@@ -109,7 +110,7 @@ def _scored(metric: str, df: DataFrame, source: Column, references: list[Column]
     if metric == "bleu":
         df = with_bleu(df, first, "preds", long)
     elif metric == "rouge":
-        df = with_rouge_l(with_rouge_n(df, first, "preds", long=long), first, "preds")
+        df = with_rouge(df, first, "preds", long=long)
     else:
         df = with_sari(df, own[0], own[1:], "preds")
     return df.drop(*own)
@@ -170,54 +171,81 @@ def run_task(
 Tables = dict[str, tuple[DataFrame, DataFrame | None, str]]
 
 
-def matrix_prompts(tables: Tables, model: str, query_types: tuple[str, ...] = prompts.QUERY_TYPES, base_seed: int = 42, system: bool = False, exact: bool = False) -> DataFrame:
-    """The prompts of every task in ``tables`` (table, pool, key) with every query type, in one table:
-    task, model, query_type, id (unique), instance_idx, source, refs and chat."""
+def matrix_rows(tables: Tables, few: bool = True, base_seed: int = 42, exact: bool = False) -> DataFrame:
+    """The test rows of every task in ``tables`` (table, pool, key), each once whatever the runs: task,
+    key, instance_idx, source, refs and, for the ``few``-shot types, examples."""
     rows = []
     for name, (table, pool, key) in tables.items():
-        spec = TASKS[name]
+        spec, examples = TASKS[name], F.lit(None).cast(EXAMPLES)
         test, rest = test_and_pool(spec, key, table, pool)
-        shots = examples_of(spec, test, rest, key, base_seed, exact) if any(q.startswith("few") for q in query_types) else None  # the same in either language
-        for q in query_types:
-            asked = with_prompts(spec, q, test, rest, key, shots=shots, system=system)
-            run = [F.lit(v).alias(n) for n, v in zip(RUN, (name, model, q), strict=True)]
-            mine = F.concat_ws("/", *[F.lit(v) for v in (name, model, q)], F.col(key).cast("string"))
-            refs = F.array(*[F.col(f"`{r}`") for r in spec.references])
-            rows.append(asked.select(*run, mine.alias("id"), F.col("instance_idx").cast("long").alias("instance_idx"), F.col(f"`{spec.source}`").alias("source"), refs.alias("refs"), "chat"))
+        if few:  # the same in either language
+            test = test.join(examples_of(spec, test, rest, key, base_seed, exact).withColumnRenamed("examples", "__examples"), "instance_idx", "left")
+            examples = F.col("__examples")
+        refs = F.array(*[F.col(f"`{r}`") for r in spec.references])
+        mine = {"task": F.lit(name), "key": F.col(key).cast("string"), "instance_idx": F.col("instance_idx").cast("long"), "source": F.col(f"`{spec.source}`"), "refs": refs, "examples": examples}
+        rows.append(test.select(*[c.alias(n) for n, c in mine.items()]))
     return reduce(DataFrame.union, rows)
 
 
+def prompted(rows: DataFrame, names: Iterable[str], model: str, query_types: tuple[str, ...] = prompts.QUERY_TYPES, system: bool = False) -> DataFrame:
+    """A row for each of the :func:`matrix_rows` of tasks ``names`` and query type: task, model,
+    query_type, id (unique), instance_idx, source, refs and chat."""
+    examples, chat = F.coalesce("examples", F.array().cast(EXAMPLES)), F
+    for name in names:
+        for q in query_types:
+            content = prompts.prompt(name, q, F.col("source"), examples)
+            chat = chat.when((F.col("task") == name) & (F.col("query_type") == q), prompts.chat(content, prompts.template(name, q).system if system else None))
+    rows = rows.select("*", F.lit(model).alias("model"), F.explode(F.array(*[F.lit(q) for q in query_types])).alias("query_type"))
+    return rows.select(*RUN, F.concat_ws("/", *RUN, "key").alias("id"), "instance_idx", "source", "refs", chat.alias("chat"))
+
+
+def matrix_prompts(tables: Tables, model: str, query_types: tuple[str, ...] = prompts.QUERY_TYPES, base_seed: int = 42, system: bool = False, exact: bool = False) -> DataFrame:
+    """The prompts of every task in ``tables`` (table, pool, key) with every query type, in one table,
+    as :func:`prompted` gives them."""
+    return prompted(matrix_rows(tables, _few(query_types), base_seed, exact), tables, model, query_types, system)
+
+
+def _few(query_types: tuple[str, ...]) -> bool:
+    return any(q.startswith("few") for q in query_types)
+
+
 def run_all(tables: Tables, make: Callable[[], Generator], model: str, out: str, query_types: tuple[str, ...] = prompts.QUERY_TYPES, base_seed: int = 42, system: bool = False, exact: bool = False, journal: bool = True, **calls) -> DataFrame:
     """Every task in ``tables`` (table, pool, key) with every query type, as one plan; their summaries.
 
     All prompts are one table, so each worker makes one generator for all runs, and no run waits for
-    another.  Answers go to the journal, predictions and scores to tables of runs (``predictions``,
-    ``scored``, and as CSV), where the runs asked for replace theirs and others stay.  Each metric's
-    runs are scored together.
+    another.  Test rows are dealt to the workers once, and become prompts there.  Answers go to the
+    journal, predictions and scores to tables of runs (``predictions``, ``scored``, and as packed CSV),
+    where the runs asked for replace theirs and others stay.  Texts are in ``predictions`` alone, and
+    :func:`scored_rows` has them beside their scores.  Each metric's runs are scored together.
     """
     spark = next(iter(tables.values()))[0].sparkSession
-    asked = staged(matrix_prompts(tables, model, query_types, base_seed, system, exact), "asked")
-    got = generate(asked, make, journal=Journal(f"{out}/journal", "id") if journal else None, **calls)
+    rows, to_prompts = matrix_rows(tables, _few(query_types), base_seed, exact), partial(prompted, names=list(tables), model=model, query_types=query_types, system=system)
+    got = generate(rows, make, journal=Journal(f"{out}/journal", "id") if journal else None, by=("task", "key"), then=to_prompts, **calls)
     answer = reduce(lambda c, t: c.when(F.col("task") == t, extract("responses", TASKS[t].marker, TASKS[t].mode)), tables, F)
-    write_runs(got.withColumn("preds", answer), f"{out}/predictions")
+    write_runs(got.withColumn("preds", answer), f"{out}/predictions", compression="zstd")
     wanted = (F.col("model") == model) & F.col("task").isin(*tables) & F.col("query_type").isin(*query_types)
     predictions = read_runs(spark, f"{out}/predictions").where(wanted)
-    write_runs(predictions, f"{out}/predictions_csv", "csv")
+    write_runs(predictions, f"{out}/predictions_csv", "csv", compression="gzip")
     scored = []
     for metric in sorted({TASKS[t].metric for t in tables}):
         rows = predictions.where(F.col("task").isin(*[t for t in tables if TASKS[t].metric == metric]))
         refs = [F.get("refs", F.lit(i)) for i in range(max(len(TASKS[t].references) for t in tables if TASKS[t].metric == metric))]
-        scored.append(_scored(metric, rows, F.col("source"), refs, None))
-    write_runs(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scored), f"{out}/scored")
+        scored.append(_scored(metric, rows, F.col("source"), refs, None).select("id", "instance_idx", *METRICS[metric], *RUN))
+    write_runs(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scored), f"{out}/scored", compression="zstd")
     rows = read_runs(spark, f"{out}/scored").where(wanted)
-    write_runs(rows, f"{out}/scored_csv", "csv")
+    write_runs(rows, f"{out}/scored_csv", "csv", compression="gzip")
     summary = compare(rows)
     report = render(summary)
     write_text(report, spark, f"{out}/summary")
-    log.info("%s: %d without an answer\n%s", out, blank_answers(rows).count(), report)
+    log.info("%s: %d without an answer\n%s", out, blank_answers(predictions).count(), report)
     return summary
 
 
+def scored_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The predictions below ``out``, with all their columns, and their scores."""
+    return read_runs(spark, f"{out}/predictions").join(read_runs(spark, f"{out}/scored"), [*RUN, "id", "instance_idx"])
+
+
 def compare(runs: DataFrame) -> DataFrame:
     """The summary of each run in a table of scored runs, by task, model and query type: every metric
     that the run has scores of."""

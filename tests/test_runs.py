@@ -8,6 +8,7 @@ import sys
 import time
 from pathlib import Path
 
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from sparkeval.operators.ordinals import split, with_ordinal
 from sparkeval.operators.summary import summarise
 from sparkeval.plans import tasks
 from sparkeval.sources import staging
-from sparkeval.sources.io import read_runs, read_split, write_runs, write_splits
+from sparkeval.sources.io import read_csv, read_runs, read_split, write_runs, write_splits
 
 
 def plan_of(df) -> str:
@@ -335,6 +336,47 @@ def test_one_plan_for_all_runs(spark, tmp_path):
     assert tasks.compare(read_runs(spark, f"{out}/scored")).count() == len(first)
 
 
+def test_runs_write_texts_once(spark, shared, tmp_path):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    rows = [(i, " ".join(r.choices(words, k=90)), " ".join(r.choices(words, k=90))) for i in range(600)]
+    table = spark.createDataFrame(rows, "k long, english string, sinhala string").repartition(2)
+    pool = spark.createDataFrame([(900 + i, "in", "out") for i in range(9)], "k long, english string, sinhala string")
+    make = lambda: lambda chats: [f"Translation: {c[-1]['content'].rsplit('E: ', 1)[1]}" for c in chats]
+    out = str(tmp_path / "out")
+    got = tasks.run_all({"en_si": (table, pool, "k")}, make, "m", out)
+    assert {(x.query_type, x.n) for x in got.collect()} == {(q, 600) for q in tasks.prompts.QUERY_TYPES}
+    size = lambda top: sum(f.stat().st_size for f in Path(top).rglob("*") if f.is_file())
+    given = sum(len(a) + len(b) for _, a, b in rows)
+    assert size(shared) < 14 * given, size(shared) / given  # two texts in four runs: source, references, prompts, answers twice
+    assert size(f"{out}/scored") + size(f"{out}/scored_csv") < given / 2
+    whole = tasks.scored_rows(spark, out)
+    assert {"source", "refs", "chat", "responses", "preds", "bleu_overall"} < set(whole.columns) and whole.count() == 2400
+    texts = {i: (a, [b], a) for i, a, b in rows}
+    assert all((x.source, x.refs, x.preds) == texts[int(x.id.rsplit("/", 1)[1])] for x in whole.select("id", "source", "refs", "preds").collect())
+    packed = [pd.read_csv(f, keep_default_na=False) for f in Path(f"{out}/predictions_csv").rglob("*.csv.gz")]
+    assert sorted(x for f in packed for x in f["preds"]) == sorted(4 * [a for _, a, _ in rows])
+    again = read_csv(spark, f"{out}/predictions_csv", "id string, instance_idx long, source string, refs string, chat string, responses string, preds string, task string, model string, query_type string")
+    assert again.select("id", "source", "preds").exceptAll(whole.select("id", "source", "preds")).count() == 0 and again.count() == 2400
+
+
+def test_rows_are_dealt_before_they_become_prompts(spark):
+    rows = spark.range(50).select(F.col("id").cast("string").alias("k"))
+    twice = lambda df: df.select("k", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("q")).withColumn("chat", F.concat("q", "k"))
+    got = generate(rows, lambda: lambda prompts: [p.upper() for p in prompts], partitions=3, by=("k",), then=twice)
+    assert plan_of(got).index("explode") < plan_of(got).index("Exchange") and got.rdd.getNumPartitions() == 3
+    assert {(x.k, x.q, x.responses) for x in got.collect()} == {(str(i), q, f"{q}{i}".upper()) for i in range(50) for q in "ab"}
+
+
+def test_rouge_finds_tokens_once(spark):
+    df = spark.createDataFrame([("a b c d", "a c d e"), (None, "none"), ("", ""), ("x", None)], "r string, p string")
+    for long in (False, True):
+        both = with_rouge_l(with_rouge_n(df, "r", "p", long=long), "r", "p")
+        got = metrics.with_rouge(df, "r", "p", long=long)
+        assert got.columns == both.columns and got.collect() == both.collect()
+    assert plan_of(got).count("regexp_extract_all") < plan_of(both).count("regexp_extract_all")
+
+
 def test_run_logs(spark, tmp_path, caplog):
     rows = spark.createDataFrame([(i, "x", "a b c d") for i in range(5)], "k long, english string, sinhala string")
     with caplog.at_level("INFO", logger="sparkeval.plans.tasks"):
