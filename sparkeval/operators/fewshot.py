@@ -70,7 +70,11 @@ def _numbered(pool: DataFrame, keys: list[str], *more: Column) -> DataFrame:
 
     They are written before they are dealt by ranges, which looks at them twice: the pool's texts, which
     what is asked for or the pool's filters may need, are read once."""
-    return with_ordinal(staged(pool.select(*keys, *more), "keys"), *keys, name="position")
+    return with_ordinal(_written(pool, keys, *more), *keys, name="position")
+
+
+def _written(pool: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    return staged(pool.select(*keys, *more), "keys")
 
 
 def _fetched(drawn: DataFrame, pool: DataFrame, keys: list[str], numbered: DataFrame, *more: str) -> DataFrame:
@@ -87,8 +91,9 @@ def sample(test: DataFrame, pool: DataFrame, keys: list[str], base_seed: int = 4
     """The pool's rows drawn for each row of ``test`` (instance_idx): instance_idx, slot, position and
     the pool's columns.  ``keys`` tell the pool's rows apart, and order them."""
     pool = pool.drop("is_test", *DRAWN)
-    numbered = _numbered(pool, keys)
-    counted = test.select("instance_idx").join(F.broadcast(numbered.agg(F.count("*").alias("__size"))))
+    written = _written(pool, keys)
+    numbered = with_ordinal(written, *keys, name="position")
+    counted = test.select("instance_idx").join(F.broadcast(written.agg(F.count("*").alias("__size"))))  # as many as are numbered
     return _fetched((exact_draws if exact else draws)(counted, F.col("__size"), base_seed, k), pool, keys, numbered)
 
 
